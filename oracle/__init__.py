@@ -6,6 +6,7 @@ import importlib
 
 FAMILIES = (
     "prices",
+    "curves",
 )
 
 

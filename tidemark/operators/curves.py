@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions.columns import dbl
 from tidemark.operators.features import return_factor, total_return
+from tidemark.session import materialize
 
 BUY_AND_HOLD = "buy_and_hold"
 CASH = "cash"
@@ -193,9 +194,10 @@ def rebalanced_curve(
     """Net equity curve per strategy with turnover and cost at each rebalance.
 
     Costs are charged on the traded share of equity: the net curve is multiplied by
-    (1 - cost * turnover) at each execution. A period without targets is held in cash.
+    (1 - cost * turnover) at each execution. A period without targets is held in cash. The valued
+    positions feed the closes, the period ends and the turnover, so they are checkpointed once.
     """
-    parts = rebalanced_weights(panel, schedule, targets)
+    parts = materialize(rebalanced_weights(panel, schedule, targets))
     held = parts.groupBy("strategy", "period", "session", "exit").agg(
         F.sum("part").alias("invested"), F.sum("weight").alias("weight"))
     names = F.explode(F.array(*[F.lit(name) for name in strategies])).alias("strategy")

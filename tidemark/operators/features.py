@@ -25,30 +25,36 @@ FEATURES = (
     "momentum_126d", "momentum_21d", "momentum_252d", "momentum_63d",
     "realized_volatility_21d", "realized_volatility_63d", "relative_strength_63d",
 )
-BY_SYMBOL = W.partitionBy("symbol").orderBy("session")
-UP_TO_NOW = BY_SYMBOL.rowsBetween(W.unboundedPreceding, 0)
 
 
-def simple_return(column: str = "close", window=BY_SYMBOL) -> Column:
-    return dbl(column) / F.lag(dbl(column)).over(window) - 1
+def by_symbol():
+    return W.partitionBy("symbol").orderBy("session")
 
 
-def momentum(lookback: int, column: str = "close", window=BY_SYMBOL) -> Column:
+def up_to_now():
+    return by_symbol().rowsBetween(W.unboundedPreceding, 0)
+
+
+def simple_return(column: str = "close", window=None) -> Column:
+    return dbl(column) / F.lag(dbl(column)).over(window or by_symbol()) - 1
+
+
+def momentum(lookback: int, column: str = "close", window=None) -> Column:
     """Change over ``lookback`` sessions; null until there are lookback + 1 bars."""
-    return dbl(column) / F.lag(dbl(column), lookback).over(window) - 1
+    return dbl(column) / F.lag(dbl(column), lookback).over(window or by_symbol()) - 1
 
 
-def realized_volatility(sessions: int, column: str = "daily_return", window=BY_SYMBOL) -> Column:
+def realized_volatility(sessions: int, column: str = "daily_return", window=None) -> Column:
     """Annualised sample deviation of the last returns; shorter history allowed, null below two."""
-    return F.stddev_samp(column).over(window.rowsBetween(-(sessions - 1), 0)) * math.sqrt(TRADING_DAYS)
+    return F.stddev_samp(column).over((window or by_symbol()).rowsBetween(-(sessions - 1), 0)) * math.sqrt(TRADING_DAYS)
 
 
-def running_drawdown(value: str = "close", peak: str = "peak", window=UP_TO_NOW) -> Column:
-    return F.least(F.lit(0.0), F.min(dbl(value) / F.col(peak) - 1).over(window))
+def running_drawdown(value: str = "close", peak: str = "peak", window=None) -> Column:
+    return F.least(F.lit(0.0), F.min(dbl(value) / F.col(peak) - 1).over(window or up_to_now()))
 
 
-def average_dollar_volume(sessions: int = 21, window=BY_SYMBOL) -> Column:
-    return F.avg(dbl("close") * dbl("volume")).over(window.rowsBetween(-(sessions - 1), 0))
+def average_dollar_volume(sessions: int = 21, window=None) -> Column:
+    return F.avg(dbl("close") * dbl("volume")).over((window or by_symbol()).rowsBetween(-(sessions - 1), 0))
 
 
 def bar_text() -> Column:
@@ -77,9 +83,9 @@ def with_price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
         "*",
         simple_return().alias("daily_return"),
         simple_return("bench_close").alias("bench_return"),
-        F.max(dbl("close")).over(UP_TO_NOW).alias("peak"),
+        F.max(dbl("close")).over(up_to_now()).alias("peak"),
     ).withColumn("paired", F.col("bench_return").isNotNull() & F.col("daily_return").isNotNull()).withColumn(
-        "pair_number", F.count_if("paired").over(UP_TO_NOW))
+        "pair_number", F.count_if("paired").over(up_to_now()))
     last_pairs = W.partitionBy("symbol").orderBy("pair_number").rangeBetween(-62, 0)
     pair = lambda name: F.when(F.col("paired"), F.col(name))
     return daily.select(
@@ -89,8 +95,8 @@ def with_price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
         running_drawdown().alias("maximum_drawdown"),
         (momentum(63) - momentum(63, "bench_close")).alias("relative_strength_63d"),
         average_dollar_volume().alias("average_dollar_volume_21d"),
-        F.count("*").over(UP_TO_NOW).alias("bars_seen"),
-        F.sum(short_digest(bar_text())).over(UP_TO_NOW).alias("input_digest"),
+        F.count("*").over(up_to_now()).alias("bars_seen"),
+        F.sum(short_digest(bar_text())).over(up_to_now()).alias("input_digest"),
     ).withColumn("beta_63d", F.regr_slope(pair("daily_return"), pair("bench_return")).over(last_pairs))
 
 
@@ -119,18 +125,18 @@ def feature_panel(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     panel = with_price_features(bars.filter(F.col("quality") == "PASS"), benchmark)
     arrived = F.greatest("available_to_strategy_at", "bench_available_to_strategy_at")
-    later = BY_SYMBOL.rowsBetween(1, W.unboundedFollowing)
+    later = by_symbol().rowsBetween(1, W.unboundedFollowing)
     return panel.select(
-        "*", F.max(arrived).over(UP_TO_NOW).alias("created_at"),
+        "*", F.max(arrived).over(up_to_now()).alias("created_at"),
         F.min("available_to_strategy_at").over(later).alias("next_arrival"),
     ).filter("bars_seen >= 2 AND (next_arrival IS NULL OR next_arrival > created_at)").select(
         "symbol", F.col("session").alias("as_of"), "created_at",
         F.lit(FEATURE_VERSION).alias("feature_version"), "input_digest", *FEATURES)
 
 
-def return_factor(window=BY_SYMBOL) -> Column:
+def return_factor(window=None) -> Column:
     """Growth of one session with splits and the cash dividend; 1 on the first bar."""
-    previous = F.lag(dbl("close")).over(window)
+    previous = F.lag(dbl("close")).over(window or by_symbol())
     factor = dbl("split_coefficient") * (dbl("close") + dbl("dividend")) / previous
     return F.coalesce(factor, F.lit(1.0))
 
@@ -160,7 +166,7 @@ def ranker_packet(bars: DataFrame, lookbacks: tuple[int, ...] = MOMENTUM_LOOKBAC
     """
     longest = max(lookbacks)
     returns = with_growth(bars).withColumn("daily_return", simple_return())
-    span = BY_SYMBOL.rowsBetween(-(volatility - 1), 0)
+    span = by_symbol().rowsBetween(-(volatility - 1), 0)
     last = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("session")))
     latest = returns.select(
         "symbol", "session", "i",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -153,10 +153,13 @@ def stage_means(metrics: DataFrame, keys: Sequence[str] = ("candidate", "stage")
     )
 
 
-def best_by(rows: DataFrame, name: str, *scores: str) -> DataFrame:
-    """Name with the largest scores; on a full tie the largest name."""
+def selected_by(name: str, eligible: Column, *scores: str) -> Column:
+    """The name with the largest scores among eligible rows; on a full tie the largest name.
+
+    A window over the whole result, which holds one row per candidate and stage.
+    """
     order = F.struct(*[F.round(score, 12) for score in scores], F.col(name))
-    return rows.groupBy().agg(F.max_by(name, order).alias("selected"))
+    return F.max(F.when(eligible, order)).over(W.partitionBy())[name]
 
 
 def required_symbols(spans: DataFrame, records: DataFrame, start: str, end: str) -> DataFrame:

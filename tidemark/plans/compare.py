@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import curves, strategies
 from tidemark.operators.metrics import performance_metrics
+from tidemark.session import materialize
 
 MINIMUM_STAGES = (30, 15)
 
@@ -42,9 +43,9 @@ def compare_candidates(
     points = curves.long_flat_curves(bars, benchmark, lookbacks, cost_bps).filter(
         F.col("candidate") != curves.CASH)
     means = strategies.stage_means(staged_metrics(points, ["symbol", "candidate"]))
-    chosen = strategies.best_by(
-        means.filter("stage = 'development'"), "candidate", "mean_information_ratio", "mean_excess_return")
-    return means.withColumn("selected", F.col("candidate") == chosen.scalar())
+    chosen = strategies.selected_by(
+        "candidate", F.col("stage") == "development", "mean_information_ratio", "mean_excess_return")
+    return means.withColumn("selected", F.col("candidate") == chosen)
 
 
 def sweep_targets(
@@ -68,14 +69,14 @@ def universe_sweep(
 
     With ``benchmark_label='equal_weight'`` the equal-weight curve stands in for the benchmark.
     """
-    sessions = curves.common_sessions(bars, benchmark)
+    sessions = materialize(curves.common_sessions(bars, benchmark))
     panel = bars.join(F.broadcast(sessions), "session", "left_semi")
     schedule = curves.rebalance_calendar(sessions, every)
     targets, names = sweep_targets(panel, schedule, lookbacks, top_n)
     if extra_targets is not None:
         targets = targets.unionByName(extra_targets.select("strategy", "decision", "symbol", "weight"))
         names = [*names, *extra_names]
-    points = curves.rebalanced_curve(panel, benchmark, schedule, targets, names, cost_bps)
+    points = materialize(curves.rebalanced_curve(panel, benchmark, schedule, targets, names, cost_bps))
     if benchmark_label == strategies.EQUAL_WEIGHT:
         base = points.filter(F.col("strategy") == strategies.EQUAL_WEIGHT).select(
             "session", F.col("equity").alias("benchmark_equity"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.columns import session_close
+from tidemark.session import through_table
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,6 +75,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars as a written table, for plans that read them more than once: one scan of the trades."""
+    return through_table(bars(spark, sf_dir), "bars")
+
+
 def benchmark_bars(daily: DataFrame) -> DataFrame:
     """Equal-weighted index of the bars, one row per session.
 
