@@ -7,6 +7,8 @@ import importlib
 FAMILIES = (
     "prices",
     "curves",
+    "universe",
+    "sources",
 )
 
 

@@ -50,9 +50,16 @@ def compare_candidates(
 
 def sweep_targets(
     panel: DataFrame, schedule: DataFrame, lookbacks: Sequence[int], top_n: int,
+    eligible: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Equal weight and one ranked-momentum portfolio per lookback, keyed by strategy."""
+    """Equal weight and one ranked-momentum portfolio per lookback, keyed by strategy.
+
+    ``eligible`` (session, symbol) limits the choice at each decision; histories stay whole.
+    """
     decisions = strategies.decision_panel(panel, schedule, lookbacks)
+    if eligible is not None:
+        decisions = decisions.join(
+            eligible.select(F.col("session").alias("decision"), "symbol"), ["decision", "symbol"], "left_semi")
     columns = ["strategy", "decision", "symbol", "weight"]
     targets = strategies.equal_weight_targets(decisions).select(*columns).unionByName(
         strategies.ranked_momentum_targets(decisions, lookbacks, top_n).select(*columns))
