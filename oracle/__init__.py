@@ -9,6 +9,7 @@ FAMILIES = (
     "curves",
     "universe",
     "sources",
+    "models",
 )
 
 
