@@ -10,6 +10,7 @@ FAMILIES = (
     "universe",
     "sources",
     "models",
+    "research",
 )
 
 

@@ -158,21 +158,34 @@ def total_return(lookback: int, keys: tuple[str, ...] = ("symbol",)) -> Column:
     return F.round(F.col("growth") / F.lag("growth", lookback).over(window), 12)
 
 
+def _packet_columns(lookbacks: tuple[int, ...], volatility: int) -> list[Column]:
+    span = by_symbol().rowsBetween(-(volatility - 1), 0)
+    return [
+        *[r(total_return(k) - 1, 8).alias(f"momentum_{k}") for k in lookbacks],
+        r(F.stddev_pop("daily_return").over(span) * math.sqrt(TRADING_DAYS), 8).alias("volatility_63"),
+    ]
+
+
 def ranker_packet(bars: DataFrame, lookbacks: tuple[int, ...] = MOMENTUM_LOOKBACKS, volatility: int = 62) -> DataFrame:
     """Anonymous candidate table of the last bar of every symbol with a full history.
 
     Total-return momentum and the population deviation of the last ``volatility`` price returns;
-    ids are numbered in symbol order.
+    ids are numbered in symbol order (one row per symbol reaches the numbering).
     """
-    longest = max(lookbacks)
-    returns = with_growth(bars).withColumn("daily_return", simple_return())
-    span = by_symbol().rowsBetween(-(volatility - 1), 0)
     last = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("session")))
-    latest = returns.select(
-        "symbol", "session", "i",
-        *[r(total_return(k) - 1, 8).alias(f"momentum_{k}") for k in lookbacks],
-        r(F.stddev_pop("daily_return").over(span) * math.sqrt(TRADING_DAYS), 8).alias("volatility_63"),
-        last.alias("last"),
-    ).filter(F.expr(f"last = 1 AND i >= {longest}"))
+    rows = with_growth(bars).withColumn("daily_return", simple_return()).select(
+        "symbol", "session", "i", *_packet_columns(lookbacks, volatility), last.alias("last"))
+    latest = rows.filter((F.col("last") == 1) & (F.col("i") >= max(lookbacks)))
     number = F.row_number().over(W.orderBy("symbol"))
     return latest.withColumn("id", F.format_string("asset_%03d", number)).drop("last", "i")
+
+
+def ranker_packets(
+    bars: DataFrame, decisions: DataFrame, lookbacks: tuple[int, ...] = MOMENTUM_LOOKBACKS, volatility: int = 62,
+) -> DataFrame:
+    """The same table at every decision session (``decisions`` has one row per date: decision)."""
+    rows = with_growth(bars).withColumn("daily_return", simple_return()).select(
+        "symbol", "session", "i", *_packet_columns(lookbacks, volatility)).filter(F.col("i") >= max(lookbacks))
+    at = rows.join(F.broadcast(decisions), rows.session == F.col("decision"))
+    number = F.row_number().over(W.partitionBy("decision").orderBy("symbol"))
+    return at.withColumn("id", F.format_string("asset_%03d", number)).drop("session", "i")

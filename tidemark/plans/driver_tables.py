@@ -224,16 +224,12 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One report per conversation with its findings nested; some carry faults the audit must catch."""
-    nested = F.struct(
-        "turn", "topic", "factual_claim", "interpretation", "stance", "severity", "evidence_ids",
-        "uncertainty_notes")
-    grouped = findings(spark, sf_dir).groupBy("case_id", "report_id", "role").agg(
-        F.array_sort(F.collect_list(nested)).alias("findings"))
-    return grouped.select(
+    """Report heads, one per conversation; some carry faults the audit must catch."""
+    heads = findings(spark, sf_dir).select("case_id", "report_id", "role").distinct()
+    return heads.select(
         "case_id", "report_id", "role",
         F.when(F.col("report_id") % 11 == 10, F.lit("OTHER")).otherwise(case_symbol()).alias("symbol"),
-        case_time().alias("as_of"), "findings",
+        case_time().alias("as_of"),
         F.when(F.col("report_id") % 17 == 3, F.array(F.lit("DATA_GAP"))).otherwise(F.array().cast("array<string>"))
         .alias("blockers"),
         F.lit("m1").alias("model"),
