@@ -11,6 +11,7 @@ FAMILIES = (
     "sources",
     "models",
     "research",
+    "ledger",
 )
 
 

@@ -12,28 +12,74 @@ from tidemark import schemas
 from tidemark.operators import scans
 
 
+MAX_TABLE_ROWS = 1_000_000
+MAX_PER_DAY = 64
+
+
 def as_of_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,
-    direction: str = "backward", strict: bool = False, max_group_rows: int = scans.MAX_GROUP_ROWS,
+    direction: str = "backward", max_group_rows: int = scans.MAX_GROUP_ROWS,
+    max_table_rows: int = MAX_TABLE_ROWS,
 ) -> DataFrame:
-    """Every left row with the right row of the same key nearest before (or after) its time.
+    """Every left row with the right row of the same key nearest at or before (after) its time.
+
+    Right columns come back in a nullable struct ``match``. Equal right times: the largest row wins
+    going backward, the smallest going forward. Two ways, chosen from the measured right side:
 
-    Both sides are merged into one ordered scan per key, so the cost is a sort, not one pair per
-    earlier row, and a key of any size is split across tasks. Right columns come back in a nullable
-    struct ``match``; equal times match unless ``strict``. Equal right times: the largest row wins
-    going backward, the smallest going forward.
+    * a right side that is sparse per day and small as a (key, day) table becomes such a table and
+      is broadcast, so the left side is not shuffled at all;
+    * anything else is merged with the left rows into one ordered scan, which splits hot keys. The
+      cost is a sort, never one pair per earlier row.
     """
+    if direction not in ("backward", "forward"):
+        raise ValueError("direction must be backward or forward")
     forward = direction == "forward"
-    side = (0 if strict else 1) if not forward else (1 if strict else 0)
     payload = F.struct(*[F.col(c) for c in right.columns])
+    facts = right.groupBy(*on, F.col(right_time).alias("_time")).agg(
+        (F.min if forward else F.max)(payload).alias("_right"))
+    per_day = right.groupBy(*on, F.to_date(right_time).alias("day")).agg(F.count_distinct(right_time).alias("n"))
+    size = per_day.groupBy(*on).agg(F.max("n").alias("n"), F.min("day").alias("low"), F.max("day").alias("high")).agg(
+        F.count("*").alias("keys"), F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if not size["keys"]:
+        return left.withColumn("match", F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType))
+    days = (size["high"] - size["low"]).days + 3
+    if size["keys"] * days <= max_table_rows and size["n"] <= MAX_PER_DAY:
+        return _by_day_table(left, facts, on, left_time, size["low"], size["high"], forward)
+    return _by_scan(left, facts, on, left_time, forward, max_group_rows)
+
+
+def _by_day_table(left, facts, on, left_time, low, high, forward) -> DataFrame:
+    """Per (key, day): the rows of that day and the nearest row outside it."""
+    item = F.struct(F.col("_time"), F.col("_right"))
+    daily = facts.groupBy(*on, F.to_date("_time").alias("_day")).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    first, last = F.date_sub(F.lit(low), 1), F.date_add(F.lit(high), 1)
+    grid = facts.select(*on).distinct().withColumn("_day", F.explode(F.sequence(first, last)))
+    filled = grid.join(daily, [*on, "_day"], "left")
+    edge = F.element_at("_items", 1 if forward else -1)["_right"]
+    order = F.col("_day").desc() if forward else F.col("_day").asc()
+    outside = W.partitionBy(*on).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    table = filled.select(*on, "_day", "_items", F.last(edge, ignorenulls=True).over(outside).alias("_outside"))
+    asked = left.withColumn("_day", F.least(F.greatest(F.to_date(left_time), first), last))
+    joined = asked.join(F.broadcast(table), [*on, "_day"], "left")
+    if forward:
+        inside = F.filter("_items", lambda x: x["_time"] >= F.col(left_time))
+        found = F.get(inside, F.lit(0))
+    else:
+        inside = F.filter("_items", lambda x: x["_time"] <= F.col(left_time))
+        found = F.get(inside, F.size(inside) - 1)
+    return joined.select(*left.columns, F.coalesce(found["_right"], F.col("_outside")).alias("match"))
+
+
+def _by_scan(left, facts, on, left_time, forward, max_group_rows) -> DataFrame:
+    """Both sides in one ordered scan per key; equal times match."""
+    side = 0 if forward else 1
     queries = left.select(
         *on, F.col(left_time).alias("_time"), F.lit(side).alias("_side"), F.xxhash64(*left.columns).alias("_id"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_left"), F.lit(None).alias("_right"))
-    facts = right.groupBy(*on, F.col(right_time).alias("_time")).agg(
-        (F.min if forward else F.max)(payload).alias("_right")).select(
+    known = facts.select(
         *on, "_time", F.lit(1 - side).alias("_side"), F.lit(0).cast("bigint").alias("_id"),
         F.lit(None).alias("_left"), "_right")
-    group = scans.ordered(queries.unionByName(facts), on, ("_time", "_side", "_id"), max_group_rows)
+    group = scans.ordered(queries.unionByName(known), on, ("_time", "_side", "_id"), max_group_rows)
     filled = scans.running(group, {"match": ("last", "_right")}, reverse=forward).result()
     return filled.filter("_left IS NOT NULL").select("_left.*", "match")
 
