@@ -12,6 +12,7 @@ FAMILIES = (
     "models",
     "research",
     "ledger",
+    "streaming",
 )
 
 
