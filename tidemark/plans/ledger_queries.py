@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import joined, r
 from tidemark.operators import ledger, quality
 from tidemark.plans import driver_tables as d
+from tidemark.session import through_table
 
 CASH, BENCH = 300_000.0, 50.0
 DAY = "1998-06-29"
@@ -154,7 +155,10 @@ def portfolio_hashes(spark, sf):
 # ------------------------------------------------------------------ replay
 
 def replay_log(spark, sf):
-    """Session, order and result events of every fill, with late, repeated and unknown ones planted."""
+    """Session, order and result events of every fill, with late, repeated and unknown ones planted.
+
+    Stored once, as an event log is; the replay reads it per event type.
+    """
     fills = d.fills(spark, sf)
     key, day = F.col("l_orderkey"), F.unix_date("executed_on").cast("bigint") * 1000
     entity = F.concat_ws(":", "portfolio", F.col("executed_on").cast("string"))
@@ -170,9 +174,10 @@ def replay_log(spark, sf):
     def events(rows, kind, offset):
         return rows.select((day + offset).alias("sequence"), F.lit(kind).alias("event_type"), entity.alias("entity_id"), body.alias("payload"))
 
-    return (
+    log = (
         frozen.unionByName(events(fills, ledger.QUEUED, 100)).unionByName(events(fills.filter(key % 41 == 0), ledger.QUEUED, 150))
         .unionByName(events(fills, ledger.RESULT, 200)).unionByName(events(fills.filter(key % 43 == 0), ledger.RESULT, 250)))
+    return through_table(log, "event-log", ("event_type",))
 
 
 def event_replay(spark, sf):
