@@ -193,11 +193,12 @@ SELECT *, product(CASE WHEN later THEN split_coefficient ELSE 1.0 END) OVER ({sp
 FROM (SELECT *, row_number() OVER ({sp}) > 1 AS later FROM slots)""",
         "units": f"""
 SELECT symbol, period, session, exit, first_value(session) OVER ({sp} {UP}) AS entry_session,
-       (shares * CASE WHEN exit THEN open ELSE close END
-        + sum(CASE WHEN later THEN shares * dividend ELSE 0.0 END) OVER ({sp} {UP})) / first_value(open) OVER ({sp} {UP}) AS unit
+       shares * CASE WHEN exit THEN open ELSE close END / first_value(open) OVER ({sp} {UP}) AS unit_stock,
+       sum(CASE WHEN later THEN shares * dividend ELSE 0.0 END) OVER ({sp} {UP}) / first_value(open) OVER ({sp} {UP}) AS unit_income
 FROM slot_shares""",
         "parts": f"""
-SELECT t.strategy, u.period, u.symbol, u.session, u.exit, u.entry_session, t.weight, t.weight * u.unit AS part
+SELECT t.strategy, u.period, u.symbol, u.session, u.exit, u.entry_session, t.weight, t.weight * u.unit_stock AS stock,
+       t.weight * (u.unit_stock + u.unit_income) AS part
 FROM targets t JOIN {schedule} s ON s.session = t.decision AND s.decides
 JOIN units u ON u.symbol = t.symbol AND u.period = s.decision_period""",
         "held": "SELECT strategy, period, session, exit, sum(part) AS invested, sum(weight) AS weight FROM parts GROUP BY ALL",
@@ -206,7 +207,7 @@ JOIN units u ON u.symbol = t.symbol AND u.period = s.decision_period""",
 SELECT strategy, period, sum(abs(change)) AS turnover FROM (
   SELECT strategy, period, symbol, sum(change) AS change FROM (
     SELECT strategy, period, symbol, weight AS change FROM parts WHERE session = entry_session AND NOT exit
-    UNION ALL SELECT p.strategy, p.period + 1, p.symbol, -p.part / e.carried FROM parts p
+    UNION ALL SELECT p.strategy, p.period + 1, p.symbol, -p.stock / e.carried FROM parts p
     JOIN exits e ON e.strategy = p.strategy AND e.period = p.period + 1 WHERE p.exit)
   GROUP BY ALL) GROUP BY ALL""",
         "days": f"SELECT * FROM {schedule}, (SELECT unnest([{listed}]) AS strategy)",
@@ -291,7 +292,7 @@ SELECT strategy, decision, symbol, position, {r('momentum')} AS momentum, {r('we
         decisions=decisions_cte("late_schedule"), ranked=ranked_cte(), targets=targets_cte(),
         **curve_ctes(C, "late_panel", "late_schedule")),
     "position_weights": with_("panel_momentum schedule bench", f"""
-SELECT strategy, session, symbol, {r('part / (1 - sum(weight) OVER w + sum(part) OVER w)')} AS weight
+SELECT strategy, session, symbol, {r('stock / (1 - sum(weight) OVER w + sum(part) OVER w)')} AS weight
 FROM parts WHERE NOT exit WINDOW w AS (PARTITION BY strategy, session)""", **swept(0.0)),
     "weight_check": with_("panel_momentum schedule", f"""
 SELECT strategy, decision, {r('min(weight)')} AS lowest, {r('sum(weight)')} AS total,

@@ -155,7 +155,7 @@ def rebalance_calendar(sessions: DataFrame, every: int) -> DataFrame:
 
 
 def _period_values(panel: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Per (symbol, period): value of one invested unit at each close and at the closing open.
+    """Per (symbol, period): stock value and dividend cash of one invested unit at each close.
 
     A session that executes a rebalance is the last row of the old period (valued at the open,
     after its split and dividend) and the first row of the new one.
@@ -174,17 +174,22 @@ def _period_values(panel: DataFrame, schedule: DataFrame) -> DataFrame:
     price = F.when(F.col("exit"), F.col("open")).otherwise(F.col("close"))
     return held.select(
         *keys, "session", "exit", "i", "entry_session",
-        ((F.col("shares") * price + F.col("income")) / F.col("entry_open")).alias("unit_value"))
+        (F.col("shares") * price / F.col("entry_open")).alias("unit_stock"),
+        (F.col("income") / F.col("entry_open")).alias("unit_income"))
 
 
 def rebalanced_weights(panel: DataFrame, schedule: DataFrame, targets: DataFrame) -> DataFrame:
-    """Unit values of every held position: (strategy, period, session, exit, symbol, weight, part)."""
+    """Values of every held position: (strategy, period, session, exit, symbol, weight, stock, part).
+
+    ``part`` is the stock with the dividends it paid since the rebalance, which wait as cash.
+    """
     planned = targets.join(
         F.broadcast(schedule.filter("decides").select(
             F.col("session").alias("decision"), F.col("decision_period").alias("period"))), "decision",
     ).select("strategy", "period", "symbol", "weight")
     values = _period_values(panel, schedule)
-    return planned.join(values, ["symbol", "period"]).withColumn("part", F.col("weight") * F.col("unit_value"))
+    return planned.join(values, ["symbol", "period"]).withColumn("stock", F.col("weight") * F.col("unit_stock")).withColumn(
+        "part", F.col("stock") + F.col("weight") * F.col("unit_income")).drop("unit_stock", "unit_income")
 
 
 def rebalanced_curve(
@@ -240,9 +245,9 @@ def _turnover(parts: DataFrame, exits: DataFrame) -> DataFrame:
     """Sum of |target - drifted weight| per (strategy, period) without joining the two portfolios."""
     opened = parts.filter(F.col("session") == F.col("entry_session")).filter(~F.col("exit")).select(
         "strategy", "period", "symbol", F.col("weight").alias("change"))
-    drifted = parts.filter("exit").select("strategy", (F.col("period") + 1).alias("period"), "symbol", "part").join(
+    drifted = parts.filter("exit").select("strategy", (F.col("period") + 1).alias("period"), "symbol", "stock").join(
         exits, ["strategy", "period"]).select(
-        "strategy", "period", "symbol", (-F.col("part") / F.col("carried")).alias("change"))
+        "strategy", "period", "symbol", (-F.col("stock") / F.col("carried")).alias("change"))
     return opened.unionByName(drifted).groupBy("strategy", "period", "symbol").agg(
         F.sum("change").alias("change")).groupBy("strategy", "period").agg(F.sum(F.abs("change")).alias("turnover"))
 
@@ -258,7 +263,7 @@ def position_weights(panel: DataFrame, schedule: DataFrame, targets: DataFrame)
     parts = rebalanced_weights(panel, schedule, targets).filter(~F.col("exit"))
     total = W.partitionBy("strategy", "session")
     equity = 1 - F.sum("weight").over(total) + F.sum("part").over(total)
-    return parts.select("strategy", "session", "symbol", (F.col("part") / equity).alias("weight"))
+    return parts.select("strategy", "session", "symbol", (F.col("stock") / equity).alias("weight"))
 
 
 def uncovered_holdings(panel: DataFrame, schedule: DataFrame, targets: DataFrame) -> DataFrame:
