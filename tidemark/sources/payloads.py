@@ -20,8 +20,8 @@ SERIES = "Time Series (Daily)"
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
     """Landed files as (path, payload), one row per file."""
-    return spark.read.option("wholetext", True).text(path).select(
-        F.input_file_name().alias("path"), F.col("value").alias("payload"))
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
 def _price(column: Column) -> Column:
