@@ -80,7 +80,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fill_id
        'P' || (o_custkey % 50) AS portfolio, symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
        qty AS quantity, px AS price, l_tax AS fee, ship_date AS executed_on, l_orderkey, l_linenumber, l_partkey, l_suppkey,
        row_number() OVER (PARTITION BY o_custkey % 50
-         ORDER BY ship_date, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos
+         ORDER BY ship_date, l_orderkey, l_linenumber, l_partkey, l_suppkey, qty, px) AS pos
 FROM trades JOIN orders ON o_orderkey = l_orderkey""", "trades")
 cte("quotes", """
 SELECT symbol, session, CAST(session AS TIMESTAMP) + INTERVAL '14' HOUR + INTERVAL '30' MINUTE AS observed_at,

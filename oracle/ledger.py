@@ -37,9 +37,9 @@ FROM p4 GROUP BY portfolio, symbol""",
     }
 
 
-FILL_ORDER = "executed_on, l_orderkey, l_linenumber, l_partkey, l_suppkey"
-POS = f"""SELECT portfolio, symbol, fills, {r('quantity')} AS quantity, {r('cost_basis', 4)} AS cost_basis,
-{r('flow + cost_basis', 4)} AS realized_pnl, oversold_by FROM pos"""
+FILL_ORDER = "executed_on, l_orderkey, l_linenumber, l_partkey, l_suppkey, quantity, price"
+POS = f"""SELECT portfolio, symbol, fills, {r('quantity')} AS quantity, {r('cost_basis + 1e-9')} AS cost_basis,
+{r('flow + cost_basis + 1e-9')} AS realized_pnl, oversold_by FROM pos"""
 
 cte("session_fills", "SELECT *, CAST(date_trunc('week', executed_on) AS DATE) AS session FROM fills", "fills")
 cte("marks", "SELECT symbol, session, open AS mark FROM bars WHERE volume % 50 <> 0", "bars")
@@ -119,7 +119,7 @@ SELECT order_id, side, {r('q')} AS quantity, CASE WHEN reason IS NULL THEN {r(f'
        CASE WHEN reason IS NULL THEN observed_at END AS executed_at, {STATUS} AS status, reason FROM executed"""),
     "positions": with_("fills", POS, **position_ctes("fills", FILL_ORDER)),
     "account_view": with_("fills", f"""
-SELECT portfolio, symbol, {r('quantity')} AS quantity, {r('cost_basis / quantity')} AS average_cost FROM pos WHERE quantity <> 0""",
+SELECT portfolio, symbol, {r('quantity')} AS quantity, {r('cost_basis / quantity + 1e-9')} AS average_cost FROM pos WHERE quantity <> 0""",
         **position_ctes("fills", FILL_ORDER)),
     "cash_ledger": with_("fills", f"""
 SELECT portfolio, {r(f'{CASH} + sum(flow)', 4)} AS cash, {r('min(balance)', 4)} AS lowest_cash,
@@ -161,7 +161,7 @@ WHERE b.session = {DAY}"""),
 SELECT h.portfolio, sha256(concat_ws('|', CAST(CAST(round(cash * 10000) AS BIGINT) AS VARCHAR), hash)) AS snapshot_hash
 FROM (SELECT portfolio, sha256(string_agg(line, ',' ORDER BY line)) AS hash FROM (
   SELECT portfolio, concat_ws('|', symbol, CAST(CAST(round(quantity * 1000000) AS BIGINT) AS VARCHAR),
-           CAST(CAST(round(cost_basis * 10000) AS BIGINT) AS VARCHAR), CAST(CAST(round(mark * 10000) AS BIGINT) AS VARCHAR)) AS line
+           CAST(CAST(round(cost_basis * 1000000) AS BIGINT) AS VARCHAR), CAST(CAST(round(mark * 10000) AS BIGINT) AS VARCHAR)) AS line
   FROM pos JOIN (SELECT symbol, arg_max(close, session) AS mark FROM bars GROUP BY ALL) USING (symbol)) GROUP BY ALL) h
 JOIN (SELECT portfolio, 300000.0::DOUBLE + sum(CASE WHEN side = 'BUY' THEN -(quantity * price + fee) ELSE quantity * price - fee END) AS cash
       FROM fills GROUP BY ALL) c ON c.portfolio = h.portfolio""", **position_ctes("fills", FILL_ORDER)),

@@ -160,7 +160,7 @@ FROM (SELECT * FROM ({SCORES}) ORDER BY round(score, 12) DESC, alpha LIMIT 1) JO
     "rank_correlation": with_("train", f"""
 SELECT decision_date, {r('correlation')} AS correlation, names FROM ({correlations('fixed')})""", fixed=FIXED_ROWS),
     "mean_rank_correlation": with_("train", f"""
-SELECT {r('avg(correlation)')} AS mean_rank_correlation, count(*) AS independent_dates FROM ({correlations('fixed')})""",
+SELECT {r('avg(correlation)')} AS mean_rank_correlation, count(*) AS independent_dates FROM ({correlations('fixed')}) GROUP BY alpha""",
         fixed=FIXED_ROWS),
     "clustered_mean_interval": with_("train", f"""
 SELECT {r('(SELECT avg(mean) FROM means)')} AS estimate, {r('max(CASE WHEN place = 12 THEN sample END)')} AS lower,

@@ -59,19 +59,13 @@ FEATURES = ("average_dollar_volume_21d", "beta_63d", "maximum_drawdown", "moment
 
 
 def rounded() -> str:
-    return ", ".join(f"{r(n, 2 if 'dollar' in n else 6)} AS {n}" for n in FEATURES)
+    return ", ".join(f"{r(n)} AS {n}" for n in FEATURES)
 
 
 def one_feature(name: str, places: int = 6) -> str:
     return with_("features", f"SELECT symbol, session, {r(name, places)} AS {name} FROM features")
 
 
-def hold(prefix: str = "") -> str:
-    """Shares and income of a position opened at the first session of each window."""
-    p = prefix
-    return (f"product(CASE WHEN later THEN {p}split_coefficient ELSE 1.0 END) OVER")
-
-
 BAR_RULES = [(f"{n}_positive", f"{n} > 0") for n in ("open", "high", "low", "close")] + [
     ("adjusted_close_positive", "close > 0"), ("volume_not_negative", "volume >= 0"),
     ("dividend_not_negative", "dividend >= 0"), ("split_positive", "split_coefficient > 0"),
@@ -102,7 +96,7 @@ FROM (SELECT *, session BETWEEN DATE '1996-01-01' AND DATE '1996-02-20' AS s FRO
     "maximum_drawdown": one_feature("maximum_drawdown"),
     "rolling_beta": one_feature("beta_63d"),
     "relative_strength": one_feature("relative_strength_63d"),
-    "average_dollar_volume": one_feature("average_dollar_volume_21d", 2),
+    "average_dollar_volume": one_feature("average_dollar_volume_21d"),
     "benchmark_paired_returns": with_("paired_thin", f"""
 SELECT symbol, session, {r('daily_return')} AS daily_return, {r('bench_return')} AS bench_return FROM paired_thin WHERE paired"""),
     "feature_snapshot": with_("features_at", f"""

@@ -20,6 +20,11 @@ def r(column: Column | str, places: int = 6) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, places)
 
 
+def settled(column: Column | str, places: int = 6) -> Column:
+    """Rounded value whose exact halves are decided: amounts built from cents often end on a tie."""
+    return r((F.col(column) if isinstance(column, str) else column) + F.lit(1e-9), places)
+
+
 def ratio_or_zero(top: Column, bottom: Column) -> Column:
     """top / bottom, and 0.0 where the denominator is missing or zero."""
     usable = bottom.isNotNull() & (F.abs(bottom) > F.lit(ZERO_SPREAD)) & top.isNotNull()

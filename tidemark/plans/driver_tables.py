@@ -145,7 +145,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Total order of fills inside a portfolio.
-FILL_ORDER = ("executed_on", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+FILL_ORDER = ("executed_on", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity", "price")
 
 
 def quotes(daily: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import joined, r
+from tidemark.functions.columns import joined, r, settled
 from tidemark.operators import ledger, quality
 from tidemark.plans import driver_tables as d
 from tidemark.session import through_table
@@ -86,8 +86,8 @@ def held(spark, sf):
 
 def position_columns(rows):
     return rows.select(
-        "portfolio", "symbol", "fills", r("quantity").alias("quantity"), r("cost_basis", 4).alias("cost_basis"),
-        r("realized_pnl", 4).alias("realized_pnl"), "oversold_by")
+        "portfolio", "symbol", "fills", r("quantity").alias("quantity"), settled("cost_basis").alias("cost_basis"),
+        settled("realized_pnl").alias("realized_pnl"), "oversold_by")
 
 
 def positions(spark, sf):
@@ -96,7 +96,7 @@ def positions(spark, sf):
 
 def account_view(spark, sf):
     return ledger.account_view(held(spark, sf)).select(
-        "portfolio", "symbol", r("quantity").alias("quantity"), r("average_cost").alias("average_cost"))
+        "portfolio", "symbol", r("quantity").alias("quantity"), settled("average_cost").alias("average_cost"))
 
 
 def cash_ledger(spark, sf):

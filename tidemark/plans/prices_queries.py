@@ -56,11 +56,11 @@ def returns(spark, sf):
         "symbol", "session", r(features.simple_return()).alias("daily_return"))
 
 
-def feature(name, places=6):
+def feature(name):
     def query(spark, sf):
         bars, bench = panel(spark, sf)
         return features.with_price_features(bars.filter("quality = 'PASS'"), bench).select(
-            "symbol", "session", r(name, places).alias(name))
+            "symbol", "session", r(name).alias(name))
     return query
 
 
@@ -84,7 +84,7 @@ def paired_returns(spark, sf):
 
 
 def rounded_features():
-    return [r(name, 2 if "dollar" in name else 6).alias(name) for name in features.FEATURES]
+    return [r(name).alias(name) for name in features.FEATURES]
 
 
 def feature_snapshot(spark, sf):
@@ -135,7 +135,7 @@ QUERIES = {
     "maximum_drawdown": feature("maximum_drawdown"),
     "rolling_beta": feature("beta_63d"),
     "relative_strength": feature("relative_strength_63d"),
-    "average_dollar_volume": feature("average_dollar_volume_21d", 2),
+    "average_dollar_volume": feature("average_dollar_volume_21d"),
     "benchmark_paired_returns": paired_returns,
     "feature_snapshot": feature_snapshot,
     "feature_panel": feature_panel,

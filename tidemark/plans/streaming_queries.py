@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import joined, r
+from tidemark.functions.columns import joined, r, settled
 from tidemark.plans import driver_tables as d
 from tidemark.plans.prices_queries import with_faults
 from tidemark.session import scratch_path
@@ -85,8 +85,8 @@ def stream_positions(spark, sf):
     out = drain(spark, [fills.filter(F.col("executed_on") < cut), fills.filter(F.col("executed_on") >= cut)],
                 lambda stream, path, checkpoint: jobs.running_positions(stream, d.FILL_ORDER, path, checkpoint))
     return jobs.latest_state(spark, out, jobs.POSITION_STATE).select(
-        "portfolio", "symbol", "fills", r("quantity").alias("quantity"), r("cost_basis", 4).alias("cost_basis"),
-        r("realized_pnl", 4).alias("realized_pnl"), "oversold_by")
+        "portfolio", "symbol", "fills", r("quantity").alias("quantity"), settled("cost_basis").alias("cost_basis"),
+        settled("realized_pnl").alias("realized_pnl"), "oversold_by")
 
 
 def stream_counters(spark, sf):

@@ -116,6 +116,8 @@ def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpo
     A position that was oversold stays as it was at that point; later fills of it are left out.
     """
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    body = ("fill_id", "side", "quantity", "price", "fee")
+    places = [c for c in order if c not in body]
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -127,9 +129,8 @@ def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpo
             live.select(*keys).distinct(), keys, "left_semi").select(
             *keys, F.lit("opening").alias("fill_id"), F.lit("BUY").alias("side"), "quantity",
             (F.col("cost_basis") / F.col("quantity")).alias("price"), F.lit(0.0).alias("fee"),
-            F.lit(0).alias("phase"), *[F.lit(None).cast(kinds[c]).alias(c) for c in order if c != "fill_id"])
-        rows = live.select(*keys, "fill_id", "side", "quantity", "price", "fee", F.lit(1).alias("phase"),
-                           *[c for c in order if c != "fill_id"])
+            F.lit(0).alias("phase"), *[F.lit(None).cast(kinds[c]).alias(c) for c in places])
+        rows = live.select(*keys, *body, F.lit(1).alias("phase"), *places)
         moved = ledger.positions(opening.unionByName(rows), ["phase", *order], keys)
         prior = known.select(*keys, F.col("realized_pnl").alias("earned"), F.col("fills").alias("earlier"), F.col("quantity").alias("held"))
         merged = moved.join(prior, keys, "left").select(
