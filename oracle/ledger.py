@@ -161,7 +161,7 @@ WHERE b.session = {DAY}"""),
 SELECT h.portfolio, sha256(concat_ws('|', CAST(CAST(round(cash * 10000) AS BIGINT) AS VARCHAR), hash)) AS snapshot_hash
 FROM (SELECT portfolio, sha256(string_agg(line, ',' ORDER BY line)) AS hash FROM (
   SELECT portfolio, concat_ws('|', symbol, CAST(CAST(round(quantity * 1000000) AS BIGINT) AS VARCHAR),
-           CAST(CAST(round(cost_basis * 1000000) AS BIGINT) AS VARCHAR), CAST(CAST(round(mark * 10000) AS BIGINT) AS VARCHAR)) AS line
+           CAST(CAST(round((cost_basis + 1e-9) * 1000000) AS BIGINT) AS VARCHAR), CAST(CAST(round(mark * 10000) AS BIGINT) AS VARCHAR)) AS line
   FROM pos JOIN (SELECT symbol, arg_max(close, session) AS mark FROM bars GROUP BY ALL) USING (symbol)) GROUP BY ALL) h
 JOIN (SELECT portfolio, 300000.0::DOUBLE + sum(CASE WHEN side = 'BUY' THEN -(quantity * price + fee) ELSE quantity * price - fee END) AS cash
       FROM fills GROUP BY ALL) c ON c.portfolio = h.portfolio""", **position_ctes("fills", FILL_ORDER)),

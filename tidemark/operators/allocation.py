@@ -51,7 +51,7 @@ def candidate_checks(candidates: DataFrame, constraints: Constraints, keys: Sequ
 
 
 def desired_weights(candidates: DataFrame, c: Constraints, key: str = "decision") -> DataFrame:
-    """Greedy capped weights without a loop.
+    """Greedy capped weights without a loop, on one exchange by decision.
 
     In score order a name first gets what its sector still allows, which depends only on its rank in
     the sector; then the invested cap cuts the running total. Partitions are one decision's names.
@@ -61,7 +61,8 @@ def desired_weights(candidates: DataFrame, c: Constraints, key: str = "decision"
         ok = F.coalesce(gate, F.lit(False))
         passed = ok if passed is None else passed & ok
     risk = F.greatest("uncertainty", F.lit(1e-6))
-    scored = candidates.filter(passed).withColumn("score", F.col("expected_excess_return") / risk)
+    scored = candidates.filter(passed).withColumn(
+        "score", F.col("expected_excess_return") / risk).repartition(key)
     best = [F.desc("score"), F.col("symbol")]
     rank = F.row_number().over(W.partitionBy(key, "sector").orderBy(*best))
     room = F.lit(c.maximum_sector_weight) - F.lit(c.maximum_position_weight) * (F.col("sector_rank") - 1)
@@ -74,10 +75,15 @@ def desired_weights(candidates: DataFrame, c: Constraints, key: str = "decision"
 
 
 def turnover_capped(desired: DataFrame, current: DataFrame, c: Constraints, key: str = "decision") -> DataFrame:
-    """Move from current to desired weights by at most the turnover limit; cash is the rest."""
-    both = desired.select(key, "symbol", F.col("weight").alias("desired")).join(
-        current.select(key, "symbol", F.col("weight").alias("current")), [key, "symbol"], "full_outer").fillna(
-        0.0, ["desired", "current"])
+    """Move from current to desired weights by at most the turnover limit; cash is the rest.
+
+    The two portfolios are stacked and summed rather than joined: one exchange by decision serves the
+    sum and the totals.
+    """
+    none = F.lit(0.0)
+    both = desired.select(key, "symbol", F.col("weight").alias("desired"), none.alias("current")).unionByName(
+        current.select(key, "symbol", none.alias("desired"), F.col("weight").alias("current"))).repartition(
+        key).groupBy(key, "symbol").agg(F.sum("desired").alias("desired"), F.sum("current").alias("current"))
     per_key = W.partitionBy(key)
     raw = F.sum(F.abs(F.col("desired") - F.col("current"))).over(per_key)
     scale = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(c.maximum_turnover), raw), F.lit(1.0)))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark import schemas
 from tidemark.operators import scans
+from tidemark.session import materialize
 
 
 MAX_TABLE_ROWS = 1_000_000
@@ -44,7 +45,7 @@ def as_of_join(
         return left.withColumn("match", F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType))
     days = (size["high"] - size["low"]).days + 3
     if size["keys"] * days <= max_table_rows and size["n"] <= MAX_PER_DAY:
-        return _by_day_table(left, facts, on, left_time, size["low"], size["high"], forward)
+        return _by_day_table(left, materialize(facts), on, left_time, size["low"], size["high"], forward)
     return _by_scan(left, facts, on, left_time, forward, max_group_rows)
 
 

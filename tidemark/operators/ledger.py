@@ -233,7 +233,8 @@ def orders_from_targets(
 
 def portfolio_hashes(held: DataFrame, cash: DataFrame, marks: DataFrame) -> DataFrame:
     """SHA-256 per portfolio of its cash, positions and marks (at most one text per listed symbol)."""
-    line = canonical([F.col("symbol"), scaled("quantity", 6), scaled("cost_basis", 6), scaled("mark", 4)])
+    basis = F.col("cost_basis") + F.lit(1e-9)  # decides exact halves, which cents often end on
+    line = canonical([F.col("symbol"), scaled("quantity", 6), scaled(basis, 6), scaled("mark", 4)])
     lines = held.join(marks, "symbol", "left").groupBy("portfolio").agg(sorted_list_hash(line).alias("positions"))
     return lines.join(cash.select("portfolio", "cash"), "portfolio").select(
         "portfolio", sha(canonical([scaled("cash", 4), F.col("positions")])).alias("snapshot_hash"))

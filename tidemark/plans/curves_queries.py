@@ -9,15 +9,9 @@ from tidemark.functions.columns import r
 from tidemark.operators import curves, gates, metrics, quality, strategies
 from tidemark.plans import compare
 from tidemark.plans import driver_tables as d
+from tidemark.plans.prices_queries import panel
 from tidemark.session import materialize
 
-
-def panel(spark, sf):
-    """Bars written once to the bar table: the curve plans read them several times."""
-    bars = d.stored_bars(spark, sf)
-    return bars, d.benchmark_bars(bars)
-
-
 LOOKBACKS = (5, 10, 21)
 EVERY = 8
 TOP = 5

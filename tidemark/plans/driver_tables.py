@@ -102,6 +102,10 @@ def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly.withColumn("available_to_strategy_at", session_close("observed_date"))
 
 
+def stored_market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_table(market_caps(spark, sf_dir), "market-caps")
+
+
 def membership_records(daily: DataFrame) -> DataFrame:
     """Quarterly index members in the provider's spelling: one row per date, tickers in one text."""
     volume = daily.groupBy(

@@ -16,7 +16,8 @@ def decision():
 
 
 def panel(spark, sf):
-    bars = d.bars(spark, sf)
+    """Bars from the bar table and the index built from them: the trades are scanned once."""
+    bars = d.stored_bars(spark, sf)
     return bars, d.benchmark_bars(bars)
 
 

@@ -43,7 +43,7 @@ def fresh_market_caps(spark, sf):
     asked = bars.filter("volume % 9 = 0").select(
         "symbol", "session", (F.col("session").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(12))).alias("at"))
     found = asof.latest_within(
-        asked, d.market_caps(spark, sf), ["symbol"], "at", "available_to_strategy_at", F.make_dt_interval(F.lit(10)))
+        asked, d.stored_market_caps(spark, sf), ["symbol"], "at", "available_to_strategy_at", F.make_dt_interval(F.lit(10)))
     return found.select(
         "symbol", "session", F.col("match.observed_date").alias("observed_date"),
         r("match.market_cap", 2).alias("market_cap"))
@@ -51,7 +51,7 @@ def fresh_market_caps(spark, sf):
 
 def top_market_cap(spark, sf):
     bars, _ = panel(spark, sf)
-    return asof.top_by_market_cap(month_decisions(bars), members(bars), d.market_caps(spark, sf), 10).select(
+    return asof.top_by_market_cap(month_decisions(bars), members(bars), d.stored_market_caps(spark, sf), 10).select(
         "as_of", "symbol", r("market_cap", 2).alias("market_cap"), F.col("rank").cast("bigint").alias("rank"), "complete")
 
 

@@ -23,7 +23,8 @@ KEY = ("symbol", "session", "vintage")
 def ingest_bars(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Valid bars once per (symbol, session, vintage) to out/bars, invalid ones to out/quarantine.
 
-    Repeats are dropped inside the batch and against what is stored for the same sessions.
+    Repeats are dropped inside the batch and against what is stored for the same sessions; only the
+    stored files of the batch's session range are read.
     """
     schema = stream.schema
 
@@ -32,7 +33,9 @@ def ingest_bars(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         valid, invalid = quality.split_valid(batch, quality.bar_violations())
         body = [c for c in valid.columns if c not in KEY]
         once = valid.groupBy(*KEY).agg(F.min(F.struct(*body)).alias("bar")).select(*KEY, "bar.*")
-        known = read_batches(spark, f"{out}/bars", schema, number).select(*KEY)
+        low, high = once.agg(F.min("session"), F.max("session")).first()
+        known = read_batches(spark, f"{out}/bars", schema, number).filter(
+            F.col("session").between(F.lit(low), F.lit(high))).select(*KEY)
         put_batch(once.join(known, [*KEY], "left_anti"), f"{out}/bars", number)
         put_batch(invalid.distinct(), f"{out}/quarantine", number)
 
