@@ -16,6 +16,7 @@ from tidemark import schemas
 from tidemark.functions.columns import canonical, scaled, sha, sorted_list_hash
 from tidemark.operators import scans
 from tidemark.operators.asof import as_of_join
+from tidemark.session import materialize
 
 EPSILON = 1e-9
 
@@ -253,37 +254,39 @@ def replay(log: DataFrame) -> DataFrame:
     """Outcome of every order event of the log (sequence, event_type, entity_id, payload).
 
     Orders count if their session was frozen before and they carry its decision time; results count
-    if their order was queued before. The first event of an order counts, repeats are flagged.
+    if their order was queued before. The first event of an order counts, repeats are flagged. Events
+    are placed against their session once and stored; firsts are map-side combined minima, so an
+    order repeated very often stays cheap.
     """
-    body = log.withColumn("body", F.from_json("payload", ORDER_PAYLOAD)).select(
-        "sequence", "event_type", "entity_id", "payload", "body", F.col("body.order_id").alias("order_id"))
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
     frozen = log.filter(F.col("event_type") == FROZEN).groupBy("entity_id").agg(
-        F.min("sequence").alias("frozen_at"),
-        F.min_by(F.get_json_object("payload", "$.decision_at"), "sequence").alias("decision_at"))
-    queued = body.filter(F.col("event_type") == QUEUED).join(frozen, "entity_id", "left")
-    on_time = (F.col("frozen_at") < F.col("sequence")) & (F.col("body.submitted_at") == F.col("decision_at"))
-    queue_state = F.when(
-        F.col("frozen_at").isNull() | (F.col("frozen_at") > F.col("sequence")), "NOT_FROZEN").when(
-        ~on_time, "WRONG_TIME").otherwise("QUEUED")
-    states = queued.withColumn("state", queue_state)
-    accepted = states.filter("state = 'QUEUED'").groupBy("order_id").agg(F.min("sequence").alias("accepted_at"))
-    queue_rows = states.join(accepted, "order_id", "left").select(
-        "sequence", "event_type", "order_id",
+        F.min(F.struct("sequence", field("decision_at").alias("decision_at"))).alias("frozen"))
+    events = log.filter(F.col("event_type").isin(QUEUED, RESULT)).withColumn("order_id", field("order_id"))
+    before = F.coalesce(F.col("frozen.sequence") < F.col("sequence"), F.lit(False))
+    state = (
+        F.when(F.col("event_type") == RESULT, "RESULT").when(~before, "NOT_FROZEN")
+        .when(F.coalesce(field("submitted_at") == F.col("frozen.decision_at"), F.lit(False)), "QUEUED")
+        .otherwise("WRONG_TIME"))
+    placed = materialize(events.join(frozen, "entity_id", "left").select(
+        "sequence", "event_type", "order_id", "payload", state.alias("state")))
+    accepted = placed.filter("state = 'QUEUED'").groupBy("order_id").agg(F.min("sequence").alias("accepted_at"))
+    known = placed.join(accepted, "order_id", "left")
+    follows = (F.col("state") == "RESULT") & (F.col("sequence") > F.col("accepted_at"))
+    applied = known.filter(follows).groupBy("order_id").agg(F.min("sequence").alias("applied_at"))
+    outcome = (
         F.when((F.col("state") == "QUEUED") & (F.col("sequence") > F.col("accepted_at")), "DUPLICATE")
-        .otherwise(F.col("state")).alias("outcome"), F.lit(None).cast(ORDER_PAYLOAD).alias("body"))
-    results = body.filter(F.col("event_type") == RESULT).join(accepted, "order_id", "left").withColumn(
-        "known", F.coalesce(F.col("accepted_at") < F.col("sequence"), F.lit(False)))
-    first = results.filter("known").groupBy("order_id").agg(F.min("sequence").alias("applied_at"))
-    result_rows = results.join(first, "order_id", "left").select(
-        "sequence", "event_type", "order_id",
-        F.when(~F.col("known"), "UNQUEUED").when(F.col("sequence") > F.col("applied_at"), "DUPLICATE")
-        .otherwise("APPLIED").alias("outcome"), "body")
-    return queue_rows.unionByName(result_rows)
+        .when(F.col("state") != "RESULT", F.col("state"))
+        .when(~F.coalesce(follows, F.lit(False)), "UNQUEUED")
+        .when(F.col("sequence") > F.col("applied_at"), "DUPLICATE").otherwise("APPLIED"))
+    return known.join(applied, "order_id", "left").select(
+        "sequence", "event_type", "order_id", outcome.alias("outcome"), "payload")
 
 
 def replayed_fills(outcomes: DataFrame) -> DataFrame:
-    """Fills of applied results, each order once."""
-    return outcomes.filter("outcome = 'APPLIED' AND body.status <> 'REJECTED'").select(
+    """Fills of applied results, each order once; only their payloads are parsed."""
+    body = outcomes.filter("outcome = 'APPLIED'").select(
+        "sequence", "order_id", F.from_json("payload", ORDER_PAYLOAD).alias("body"))
+    return body.filter("body.status <> 'REJECTED'").select(
         "sequence", F.col("order_id").alias("fill_id"), "body.portfolio", "body.symbol", "body.side", "body.quantity",
         "body.price", "body.fee")
 
