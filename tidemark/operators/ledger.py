@@ -16,7 +16,7 @@ from tidemark import schemas
 from tidemark.functions.columns import canonical, scaled, sha, sorted_list_hash
 from tidemark.operators import scans
 from tidemark.operators.asof import as_of_join
-from tidemark.session import materialize
+from tidemark.session import through_table
 
 EPSILON = 1e-9
 
@@ -267,8 +267,8 @@ def replay(log: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == RESULT, "RESULT").when(~before, "NOT_FROZEN")
         .when(F.coalesce(field("submitted_at") == F.col("frozen.decision_at"), F.lit(False)), "QUEUED")
         .otherwise("WRONG_TIME"))
-    placed = materialize(events.join(frozen, "entity_id", "left").select(
-        "sequence", "event_type", "order_id", "payload", state.alias("state")))
+    placed = through_table(events.join(frozen, "entity_id", "left").select(
+        "sequence", "event_type", "order_id", "payload", state.alias("state")), "replay")
     accepted = placed.filter("state = 'QUEUED'").groupBy("order_id").agg(F.min("sequence").alias("accepted_at"))
     known = placed.join(accepted, "order_id", "left")
     follows = (F.col("state") == "RESULT") & (F.col("sequence") > F.col("accepted_at"))
