@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.curves import LOOKBACKS, W  # noqa: F401
+from oracle.curves import W
 from oracle.fixtures import cte, r, with_
 from oracle.prices import broken
 
