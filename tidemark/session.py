@@ -29,11 +29,17 @@ def build_session(master: str | None = None, app: str = "tidemark", **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local temporary one only where none is configured."""
+    """The cluster's checkpoint folder. Where none is configured, local mode uses a temporary one and a cluster is refused:
+    executors there don't see each other's disks."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not configured:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if current.isDefined():
+            configured = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            configured = tempfile.mkdtemp(prefix="tidemark-")
+        else:
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
