@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.text import WordHashes, cells, hashed, inverse_frequency, mixed, shingles, word_frequencies, words
+from tidemark.llm.text import cells, inverse_frequency, mixed, shingles, token_hashes, word_frequencies
 from tidemark.session import through_table
 
 #: Fixed by the contract for word shingles.
@@ -104,11 +104,11 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, sampler, weights = WordHashes(), Sampler(), idf.value
+        sampler, weights = Sampler(), idf.value
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                tokens = hashed(words(text), cache)
+                tokens = token_hashes(text)
                 if not len(tokens):
                     out.append((doc_id, None, None, None))
                 else:
@@ -132,9 +132,8 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
 
     def rekeyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for batch in batches:
-            batch["copy"] = [_key(hashed(words(t), cache)) for t in batch["text"]]
+            batch["copy"] = [_key(token_hashes(t)) for t in batch["text"]]
             yield batch
 
     kind = named.schema["doc_id"].dataType.simpleString()
@@ -145,14 +144,14 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.col("doc_id").alias("rep"), "copy", "text"), "bodies")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, weights = WordHashes(), idf.value
+        weights = idf.value
         last, held = None, None
         for batch in batches:
             linked = []
             for a_id, a, b_id, b in batch[["low", "low_text", "high", "high_text"]].itertuples(index=False):
                 if a_id != last or held is None:
-                    last, held = a_id, weighted_shingles(hashed(words(a), cache), weights)
-                if weighted_jaccard(held, weighted_shingles(hashed(words(b), cache), weights)) >= similarity:
+                    last, held = a_id, weighted_shingles(token_hashes(a), weights)
+                if weighted_jaccard(held, weighted_shingles(token_hashes(b), weights)) >= similarity:
                     linked.append((a_id, b_id))
             yield pd.DataFrame(linked, columns=["low", "high"])
 

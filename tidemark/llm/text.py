@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,27 +15,15 @@ WORD = re.compile(r"\w+")
 TABLE_BITS = 20
 #: A task's word cache is emptied beyond this many words.
 CACHE_WORDS = 400_000
+#: Bytes hashed at once; longer texts are cut between words.
+PIECE = 1 << 20
+#: ASCII letters, digits and underscores make words, and so does everything beyond ASCII.
+_WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() or b == ord("_") for b in range(256)])
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 BLOCK = 1 << 14
 
 
-class WordHashes(dict):
-    """word -> unsigned 64-bit hash, remembered for the words seen lately."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if isinstance(text, str) else []
-
-
-def hashed(tokens: list[str], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-
-
 def mixed(values: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit values (a multiply-xorshift finaliser)."""
     values = values ^ (values >> np.uint64(31))
@@ -46,6 +33,45 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse modulo 2^64, at least `size` of each."""
+    if len(_powers[0]) < size:
+        size = 1 << (size - 1).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0], _powers[1]
+
+
+def _hash_words(data: np.ndarray) -> np.ndarray:
+    word = np.zeros(len(data) + 2, np.int8)
+    word[1:-1] = _WORD_BYTE[data]
+    edges = np.flatnonzero(np.diff(word))
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def token_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash per word of the lower-cased text, in order: polynomial hashes taken from one running sum."""
+    if not isinstance(text, str) or not text:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    if len(data) <= PIECE:
+        return _hash_words(data)
+    parts, start = [], 0
+    while start < len(data):
+        end = min(len(data), start + PIECE)
+        while end < len(data) and _WORD_BYTE[data[end]] and _WORD_BYTE[data[end - 1]]:
+            end += 1
+        parts.append(_hash_words(data[start:end]))
+        start = end
+    return np.concatenate(parts)
+
+
 def shingles(tokens: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` tokens; a shorter text is one run."""
     if not len(tokens):
@@ -58,7 +84,7 @@ def shingles(tokens: np.ndarray, width: int) -> np.ndarray:
 
 
 def cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (tokens >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
 
 
 def word_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -68,12 +94,13 @@ def word_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarra
     fixed size and the blocks are summed on executors; the driver gets one table of 4 MB whatever the corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, table, total = WordHashes(), np.zeros(1 << TABLE_BITS, np.int32), 0
+        table, total = np.zeros(1 << TABLE_BITS, np.int32), 0
         for batch in batches:
             for text in batch["text"]:
-                if found := set(words(text)):
+                found = token_hashes(text)
+                if len(found):
                     total += 1
-                    np.add.at(table, np.unique(cells(hashed(list(found), cache))), 1)
+                    table[np.unique(cells(found))] += 1
         blocks = table.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
         if total:
