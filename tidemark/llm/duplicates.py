@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,8 @@ DRAWS = 1 << 16
 PART = 1024
 #: Equal samples below which a pair in one bucket is not verified: a pair at SIMILARITY has fewer once in about 10^6.
 LEAST_EQUAL = math.floor(SAMPLES * (SIMILARITY - 4.7 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / SAMPLES)))
-#: Members of a bucket compared in one block, block rows per group, ids up to which a list (8 bytes a row) is broadcast.
+#: Members of a bucket compared in one block, ids up to which a list (8 bytes a row) is broadcast.
 BLOCK_ROWS = 256
-GROUP_ROWS = 4096
 BROADCAST_IDS = 500_000
 
 
@@ -95,9 +95,9 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     counted over all rows. Texts without a word (null, empty, marks only) and rows without an id are classes of their own;
     a null id has a null class and is kept. An empty table gives no row.
 
-    Rounds of verification: every member of a bucket against the smallest one; then, between classes that still share a
-    bucket, one candidate pair for each merge that equal samples suggest; then all pairs left whose samples agree often
-    enough. Work is linear in a bucket's members unless they really are different classes, and nothing is capped."""
+    Two rounds of verification: every member of a bucket against the smallest one; then, where members of a bucket are
+    still in different classes, block by block all pairs whose samples agree often enough, until they are joined. Pairs
+    never leave a task unless they link classes, and nothing is capped."""
     table, total = word_frequencies(docs)
     sparkContext = docs.sparkSession.sparkContext
     idf = sparkContext.broadcast(inverse_frequency(table, total))
@@ -164,18 +164,12 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def classed(edges: DataFrame) -> DataFrame:
         return components(edges, "low", "high").withColumnRenamed("node", "rep")
 
-    pairs = through_table(members.where("rep > first").select(F.col("first").alias("low"), F.col("rep").alias("high")).distinct(), "first-pairs")
+    pairs = members.where("rep > first").select(F.col("first").alias("low"), F.col("rep").alias("high")).distinct()
     links = verified(pairs, "first-links")
     classes = classed(links)
-    tried = pairs
-    for spanning in (True, False):
-        pairs = _across(members, classes, texts.select("rep", "samples"), spanning, kind)
-        pairs = through_table(pairs.join(tried, ["low", "high"], "left_anti"), "more-pairs")
-        if pairs.isEmpty():
-            continue
-        more = verified(pairs, "more-links")
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
-        classes = classed(links)
+    more = _links_across(members, classes, texts.select("rep", "samples"), bodies.select("rep", "text"), idf, similarity, kind)
+    if not more.isEmpty():
+        classes = classed(links.unionByName(more))
 
     named_class = texts.select("copy", "rep").join(classes, "rep", "left").select("copy", F.coalesce("component", "rep").alias("class_id"))
     named_class = through_table(named_class, "text-classes")
@@ -185,54 +179,70 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return placed.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def _across(members: DataFrame, classes: DataFrame, samples: DataFrame, spanning: bool, kind: str) -> DataFrame:
-    """Candidate pairs (low, high) between members of one bucket that are in different classes."""
+def _links_across(members: DataFrame, classes: DataFrame, samples: DataFrame, bodies: DataFrame, idf: Broadcast,
+                  similarity: float, kind: str) -> DataFrame:
+    """Links (low, high) between members of one bucket that are in different classes so far.
+
+    Tasks get the members with their texts, block against block, and return at most one link per merge; a pair is looked
+    at in the first band that holds it and only while its members are still apart."""
     known = members.select("band", "bucket", "rep").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = through_table(known, "bucket-classes")
     split = known.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
     split = through_table(split.where("a <> b").select("band", "bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "split-buckets")
-    rows = known.join(split, ["band", "bucket"]).join(samples, "rep")
+    rows = through_table(known.join(split, ["band", "bucket"]), "split-members")
+    groups = max(1, math.ceil((rows.agg(F.sum("blocks")).first()[0] or 0) / (2 * BLOCK_ROWS)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
-    rows = through_table(rows.drop("blocks"), "block-rows")
-    groups = max(1, math.ceil(rows.count() / GROUP_ROWS))
     key = ["band", "bucket", "left", "right"]
-    rows = rows.withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups))).drop("blocks", "other")
+    rows = rows.join(samples, "rep").join(bodies, "rep")
 
-    def candidates(frame: pd.DataFrame) -> pd.DataFrame:
+    def link(frame: pd.DataFrame) -> pd.DataFrame:
         low, high = [], []
-        for (_, _, left, right), part in frame.groupby(key, sort=False):
+        for (band, _, left, right), part in frame.groupby(key, sort=False):
+            part = part.drop_duplicates(["rep", "text"])
             sample = np.frombuffer(b"".join(part["samples"]), np.uint16).reshape(len(part), SAMPLES)
-            component, own, rep = (part[c].to_numpy() for c in ("component", "own", "rep"))
+            component, own, rep, text = (part[c].to_numpy() for c in ("component", "own", "rep", "text"))
             equal = np.zeros((len(part), len(part)), np.int16)
-            for draw in range(SAMPLES):
-                equal += sample[:, draw, None] == sample[None, :, draw]
-            good = (equal >= LEAST_EQUAL) & (component[:, None] < component[None, :])
+            good = component[:, None] < component[None, :]
             if left != right:
                 good &= own[:, None] != own[None, :]
-            a, b = np.nonzero(good)
-            if spanning and len(a):
-                order = np.argsort(-equal[a, b], kind="stable")
-                root = {c: c for c in component}
-
-                def top(c, root=root):
-                    while root[c] != c:
-                        c = root[c]
-                    return c
-
-                picked = []
-                for k in order:
-                    x, y = top(component[a[k]]), top(component[b[k]])
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        picked.append(k)
-                a, b = a[picked], b[picked]
-            low += np.minimum(rep[a], rep[b]).tolist()
-            high += np.maximum(rep[a], rep[b]).tolist()
+            for other in range(BANDS):
+                draws = [sample[:, k, None] == sample[None, :, k] for k in range(other * ROWS, (other + 1) * ROWS)]
+                equal += sum(d.astype(np.int16) for d in draws)
+                if other < band:
+                    good &= ~np.logical_and.reduce(draws)
+            a, b = np.nonzero(good & (equal >= LEAST_EQUAL))
+            order = np.argsort(-equal[a, b], kind="stable")
+            root = {c: c for c in component}
+            features: dict[int, tuple] = {}
+
+            def top(c, root=root):
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            def of(k, features=features, text=text):
+                if k not in features:
+                    found = weighted_shingles(token_hashes(text[k]), idf.value)
+                    features[k] = (*found, found[1].sum(dtype=np.float64))
+                return features[k]
+
+            for x, y in zip(a[order], b[order], strict=True):
+                s, t = top(component[x]), top(component[y])
+                if s == t:
+                    continue
+                p, q = of(x), of(y)
+                # The lighter text is all that can be shared.
+                if min(p[2], q[2]) >= similarity * max(p[2], q[2]) * (1 - 1e-6) and weighted_jaccard(p, q) >= similarity:
+                    root[max(s, t)] = min(s, t)
+                    low.append(min(rep[x], rep[y]))
+                    high.append(max(rep[x], rep[y]))
         return pd.DataFrame({"low": low, "high": high})
 
-    return rows.groupBy("group").applyInPandas(candidates, f"low {kind}, high {kind}").distinct()
+    return through_table(rows.groupBy("group").applyInPandas(link, f"low {kind}, high {kind}").distinct(), "more-links")
 
 
 def drop_near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
