@@ -126,6 +126,10 @@ def fit(texts: list[str | None], n_chars: np.ndarray, label: np.ndarray, rounds:
     return machine
 
 
+def fit_frame(frame: pd.DataFrame) -> Machine:
+    return fit(list(frame["text"]), frame["n_chars"].astype(float).to_numpy(), frame["label"].to_numpy().astype(int))
+
+
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of every row, over the whole text.
 

@@ -49,8 +49,7 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    sample = training.labelled_sample(docs, _table(spark, sf_dir, "labels"), "toxic", toxicity.PER_CLASS)
-    field = toxicity.fit(list(sample["text"]), sample["label"].to_numpy())
+    field = training.fitted(docs, _table(spark, sf_dir, "labels"), "toxic", toxicity.PER_CLASS, ("text",), toxicity.fit_frame)
     scored = toxicity.tag(docs, field)
     return scored.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
@@ -63,8 +62,7 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    sample = training.labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", quality.PER_CLASS, ("text", "n_chars"))
-    machine = quality.fit(list(sample["text"]), sample["n_chars"].astype(float).to_numpy(), sample["label"].to_numpy())
+    machine = training.fitted(docs, _table(spark, sf_dir, "labels"), "quality", quality.PER_CLASS, ("text", "n_chars"), quality.fit_frame)
     scored = quality.score(docs, machine)
     return scored.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
@@ -92,4 +90,66 @@ def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_near_embeddings, op2_source_mix, op3_token_rollup, op4_toxicity, op5_shards, op6_quality, op7_capture_index,
                                  op8_near_texts, op9_language, op10_contaminated)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e,
+         embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+         AND len([x FOR x IN embedding IF x <> 0]) > 0 AS usable
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND a.usable AND b.usable AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links,
+       (SELECT min(y) FROM reach r WHERE r.x = v.vec_id) AS component_id,
+       v.vec_id = (SELECT min(y) FROM reach r WHERE r.x = v.vec_id) AS kept
+FROM v""",
+    "op2_source_mix": r"""
+WITH d AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS source_key, coalesce(text, '') AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+k AS (
+  SELECT doc_id, no_source, source_key, size,
+         -ln(u) / power((length(translate(t, '#%$&*!|<>{}', '')) + 1) / (length(t) + 1), 2) AS key FROM d),
+s AS (
+  SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY no_source, source_key) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM (SELECT no_source, source_key, sum(size)::BIGINT AS source_size FROM k GROUP BY no_source, source_key)),
+r AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+         (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER w, 0) AS left_size,
+         sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS left_weight
+  FROM s WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, no_source, source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, cap * left_weight > weight * left_size AS is_open FROM r),
+l AS (SELECT left_size, left_weight FROM o WHERE is_open ORDER BY cap / weight, no_source, source_key LIMIT 1),
+g AS (
+  SELECT no_source, source_key, source_size,
+         CASE WHEN is_open THEN weight * (SELECT left_size FROM l) / (SELECT left_weight FROM l) ELSE cap END AS target FROM o),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS n FROM g),
+p AS (
+  SELECT doc_id, size, source_size, target, n, round(target - n * source_size)::BIGINT
+         - coalesce(sum(size) OVER (PARTITION BY no_source, source_key ORDER BY key, doc_id, size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+  FROM k JOIN f USING (no_source, source_key))
+SELECT doc_id, size, source_size, target, (n * size + least(greatest(room, 0), size))::BIGINT AS taken FROM p""",
+    "op7_capture_index": r"""
+WITH p AS (
+  SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
+         regexp_matches(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://') AS has_host
+  FROM pages),
+k AS (
+  SELECT *, CASE WHEN has_host THEN array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')'
+              || coalesce(nullif(string_split(substr(url, length(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')) + 1), '#')[1], ''), '/')
+              ELSE coalesce(url, '') END AS urlkey,
+         strftime(make_timestamp((1704067200 + page_id % 1000000000) * 1000000), '%Y%m%d%H%M%S') AS captured,
+         min(page_id) OVER (PARTITION BY payload_digest) AS first_page
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to,
+       urlkey, captured, row_number() OVER (ORDER BY urlkey, captured, page_id) - 1 AS position, true AS intact
+FROM k""",
+}

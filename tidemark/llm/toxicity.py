@@ -130,6 +130,9 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 7, batch: int
             # All chains with a toxic token teach, and every third of the others.
             if tag[k:k + CHAIN].any() or len(chains) % 3 == 0 or k == 0:
                 chains.append((words[k:k + CHAIN], tag[k:k + CHAIN]))
+    if not chains:
+        field.layer[0] = -30.0
+        return field
     order = np.random.default_rng(7)
     width = 3
     place = np.zeros((len(chains), CHAIN, width), np.int32)
@@ -144,7 +147,8 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 7, batch: int
         target[c, :len(words)], used[c, :len(words)] = tag, True
     field.bias = -4.0
     speed, move_speed, bias_speed = np.full(1 << BITS, 1e-2), np.full((2, 2), 1e-2), 1e-2
-    for _ in range(rounds):
+    # A small sample takes more rounds to as many steps.
+    for _ in range(max(rounds, -(-240 * batch // len(chains)))):
         shuffled = order.permutation(len(chains))
         for k in range(0, len(chains), batch):
             b = shuffled[k:k + batch]
@@ -174,6 +178,10 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 7, batch: int
     return field
 
 
+def fit_frame(frame: pd.DataFrame) -> Field:
+    return fit(list(frame["text"]), frame["label"].to_numpy().astype(int))
+
+
 def tag_words(odds: np.ndarray, field: Field) -> np.ndarray:
     """Marginals of one text."""
     if not len(odds):

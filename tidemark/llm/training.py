@@ -1,7 +1,10 @@
-"""Bounded labelled samples for classifiers."""
+"""Classifiers fitted on bounded labelled samples."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +13,8 @@ from tidemark.llm.language import held_out
 from tidemark.session import through_table
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], columns: tuple[str, ...] = ("text",)) -> pd.DataFrame:
-    """About `per_class` labelled documents of classes 0 and 1 with their texts, in a fixed order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], columns: tuple[str, ...]) -> DataFrame:
+    """(doc_id, columns, label) of about `per_class` labelled documents of classes 0 and 1.
 
     The bound is `per_class`: it limits what a classifier is fitted on, never what is scored. Labels of held-out ids and
     null labels or ids teach nothing; an id labelled twice has the higher label; equal documents count once. Ids are drawn
@@ -25,6 +28,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
         share = F.when(F.col("label") == value, int(min(1.0, per_class.get(value, 0) / n) * (1 << 30))).otherwise(share)
     # About as many ids as per_class names: bounded by the parameter.
     chosen = through_table(known.where(place < share), "labelled")
-    rows = docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id").distinct()
-    frame = rows.toPandas()
-    return frame.sort_values(["doc_id", "text"], na_position="first").reset_index(drop=True)
+    return docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id").distinct()
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], columns: tuple[str, ...],
+           fit: Callable[[pd.DataFrame], object]) -> object:
+    """The model that `fit` makes of the sample, in a fixed order of rows. One task fits, so the driver holds no texts;
+    what the task reads is bounded by `per_class`. Without any label `fit` gets an empty frame."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ordered = frame.sort_values(["doc_id", "text"], na_position="first").reset_index(drop=True)
+        return pd.DataFrame({"model": [pickle.dumps(fit(ordered))]})
+
+    sample = labelled_sample(docs, labels, label, per_class, columns)
+    found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(pd.DataFrame({c: [] for c in ("doc_id", *columns, "label")}))
