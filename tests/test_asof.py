@@ -116,3 +116,15 @@ def test_snapshot_completeness_states(spark):
     found = {r["request_id"]: (r["status"], r["missing"]) for r in asof.snapshot_completeness(requests, table).collect()}
     assert found["ok"] == ("COMPLETE", []) and found["late bar"] == ("INCOMPLETE", ["B", "C"])
     assert found["early"][0] == "BEFORE_CUTOFF" and found["none"][0] == "EMPTY_UNIVERSE"
+
+
+@pytest.mark.parametrize("table_rows", [10**6, 0])
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_null_keys_and_times_match_nothing(spark, table_rows, direction):
+    t = lambda n: datetime(2025, 1, n)
+    left = spark.createDataFrame([(1, "A", t(5)), (2, None, t(5)), (3, "A", None), (4, "B", t(5)), (5, "A", t(5))], "n int, k string, at timestamp_ntz")
+    right = spark.createDataFrame([("A", t(4), 8.0), ("A", t(6), 9.0), (None, t(5), 7.0), ("A", None, 6.0), ("B", None, 5.0), ("A", t(4), 8.5)],
+                                  "k string, known timestamp_ntz, v double")
+    found = asof.as_of_join(left, right, ["k"], "at", "known", direction, max_table_rows=table_rows)
+    value = 8.5 if direction == "backward" else 9.0
+    assert {r["n"]: r["match"] and r["match"]["v"] for r in found.collect()} == {1: value, 2: None, 3: None, 4: None, 5: value}

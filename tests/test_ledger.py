@@ -169,3 +169,24 @@ def test_valuation_counts_missing_marks(spark):
     assert rows[date(2025, 1, 1)]["missing_marks"] == 1
     assert rows[date(2025, 1, 2)]["portfolio_value"] == pytest.approx(74 + 18)
     assert rows[date(2025, 1, 2)]["benchmark_return"] == pytest.approx(0.01)
+
+
+def test_decimal_trades_end_flat_however_they_are_split(spark):
+    rng = random.Random(9)
+    sizes = [rng.randrange(1, 10**10) / 10**4 for _ in range(500)]
+    sold = rng.sample(sizes, 500)
+    rows = [("P", "A", f"f{i}", i, "BUY", q, 3.0, 0.0) for i, q in enumerate(sizes)]
+    rows += [("P", "A", f"f{500 + i}", 500 + i, "SELL", q, 3.0, 0.0) for i, q in enumerate(sold)]
+    rows += [("P", "A", f"f{1000 + i}", 1000 + i, "BUY", 10.0, 10.0, 0.0) for i in range(5)]
+    fills = spark.createDataFrame(rows, "portfolio string, symbol string, fill_id string, t int, side string, quantity double, price double, fee double")
+    for limit in (10**6, 700, 90, 20):
+        row = ledger.positions(fills, ["t"], max_group_rows=limit).first()
+        assert (row["quantity"], row["cost_basis"], row["fills"], row["oversold_by"], row["left_out"]) == (50.0, 500.0, 1005, None, 0)
+        assert ledger.cash_ledger(fills, ["t"], 1e9, max_group_rows=limit).first()["cash"] == 1e9 - 500
+
+
+def test_fills_after_a_short_sale_are_counted(spark):
+    rows = [("P", "A", "a", 1, "BUY", 1.0, 5.0, 0.0), ("P", "A", "b", 2, "SELL", 2.0, 5.0, 0.0), ("P", "A", "c", 3, "BUY", 4.0, 5.0, 0.0)]
+    fills = spark.createDataFrame(rows, "portfolio string, symbol string, fill_id string, t int, side string, quantity double, price double, fee double")
+    row = ledger.positions(fills, ["t"]).first()
+    assert (row["quantity"], row["fills"], row["oversold_by"], row["left_out"]) == (1.0, 1, "b", 2)

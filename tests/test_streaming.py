@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from helpers import bar, bars
+from helpers import bar, bars, series
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
@@ -52,3 +52,34 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
         put_batch(rows, path, 0)
     assert read_batches(spark, path, "x int").count() == 2
     assert read_state(spark, path, "x int", 1).count() == 2 and read_state(spark, path, "x int", 0).count() == 0
+
+
+def test_repeated_and_late_fills_are_placed(spark):
+    schema = "portfolio string, symbol string, fill_id string, t int, side string, quantity double, price double, fee double"
+    first = [("P", "A", "b", 2, "BUY", 10.0, 10.0, 0.0), ("P", "A", "c", 3, "SELL", 5.0, 20.0, 0.0)]
+    second = [("P", "A", "a", 1, "BUY", 10.0, 20.0, 0.0), first[0]]
+    whole = ledger.positions(spark.createDataFrame([*first, second[0]], schema), ["t"]).first()
+    out = drain(spark, [spark.createDataFrame(rows, schema) for rows in (first, second)],
+                lambda s, o, c: jobs.running_positions(s, ("t",), o, c))
+    row = jobs.latest_state(spark, out, jobs.POSITION_STATE).first()
+    assert [row[c] for c in ("fills", "quantity", "cost_basis", "realized_pnl")] == [
+        whole[c] for c in ("fills", "quantity", "cost_basis", "realized_pnl")] == [3, 15.0, 225.0, 25.0]
+
+
+def test_completeness_over_batches_and_empty_sessions(spark):
+    day = lambda n, h=22: datetime(2025, 3, n, h)
+    bars_of = lambda *rows: spark.createDataFrame([(s, day(n).date(), day(o)) for s, n, o in rows], "symbol string, session date, observed_at timestamp")
+    universe = spark.createDataFrame([(day(n).date(), day(n), ["A", "B"]) for n in (1, 2, 3, 20)], "session date, closed_at timestamp_ntz, symbols array<string>")
+    parts = [bars_of(("A", 1, 1), ("A", 3, 3)), bars_of(("B", 1, 2), ("A", 20, 20)), bars_of(("B", 2, 21))]
+    out = drain(spark, parts, lambda s, o, c: jobs.session_completeness(s, universe, o, c))
+    found = {r["session"].day: (r["seen"], r["missing"]) for r in jobs.completeness_report(spark, out).collect()}
+    assert found == {1: (2, ""), 2: (0, "A,B"), 3: (1, "B")}
+    late = read_batches(spark, f"{out}/late", "symbol string, session date, observed_at timestamp").collect()
+    assert [(r["symbol"], r["session"].day) for r in late] == [("B", 2)]
+
+
+def test_a_bar_with_other_content_is_listed(spark):
+    first, other = bars(spark, series("A", [10, 11])), bars(spark, series("A", [10, 12]))
+    out = drain(spark, [first, other], jobs.ingest_bars)
+    assert sorted(r["close"] for r in read_batches(spark, f"{out}/bars", first.schema).collect()) == [10, 11]
+    assert [r["close"] for r in read_batches(spark, f"{out}/conflicts", first.schema).collect()] == [12]

@@ -27,12 +27,11 @@ class Constraints:
     maximum_invested_weight: float = 1.0
 
     def __post_init__(self) -> None:
-        limits = (self.maximum_position_weight, self.maximum_sector_weight, self.maximum_turnover,
-                  self.maximum_invested_weight)
-        if min(limits) < 0 or max(limits) > 1:
-            raise ValueError("weight and turnover limits must lie between zero and one")
-        if self.maximum_position_weight > self.maximum_sector_weight:
-            raise ValueError("position limit cannot exceed sector limit")
+        for name, value in vars(self).items():
+            if name.endswith(("_weight", "_turnover")) and not 0 <= value <= 1:
+                raise ValueError(f"{name} is a share of the portfolio, not {value}")
+        if self.maximum_sector_weight < self.maximum_position_weight:
+            raise ValueError(f"a sector of {self.maximum_sector_weight} has no room for a position of {self.maximum_position_weight}")
 
 
 def gate_columns(c: Constraints) -> dict[str, Column]:
@@ -130,12 +129,20 @@ def scored_candidates(
     feature_version: str, features: Sequence[str] = FEATURES, key: str = "decision",
 ) -> DataFrame:
     """Model scores as allocation candidates. Snapshots of another version or with a missing feature
-    are left out here and listed by ``version_mismatches`` and ``unscorable``."""
-    if residual_uncertainty < 0:
-        raise ValueError("residual uncertainty cannot be negative")
+    are left out here and listed by ``version_mismatches`` and ``unscorable``.
+
+    A model table with the ``key`` column scores each decision by its own model; without it there must
+    be exactly one model."""
+    if not residual_uncertainty >= 0:
+        raise ValueError(f"uncertainty of residuals is a deviation, not {residual_uncertainty}")
     usable = snapshots.filter(F.col("feature_version") == feature_version)
-    one = F.lit(1).alias("one")
-    joined = usable.withColumn("one", one).join(F.broadcast(model.limit(1).withColumn("one", one)), "one")
+    if key in model.columns:
+        joined = usable.join(model, key)
+    else:
+        models = model.limit(2).count()
+        if models != 1:
+            raise ValueError(f"{'several' if models else 'no'} models and no column {key} to choose by")
+        joined = usable.withColumn("one", F.lit(1)).join(F.broadcast(model.withColumn("one", F.lit(1))), "one")
     scored = joined.select(key, "symbol", score(features).alias("expected_excess_return")).filter(
         "expected_excess_return IS NOT NULL")
     return scored.join(context, [key, "symbol"]).withColumn("uncertainty", F.lit(residual_uncertainty))

@@ -15,6 +15,8 @@ from tidemark.session import materialize
 
 MAX_TABLE_ROWS = 1_000_000
 MAX_PER_DAY = 64
+#: Bytes of right rows that a broadcast day table may hold, measured before it is built.
+MAX_TABLE_BYTES = 32 << 20
 
 
 def as_of_join(
@@ -25,10 +27,12 @@ def as_of_join(
     """Every left row with the right row of the same key nearest at or before (after) its time.
 
     Right columns come back in a nullable struct ``match``. Equal right times: the largest row wins
-    going backward, the smallest going forward. Two ways, chosen from the measured right side:
+    going backward, the smallest going forward. Rows with a null key or time match nothing on either
+    side; such left rows stay, with a null ``match``. Two ways with the same result, chosen from the
+    measured right side:
 
-    * a right side that is sparse per day and small as a (key, day) table becomes such a table and
-      is broadcast, so the left side is not shuffled at all;
+    * a right side that is sparse per day and small as a (key, day) table, in rows and in bytes,
+      becomes such a table and is broadcast, so the left side is not shuffled at all;
     * anything else is merged with the left rows into one ordered scan, which splits hot keys. The
       cost is a sort, never one pair per earlier row.
     """
@@ -36,6 +40,8 @@ def as_of_join(
         raise ValueError("direction must be backward or forward")
     forward = direction == "forward"
     payload = F.struct(*[F.col(c) for c in right.columns])
+    for name in (*on, right_time):
+        right = right.filter(F.col(name).isNotNull())
     facts = right.groupBy(*on, F.col(right_time).alias("_time")).agg(
         (F.min if forward else F.max)(payload).alias("_right"))
     per_day = right.groupBy(*on, F.to_date(right_time).alias("day")).agg(F.count_distinct(right_time).alias("n"))
@@ -44,9 +50,19 @@ def as_of_join(
     if not size["keys"]:
         return left.withColumn("match", F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType))
     days = (size["high"] - size["low"]).days + 3
+    joined = None
     if size["keys"] * days <= max_table_rows and size["n"] <= MAX_PER_DAY:
-        return _by_day_table(left, materialize(facts), on, left_time, size["low"], size["high"], forward)
-    return _by_scan(left, facts, on, left_time, forward, max_group_rows)
+        facts = materialize(facts)
+        held = facts.agg(F.sum(F.octet_length(F.to_json("_right")))).first()[0]
+        # Next to its own rows, a day holds the nearest row outside it.
+        if held + size["keys"] * days * held // max(1, facts.count()) <= MAX_TABLE_BYTES:
+            joined = _by_day_table(left, facts, on, left_time, size["low"], size["high"], forward)
+    if joined is None:
+        joined = _by_scan(left, facts, on, left_time, forward, max_group_rows)
+    asked = F.col(left_time).isNotNull()
+    for name in on:
+        asked = asked & F.col(name).isNotNull()
+    return joined.withColumn("match", F.when(asked, F.col("match")))
 
 
 def _by_day_table(left, facts, on, left_time, low, high, forward) -> DataFrame:

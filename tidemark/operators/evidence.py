@@ -31,6 +31,16 @@ def fresh(maximum_age_days: int) -> Column:
         & (decision - available <= F.make_dt_interval(F.lit(maximum_age_days))))
 
 
+def _near_days(cases: DataFrame, evidence: DataFrame, maximum_age_days: int) -> tuple[DataFrame, DataFrame, str]:
+    """Both sides with a bucket of days: a record that is fresh for a case shares one of the case's two buckets, so an
+    equality join meets neither older nor later records of a much-covered key."""
+    width = max(1, maximum_age_days + 1)
+    day = lambda name: F.floor(F.unix_date(F.to_date(name)) / width)
+    last = day("decision_at")
+    return (cases.withColumn("_bucket", F.explode(F.array(last - 1, last))),
+            evidence.withColumn("_bucket", day("available_to_strategy_at")), "_bucket")
+
+
 def check_evidence(
     cases: DataFrame, evidence: DataFrame, maximum_age_days: int, on: Sequence[str] = ("symbol",),
 ) -> DataFrame:
@@ -59,10 +69,11 @@ def curate(
     Copies share source, normalised claim, times and vintage; the smallest id stays. Claims enter the
     shuffle as a hash of their whole text, and copies are combined on the map side.
     """
-    usable = evidence.join(cases.select("case_id", "decision_at", *on), [*on]).filter(
+    asked, records, bucket = _near_days(cases.select("case_id", "decision_at", *on), evidence, maximum_age_days)
+    usable = records.withColumn("claim_hash", sha(normal_text("claim"))).drop("claim").join(asked, [*on, bucket]).filter(
         fresh(maximum_age_days) & (F.col("retrieved_at") >= F.col("published_at")))
     return usable.groupBy(
-        "case_id", "source", sha(normal_text("claim")).alias("claim_hash"), "published_at",
+        "case_id", "source", "claim_hash", "published_at",
         "available_to_strategy_at", "vintage",
     ).agg(F.min("id").alias("id")).select("case_id", "id", "source", "available_to_strategy_at")
 

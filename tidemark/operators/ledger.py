@@ -19,6 +19,8 @@ from tidemark.operators.asof import as_of_join
 from tidemark.session import through_table
 
 EPSILON = 1e-9
+#: Exact types of running sums: quantities and money to ten places, logarithms to eighteen.
+AMOUNT, LOGARITHM = "decimal(28,10)", "decimal(24,18)"
 
 
 # ------------------------------------------------------------------ execution
@@ -43,7 +45,7 @@ def match_quotes(orders: DataFrame, quotes: DataFrame) -> DataFrame:
 def execute(pairs: DataFrame, fee: float = 0.0, slippage_bps: float = 2.0) -> DataFrame:
     """Fill quantity, price and costs of each (order, quote) pair, or the reason for rejection."""
     if fee < 0 or slippage_bps < 0:
-        raise ValueError("cost assumptions cannot be negative")
+        raise ValueError(f"fee {fee} and slippage {slippage_bps} bps must be at least 0")
     reason = F.when(F.col("quote").isNull(), F.lit("no quote")).otherwise(rejection_reason())
     direction = F.when(F.col("order.side") == "BUY", 1.0).otherwise(-1.0)
     half, slip = F.col("quote.spread_bps") / 20_000, F.lit(slippage_bps / 10_000)
@@ -82,36 +84,41 @@ def positions(
     A sell relieves the basis in proportion to the quantity sold, so a buy's share of the final
     basis is the product of what later sells left over; only fills after the last flat point count.
     What the basis does not keep has been relieved, which gives the realised result. A position
-    stops at its first sale of more than is held; that fill is named and later ones are left out.
+    stops at its first sale of more than is held; that fill is named and later ones are left out,
+    and ``left_out`` counts them with it.
+
+    Quantities, money and the logarithms of what is left over are summed as decimals: flat and short
+    are tested against zero, and the result does not depend on how a group is split.
     """
     keys = list(keys)
     group = scans.ordered(
-        fills.withColumn("signed", signed_quantity()).withColumn("cash", cash_effect()), keys, order, max_group_rows)
+        fills.withColumn("signed", signed_quantity().cast(AMOUNT)).withColumn("cash", cash_effect().cast(AMOUNT)),
+        keys, order, max_group_rows)
     group = scans.running(group, {"held": ("sum", "signed")})
-    short = F.col("held") < -EPSILON
+    short = F.col("held") < 0
     place = F.struct(*order, F.col(fill_id).alias("_fill"))
     group = scans.running(group.with_rows(group.rows.withColumn("short", short.cast("int"))), {"broken": ("max", "short")})
     counted = group.rows.withColumn("valid", F.col("broken") == 0)
     before = F.col("held") - F.col("signed")
     sold = F.col("valid") & (F.col("side") == "SELL")
-    flat = F.col("valid") & (F.abs("held") < EPSILON)
-    left_over = F.when(sold & ~flat, F.ln(1 - F.col("quantity") / before)).otherwise(F.lit(0.0))
+    flat = F.col("valid") & (F.col("held") == 0)
+    kept_share = F.col("held").cast("double") / before.cast("double")
+    left_over = F.when(sold & ~flat, F.ln(kept_share)).otherwise(F.lit(0.0)).cast(LOGARITHM)
     group = group.with_rows(counted.withColumn("flat", flat.cast("int")).withColumn("left_over", left_over))
     group = scans.running(
         group, {"flats_from_here": ("sum", "flat"), "left_from_here": ("sum", "left_over")}, reverse=True)
     buy = F.col("valid") & (F.col("side") == "BUY")
-    kept = F.when(buy & (F.col("flats_from_here") == 0), -F.col("cash") * F.exp(F.col("left_from_here")))
+    kept = F.when(buy & (F.col("flats_from_here") == 0),
+                  (-F.col("cash").cast("double") * F.exp(F.col("left_from_here").cast("double"))).cast(AMOUNT))
+    total = lambda value: F.coalesce(F.sum(value).cast("double"), F.lit(0.0))
     summed = group.result().groupBy(*keys).agg(
-        F.count_if("valid").alias("fills"),
-        F.coalesce(F.sum(F.when(F.col("valid"), F.col("signed"))), F.lit(0.0)).alias("quantity"),
-        F.coalesce(F.sum(kept), F.lit(0.0)).alias("cost_basis"),
-        F.coalesce(F.sum(F.when(F.col("valid"), F.col("cash"))), F.lit(0.0)).alias("cash_flow"),
+        F.count_if("valid").alias("fills"), F.count_if(~F.col("valid")).alias("left_out"),
+        total(F.when(F.col("valid"), F.col("signed"))).alias("quantity"), total(kept).alias("cost_basis"),
+        total(F.when(F.col("valid"), F.col("cash"))).alias("cash_flow"),
         F.min(F.when(F.col("short") == 1, place)).alias("first_short"))
     return summed.select(
-        *keys, "fills",
-        F.when(F.abs("quantity") < EPSILON, F.lit(0.0)).otherwise(F.col("quantity")).alias("quantity"),
-        "cost_basis", (F.col("cash_flow") + F.col("cost_basis")).alias("realized_pnl"),
-        F.col("first_short._fill").alias("oversold_by"))
+        *keys, "fills", "quantity", "cost_basis", (F.col("cash_flow") + F.col("cost_basis")).alias("realized_pnl"),
+        F.col("first_short._fill").alias("oversold_by"), "left_out")
 
 
 def account_view(held: DataFrame) -> DataFrame:
@@ -124,11 +131,13 @@ def cash_ledger(
     max_group_rows: int = scans.MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Final and lowest cash per portfolio and the first fill that overdraws it."""
-    group = scans.ordered(fills.withColumn("cash", cash_effect()), ["portfolio"], order, max_group_rows)
-    rows = scans.running(group, {"flow": ("sum", "cash")}).result().withColumn("balance", initial_cash + F.col("flow"))
+    group = scans.ordered(fills.withColumn("cash", cash_effect().cast(AMOUNT)), ["portfolio"], order, max_group_rows)
+    rows = scans.running(group, {"flow": ("sum", "cash")}).result().withColumn(
+        "balance", F.lit(initial_cash).cast(AMOUNT) + F.col("flow"))
     overdrawn = F.when(F.col("balance") < 0, F.struct(*order, F.col(fill_id).alias("_fill")))
     return rows.groupBy("portfolio").agg(
-        (F.lit(initial_cash) + F.sum("cash")).alias("cash"), F.min("balance").alias("lowest_cash"),
+        (F.lit(initial_cash).cast(AMOUNT) + F.sum("cash")).cast("double").alias("cash"),
+        F.min("balance").cast("double").alias("lowest_cash"),
         F.min(overdrawn)["_fill"].alias("overdrawn_by"))
 
 

@@ -37,7 +37,7 @@ def training_rows(
     A row needs the same end date on both sides, an end not after the cutoff, and every feature.
     """
     if horizon <= 0:
-        raise ValueError("horizon must be positive")
+        raise ValueError(f"a label needs at least one session ahead, not {horizon}")
     stock = _forward(bars, ["symbol"], horizon, "")
     bench = _forward(benchmark.select("session", "close").withColumn("market", F.lit(1)), ["market"], horizon, "bench_")
     cutoff = F.to_date(F.lit(label_cutoff))
@@ -82,7 +82,7 @@ def fold_places(
     Training sets expand, so the first fold says everything about a date's membership.
     """
     if min(minimum_train, validation) <= 0 or min(purge, embargo) < 0:
-        raise ValueError("invalid split sizes")
+        raise ValueError("folds need a training and a validation window of at least one date and gaps of zero or more")
     step = validation + embargo
     start = minimum_train + purge
     indexed = numbered_dates(dates)
@@ -180,7 +180,7 @@ def solve_moments(moments: pd.DataFrame, alphas: Sequence[float], size: int) ->
 def ridge_models(moments: DataFrame, alphas: Sequence[float], features: Sequence[str] = FEATURES) -> DataFrame:
     """One model row per (fold, alpha). The moment table is tiny: folds x p^2 numbers."""
     if not alphas or min(alphas) < 0:
-        raise ValueError("candidate alphas must be non-negative")
+        raise ValueError(f"ridge penalties below zero or none given: {tuple(alphas)}")
     listed, size = tuple(sorted(set(alphas))), len(features)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,7 +277,7 @@ def clustered_mean_interval(
     dates from the broadcast table of means, which holds one row per day.
     """
     if not 0 < confidence < 1 or resamples < 100:
-        raise ValueError("invalid bootstrap inputs")
+        raise ValueError("the bootstrap needs one draw or more and a confidence strictly between 0 and 1")
     means = date_means(observations).select(
         "date", "mean", (F.row_number().over(W.orderBy("date")) - 1).cast("bigint").alias("k"))
     n = means.agg(F.count("*")).scalar()

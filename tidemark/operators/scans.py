@@ -3,8 +3,9 @@
 A window puts a whole group into one task. That is right while groups are small, so the size of the
 largest group is checked first. Beyond the bound the rows are range-partitioned by (keys, order): a
 hot group then spans many tasks. Each task scans its own stretch, the stretch totals (one row per
-group and stretch) are scanned, and what came before a stretch is added to its rows. Results are the
-same either way.
+group and stretch) are scanned, and what came before a stretch is added to its rows. Sums are taken
+over integers and decimals only, so adding in stretches gives the same values as adding in a row;
+floating point columns are refused.
 """
 
 from __future__ import annotations
@@ -75,6 +76,9 @@ def running(
     order = [turn(c) for c in group.order]
     end = -1 if exclusive else 0
     values = {name: (kind, F.col(c) if isinstance(c, str) else c) for name, (kind, c) in columns.items()}
+    for name, (kind, value) in values.items():
+        if kind == "sum" and group.rows.select(value).schema[0].dataType.typeName() in ("double", "float"):
+            raise TypeError(f"running sum {name} needs an exact type; cast it to a decimal")
     if not group.split:
         window = W.partitionBy(*group.keys).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
         return group.with_rows(group.rows.select(

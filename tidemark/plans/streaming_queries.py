@@ -63,11 +63,13 @@ def stream_completeness(spark, sf):
     rows = bars.select("symbol", "session", F.col("observed_at").cast("timestamp").alias("observed_at"), "available_to_strategy_at")
     cut = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
     listed = bars.select("symbol").distinct().groupBy().agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
-    universe = bars.select("session").distinct().withColumn("symbols", listed.scalar())
-    parts = [rows.filter(F.col("available_to_strategy_at") < cut).drop("available_to_strategy_at"),
-             rows.filter(F.col("available_to_strategy_at") >= cut).drop("available_to_strategy_at")]
+    universe = bars.groupBy("session").agg(F.max("available_to_strategy_at").alias("closed_at")).withColumn("symbols", listed.scalar())
+    # The last ten days of the first part come in two batches: a session is complete only over both.
+    split = F.col("available_to_strategy_at") >= cut - F.make_dt_interval(F.lit(10))
+    first = (F.col("available_to_strategy_at") < cut) & ~(split & (F.pmod(F.xxhash64("symbol"), F.lit(3)) == 0))
+    parts = [rows.filter(first).drop("available_to_strategy_at"), rows.filter(~first).drop("available_to_strategy_at")]
     out = drain(spark, parts, lambda stream, path, checkpoint: jobs.session_completeness(stream, universe, path, checkpoint))
-    return spark.read.schema("session date, seen int, missing string").parquet(out)
+    return jobs.completeness_report(spark, out)
 
 
 def stream_lifecycle(spark, sf):
@@ -82,7 +84,9 @@ def stream_lifecycle(spark, sf):
 def stream_positions(spark, sf):
     fills = d.fills(spark, sf)
     cut = F.lit("1998-07-01").cast("date")
-    out = drain(spark, [fills.filter(F.col("executed_on") < cut), fills.filter(F.col("executed_on") >= cut)],
+    # Parts overlap and come out of order: repeats and late fills.
+    third = F.pmod(F.xxhash64("fill_id"), F.lit(3))
+    out = drain(spark, [fills.filter((F.col("executed_on") >= cut) | (third == 0)), fills.filter((F.col("executed_on") < cut) | (third == 1))],
                 lambda stream, path, checkpoint: jobs.running_positions(stream, d.FILL_ORDER, path, checkpoint))
     return jobs.latest_state(spark, out, jobs.POSITION_STATE).select(
         "portfolio", "symbol", "fills", r("quantity").alias("quantity"), settled("cost_basis").alias("cost_basis"),

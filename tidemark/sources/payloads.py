@@ -25,7 +25,7 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _price(column: Column) -> Column:
-    return column.cast(schemas.PRICE)
+    return column.try_cast(schemas.PRICE)
 
 
 def _stamps(retrieved: Column, prefix: str) -> list[Column]:
@@ -51,7 +51,7 @@ def parse_list_prices(responses: DataFrame) -> DataFrame:
         "symbol", "session",
         *[_price(F.col(f"bar.{name}")).alias(name) for name in ("open", "high", "low", "close")],
         _price(F.col("bar.close")).alias("adjusted_close"),
-        F.coalesce(F.col("bar.volume").cast("double").cast("bigint"), F.lit(0)).alias("volume"),
+        F.coalesce(F.col("bar.volume").try_cast("double").try_cast("bigint"), F.lit(0)).alias("volume"),
         _price(F.coalesce("bar.divCash", F.lit("0"))).alias("dividend"),
         _price(F.coalesce("bar.splitFactor", F.lit("1"))).alias("split_coefficient"),
         F.lit("Tiingo").alias("source"), *_stamps(F.col("retrieved_at"), "raw:retrieved:"))
@@ -78,7 +78,7 @@ def parse_map_prices(responses: DataFrame, adjusted: bool = True) -> DataFrame:
         "symbol", "session",
         *[_price(_quoted(f"{n}. {name}")).alias(name)
           for n, name in enumerate(("open", "high", "low", "close"), start=1)],
-        _price(close).alias("adjusted_close"), _quoted(volume).cast("bigint").alias("volume"),
+        _price(close).alias("adjusted_close"), _quoted(volume).try_cast("bigint").alias("volume"),
         _price(dividend).alias("dividend"), _price(split).alias("split_coefficient"),
         F.lit("Alpha Vantage").alias("source"),
         *_stamps(F.col("retrieved_at"), "retrieved:" if adjusted else "raw:retrieved:"))
@@ -96,9 +96,22 @@ def map_error() -> Column:
 
 
 def list_error() -> Column:
-    """Reason an array response holds no data, or null."""
+    """Reason an array response holds no data or cannot be parsed whole, or null."""
     message = F.coalesce(*[_field(key) for key in LIST_ERRORS], F.col("payload"))
-    return F.when(~_is_list(), message)
+    return F.when(F.col("payload").isNull(), "no response").when(~_is_list(), message).when(
+        ~_whole(), "not valid JSON")
+
+
+def facts_error() -> Column:
+    """Reason a filings response holds no data or cannot be parsed whole, or null."""
+    facts = F.get_json_object("payload", "$.facts")
+    return F.when(F.col("payload").isNull(), "no response").when(~_whole(), "not valid JSON").when(
+        facts.isNull(), "facts missing")
+
+
+def _whole() -> Column:
+    """Whether the whole text is one JSON value: cut off responses are not."""
+    return F.try_variant_get(F.try_parse_json("payload"), "$", "variant").isNotNull()
 
 
 def quarantine(responses: DataFrame, error: Column) -> DataFrame:
@@ -112,7 +125,7 @@ def parse_market_caps(responses: DataFrame) -> DataFrame:
         F.explode(F.from_json("payload", schemas.LIST_CAPS)).alias("cap")).filter("cap.marketCap IS NOT NULL")
     return rows.select(
         "symbol", F.to_date(F.substring("cap.date", 1, 10)).alias("observed_date"),
-        F.col("cap.marketCap").cast("decimal(28,4)").alias("market_cap"), "retrieved_at",
+        F.col("cap.marketCap").try_cast("decimal(28,4)").alias("market_cap"), "retrieved_at",
     ).select(
         "symbol", "observed_date", session_close("observed_date").alias("available_to_strategy_at"), "market_cap",
         F.lit("Tiingo Fundamentals").alias("source"),

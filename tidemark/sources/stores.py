@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import canonical, scaled, sha, sorted_list_hash
 from tidemark.operators.scans import numbered
+from tidemark.session import through_table
 
 
 class SnapshotConflict(ValueError):
@@ -18,8 +19,17 @@ class SnapshotConflict(ValueError):
 # ------------------------------------------------------------------ bars
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Bars as parquet by year; ranges read later touch only the years they need."""
-    bars.withColumn("year", F.year("session")).write.mode("append").partitionBy("year").parquet(path)
+    """Bars as parquet by year; ranges read later touch only the years they need.
+
+    Stored rows of the years that ``bars`` holds are merged with it and those years replaced, so writing
+    the same bars again changes nothing."""
+    merged = bars.withColumn("year", F.year("session"))
+    years = [row["year"] for row in merged.select("year").distinct().collect()]
+    stored = _stored(bars.sparkSession, path)
+    if stored is not None:
+        merged = merged.unionByName(stored.filter(F.col("year").isin(years)))
+    through_table(merged.dropDuplicates(), "merged-bars").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def read_bars(spark, path: str, start: str, end: str) -> DataFrame:
@@ -66,8 +76,13 @@ def snapshot_digest(bars: DataFrame) -> DataFrame:
 
 
 def _manifest(spark, path: str) -> DataFrame | None:
+    return _stored(spark, f"{path}/manifest")
+
+
+def _stored(spark, path: str) -> DataFrame | None:
+    """The table at a path, or nothing where none was written yet."""
     try:
-        return spark.read.parquet(f"{path}/manifest")
+        return spark.read.parquet(path)
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" in str(error):
             return None
@@ -75,11 +90,14 @@ def _manifest(spark, path: str) -> DataFrame | None:
 
 
 def freeze_snapshot(bars: DataFrame, path: str, snapshot_id: str, as_of: str) -> str:
-    """Store bars once under an id. The same content again changes nothing; other content is an error."""
+    """Store bars once under an id. The same content again changes nothing; other content is an error.
+
+    Rows go to the snapshot's own partition, which is replaced, and the manifest follows; a freeze that
+    failed in between can be repeated."""
     spark = bars.sparkSession
     late = bars.filter(F.col("available_to_strategy_at") > F.lit(as_of).cast("timestamp_ntz"))
     if not late.isEmpty():
-        raise ValueError("snapshot contains rows unavailable at its as-of time")
+        raise ValueError(f"some bars became available only after {as_of}")
     digest = snapshot_digest(bars).first()["digest"]
     manifest = _manifest(spark, path)
     known = manifest.filter(F.col("snapshot_id") == snapshot_id).first() if manifest is not None else None
@@ -87,8 +105,8 @@ def freeze_snapshot(bars: DataFrame, path: str, snapshot_id: str, as_of: str) ->
         if (known["digest"], known["as_of"]) != (digest, as_of):
             raise SnapshotConflict(f"snapshot {snapshot_id} exists with different inputs")
         return digest
-    bars.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id").parquet(
-        f"{path}/rows")
+    bars.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{path}/rows")
     spark.createDataFrame(
         [(snapshot_id, as_of, digest)], "snapshot_id string, as_of string, digest string",
     ).write.mode("append").parquet(f"{path}/manifest")

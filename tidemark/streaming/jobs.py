@@ -1,8 +1,8 @@
 """Streaming versions of ingest, event log, completeness, lifecycle, positions and counters.
 
-Ingest, log, lifecycle and positions use the batch operators on each micro-batch, so hot keys are
-split the same way and nothing is dropped for being late. Completeness and counters use event-time
-windows with a watermark.
+Ingest, log, completeness, lifecycle and positions run the batch operators on each micro-batch and keep
+what they need in batch folders: repeats are recognised, late rows take their place or are listed as late.
+Counters use event-time windows with a watermark.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import ledger, quality, scans
+from tidemark.session import through_table
 from tidemark.sources import stores
 from tidemark.streaming.sinks import put_batch, read_batches, read_state, start_batches
 
@@ -24,7 +25,8 @@ def ingest_bars(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Valid bars once per (symbol, session, vintage) to out/bars, invalid ones to out/quarantine.
 
     Repeats are dropped inside the batch and against what is stored for the same sessions; only the
-    stored files of the batch's session range are read.
+    stored files of the batch's session range are read. A bar that comes again with other content goes
+    to out/conflicts; the one stored first stays, and within a batch the least.
     """
     schema = stream.schema
 
@@ -32,11 +34,16 @@ def ingest_bars(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         spark = batch.sparkSession
         valid, invalid = quality.split_valid(batch, quality.bar_violations())
         body = [c for c in valid.columns if c not in KEY]
+        content = F.xxhash64(*body)
         once = valid.groupBy(*KEY).agg(F.min(F.struct(*body)).alias("bar")).select(*KEY, "bar.*")
         low, high = once.agg(F.min("session"), F.max("session")).first()
         known = read_batches(spark, f"{out}/bars", schema, number).filter(
-            F.col("session").between(F.lit(low), F.lit(high))).select(*KEY)
-        put_batch(once.join(known, [*KEY], "left_anti"), f"{out}/bars", number)
+            F.col("session").between(F.lit(low), F.lit(high)))
+        first = known.select(*KEY, content.alias("held")).unionByName(
+            once.join(known.select(*KEY), [*KEY], "left_anti").select(*KEY, content.alias("held")))
+        clash = valid.withColumn("came", content).join(first, [*KEY]).filter("came <> held").drop("came", "held")
+        put_batch(clash.distinct(), f"{out}/conflicts", number)
+        put_batch(once.join(known.select(*KEY), [*KEY], "left_anti"), f"{out}/bars", number)
         put_batch(invalid.distinct(), f"{out}/quarantine", number)
 
     return start_batches(stream, handle, checkpoint)
@@ -57,21 +64,39 @@ def append_event_log(stream: DataFrame, out: str, checkpoint: str) -> StreamingQ
 
 
 def session_completeness(
-    stream: DataFrame, universe: DataFrame, out: str, checkpoint: str, watermark: str = "14 days",
+    stream: DataFrame, universe: DataFrame, out: str, checkpoint: str, delay_days: int = 14,
 ) -> StreamingQuery:
-    """Symbols seen and missing per session once the watermark has passed it.
+    """Symbols seen and missing per session, once bars ``delay_days`` newer than it have come.
 
-    ``stream`` has symbol, session and observed_at (timestamp), one row per bar. ``universe`` (session,
-    symbols array) is a static table with one row per session.
+    ``stream`` has symbol, session and observed_at (timestamp); bars of a session may come in any batch.
+    ``universe`` (session, closed_at, symbols array) is a static table with one row per session: the report
+    starts from it, so a session without any bar is reported too. What comes for a session already
+    reported goes to out/late. Only the stored pairs of sessions not yet reported are read again.
     """
-    seen = stream.withWatermark("observed_at", watermark).groupBy(
-        F.window("observed_at", "1 day"), "session").agg(F.collect_set("symbol").alias("seen"))
-    joined = seen.join(F.broadcast(universe), "session", "left")
-    rows = joined.select(
-        "session", F.size("seen").alias("seen"),
-        F.array_join(F.array_sort(F.array_except("symbols", "seen")), ",").alias("missing"))
-    return rows.writeStream.outputMode("append").format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    pairs, report = "symbol string, session date, observed_at timestamp", "session date, seen int, missing string"
+    due_after = F.to_date("closed_at") + F.make_dt_interval(F.lit(1 + delay_days))
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = read_batches(spark, f"{out}/report", report, number).select("session")
+        fresh = batch.groupBy("symbol", "session").agg(F.max("observed_at").alias("observed_at"))
+        put_batch(fresh, f"{out}/seen", number)
+        put_batch(fresh.join(done, "session", "left_semi"), f"{out}/late", number)
+        seen = read_batches(spark, f"{out}/seen", pairs, number + 1)
+        newest = seen.agg(F.max("observed_at").cast("timestamp_ntz").alias("newest"))
+        due = universe.join(done, "session", "left_anti").join(F.broadcast(newest), due_after <= F.col("newest"))
+        held = seen.join(due.select("session"), "session", "left_semi").select("session", "symbol").distinct().groupBy(
+            "session").agg(F.collect_set("symbol").alias("held"))
+        rows = due.join(held, "session", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+        put_batch(rows.select(
+            "session", F.size("held").alias("seen"),
+            F.array_join(F.array_sort(F.array_except("symbols", "held")), ",").alias("missing")), f"{out}/report", number)
+
+    return start_batches(stream, handle, checkpoint)
+
+
+def completeness_report(spark, out: str) -> DataFrame:
+    return read_batches(spark, f"{out}/report", "session date, seen int, missing string").drop("batch")
 
 
 def lifecycle_monitor(
@@ -113,36 +138,34 @@ POSITION_STATE = (
 )
 
 
+#: Folders that stored fills are spread over by position; a batch reads those of its own positions.
+FILL_BUCKETS = 64
+
+
 def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
-    """Positions after each micro-batch: the stored position opens the batch as one purchase at its basis.
+    """Positions after each micro-batch, equal to the batch result over all distinct fills so far.
 
-    A position that was oversold stays as it was at that point; later fills of it are left out.
+    Fills are stored once per fill id, in folders by position, so a redelivered fill is not booked again. A
+    position that a batch touches is computed anew from its stored fills: fills that come late take their
+    place in the order.
     """
+    names = [c for c in stream.columns if c != "bucket"]
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    body = ("fill_id", "side", "quantity", "price", "fee")
-    places = [c for c in order if c not in body]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", bucket int"
+    keys = ["portfolio", "symbol"]
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        rows = batch.select(*names).dropDuplicates(["fill_id"]).withColumn(
+            "bucket", F.pmod(F.xxhash64(*keys), F.lit(FILL_BUCKETS)).cast("int"))
+        buckets = [row["bucket"] for row in rows.select("bucket").distinct().collect()]
+        stored = read_batches(spark, f"{out}/fills", schema, number).filter(F.col("bucket").isin(buckets)).drop("batch")
+        fresh = through_table(rows.join(stored.select("fill_id"), "fill_id", "left_anti").select(*names, "bucket"), "fresh-fills")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/fills/batch={number}")
+        touched = fresh.select(*keys).distinct()
+        moved = ledger.positions(stored.unionByName(fresh).join(touched, keys, "left_semi").drop("bucket"), order, keys).drop("left_out")
         known = read_state(spark, f"{out}/state", POSITION_STATE, number)
-        keys = ["portfolio", "symbol"]
-        stopped = known.filter("oversold_by IS NOT NULL")
-        live = batch.join(stopped.select(*keys), keys, "left_anti")
-        opening = known.filter("oversold_by IS NULL AND quantity > 0").join(
-            live.select(*keys).distinct(), keys, "left_semi").select(
-            *keys, F.lit("opening").alias("fill_id"), F.lit("BUY").alias("side"), "quantity",
-            (F.col("cost_basis") / F.col("quantity")).alias("price"), F.lit(0.0).alias("fee"),
-            F.lit(0).alias("phase"), *[F.lit(None).cast(kinds[c]).alias(c) for c in places])
-        rows = live.select(*keys, *body, F.lit(1).alias("phase"), *places)
-        moved = ledger.positions(opening.unionByName(rows), ["phase", *order], keys)
-        prior = known.select(*keys, F.col("realized_pnl").alias("earned"), F.col("fills").alias("earlier"), F.col("quantity").alias("held"))
-        merged = moved.join(prior, keys, "left").select(
-            *keys,
-            (F.col("fills") - F.when(F.coalesce("held", F.lit(0.0)) > 0, 1).otherwise(0) + F.coalesce("earlier", F.lit(0)))
-            .alias("fills"),
-            "quantity", "cost_basis", (F.col("realized_pnl") + F.coalesce("earned", F.lit(0.0))).alias("realized_pnl"),
-            "oversold_by")
-        put_batch(known.join(merged, keys, "left_anti").unionByName(merged), f"{out}/state", number)
+        put_batch(known.join(touched, keys, "left_anti").unionByName(moved), f"{out}/state", number)
 
     return start_batches(stream, handle, checkpoint)
 
