@@ -280,7 +280,7 @@ FROM means JOIN chosen ON selected = candidate WHERE stage = 'development'""", *
     "rebalance_schedule": with_("schedule", "SELECT session, i, next_session AS executes_on FROM schedule WHERE decides"),
     "equal_weight_targets": with_("panel schedule", f"""
 SELECT session AS decision, symbol, {r('1.0 / count(*) OVER (PARTITION BY session)')} AS weight
-FROM panel JOIN schedule USING (session) WHERE decides AND volume % 5 > 0"""),
+FROM panel JOIN schedule USING (session) WHERE decides"""),
     "ranked_momentum_targets": with_("panel_momentum schedule", f"""
 SELECT strategy, decision, symbol, position, {r('momentum')} AS momentum, {r('weight')} AS weight FROM ranked""",
         decisions=decisions_cte(), ranked=ranked_cte()),
@@ -306,7 +306,8 @@ FROM curve GROUP BY strategy""", **swept(C)),
     "window_completeness": with_("bars bench", f"""
 SELECT symbol, count(DISTINCT session) AS present, (SELECT count(*) FROM wanted) - count(DISTINCT session) AS missing,
        (SELECT count(*) FROM wanted) = count(DISTINCT session) AS complete
-FROM bars JOIN wanted USING (session) WHERE volume % 7 > 0 OR symbol > 'Brand-2' GROUP BY symbol""",
+FROM (SELECT DISTINCT symbol FROM bars UNION ALL SELECT 'Brand-99') LEFT JOIN (
+  SELECT symbol, session FROM bars JOIN wanted USING (session) WHERE volume % 7 > 0 OR symbol > 'Brand-2') USING (symbol) GROUP BY symbol""",
         wanted=f"SELECT session FROM bench WHERE session >= {START}"),
     "universe_sweep": sweep("SELECT * FROM curve", METRICS + HITS),
     "equal_weight_benchmark_sweep": sweep("""
@@ -315,7 +316,7 @@ FROM curve c JOIN (SELECT session, equity FROM curve WHERE strategy = 'equal_wei
         ("excess_return", "information_ratio", "benchmark_total_return", "tracking_error", "beta")),
     "available_sessions": with_("bars", f"""
 SELECT count(*) AS requested, count(*) FILTER (n < 250) AS excluded, {r('avg(n) FILTER (n >= 250)')} AS mean_available_sessions
-FROM (SELECT symbol, count(*) AS n FROM bars WHERE volume % 4 > 0 GROUP BY symbol)"""),
+FROM (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)"""),
     "valuation_series": with_("panel_momentum schedule bench", """
 SELECT *, sha256(concat_ws('|', strategy, CAST(session AS VARCHAR), CAST(CAST(round(portfolio_value * 1000000) AS BIGINT) AS VARCHAR),
   CAST(CAST(round(benchmark_value * 1000000) AS BIGINT) AS VARCHAR))) AS row_hash FROM valued""", **swept(C), valued=f"""

@@ -87,7 +87,7 @@ SELECT symbol, session, close, volume FROM bars WHERE available_to_strategy_at <
     "date_slice": with_("bars", """
 SELECT symbol, count(*) FILTER (s) AS kept, min(session) FILTER (s) AS first_session, max(session) FILTER (s) AS last_session,
        count(*) FILTER (s) >= 3 AS sufficient
-FROM (SELECT *, session BETWEEN DATE '1996-01-01' AND DATE '1996-02-20' AS s FROM bars WHERE volume % 3 = 0) GROUP BY symbol"""),
+FROM (SELECT *, session BETWEEN DATE '1996-01-01' AND DATE '1996-02-20' AS s FROM bars) GROUP BY symbol"""),
     "simple_returns": with_("bars", f"SELECT symbol, session, {r(f'close / lag(close) OVER ({W}) - 1')} AS daily_return FROM bars"),
     "price_momentum": with_("features", "SELECT symbol, session, " + ", ".join(
         f"{r(f'momentum_{k}d')} AS momentum_{k}d" for k in (21, 63, 126, 252)) + " FROM features"),

@@ -13,7 +13,9 @@ FRESH = f"""(quality = 'PASS' AND available_to_strategy_at <= {CUT} AND {CUT} -
 NORMAL = r"lower(regexp_replace(claim, '^\s+|\s+$', '', 'g'))"
 
 cte("symbols", "SELECT DISTINCT replace(p_brand, '#', '-') AS symbol FROM part")
-cte("trimmed_findings", "SELECT * FROM findings WHERE case_id % 2 = 1 OR (turn < 4 AND severity <> 'HIGH')", "findings")
+cte("trimmed_findings", """
+SELECT * REPLACE (CASE WHEN case_id % 2 = 0 AND severity = 'HIGH' THEN 'LOW' ELSE severity END AS severity,
+                  CASE WHEN case_id % 2 = 0 THEN 'e' || (turn % 4) ELSE citation END AS citation) FROM findings""", "findings")
 
 
 def contradictions(source: str) -> str:
@@ -89,7 +91,7 @@ cte("composite", """
 SELECT *, row_number() OVER (PARTITION BY decision ORDER BY score DESC, id) AS position
 FROM (SELECT *, round(momentum_63 + momentum_126 - 0.25 * volatility_63, 12) AS score FROM packets)""", "packets")
 cte("answers", """
-SELECT decision, list_concat(ids[1:4], ['asset_999'], ids[2:2], ids[5:34]) AS ids FROM (
+SELECT decision, list_concat(ids[1:4], ['asset_999'], ids[2:2], ids[5:]) AS ids FROM (
   SELECT decision, list(id ORDER BY token, id) AS ids
   FROM (SELECT decision, id, md5(CAST(decision AS VARCHAR) || ':' || id) AS token FROM packets) WHERE token < 'a' GROUP BY decision)""",
     "packets")
@@ -110,7 +112,8 @@ SELECT {N.replace('symbol', 's.symbol')}::BIGINT AS case_id, CASE WHEN id IS NUL
 FROM symbols s LEFT JOIN (SELECT * FROM evidence WHERE symbol <> 'Brand-7') e ON e.symbol = s.symbol"""),
     "evidence_all_pass": with_("symbols evidence", f"""
 SELECT {N.replace('symbol', 's.symbol')}::BIGINT AS case_id, coalesce(bool_and({FRESH}), false) AS passed
-FROM symbols s LEFT JOIN (SELECT * FROM evidence WHERE published_at BETWEEN TIMESTAMP '2001-04-01' AND TIMESTAMP '2001-04-12') e
+FROM symbols s LEFT JOIN (SELECT * REPLACE (CASE WHEN {N} % 2 = 0 THEN TIMESTAMP '2001-05-01' ELSE available_to_strategy_at END AS available_to_strategy_at,
+                          CASE WHEN {N} % 4 = 0 THEN 'PASS' ELSE quality END AS quality) FROM evidence) e
 ON e.symbol = s.symbol GROUP BY 1"""),
     "curated_evidence": with_("symbols evidence", f"""
 SELECT case_id, min(id) AS id, source, available_to_strategy_at FROM (
@@ -141,7 +144,7 @@ FROM ({AUDIT_ROWS})"""),
     "stored_result_check": with_("audits", "SELECT case_id FROM audits WHERE case_id % 4 = 1"),
     "finding_validity": with_("findings", f"""
 SELECT report_id, turn, violations FROM (SELECT report_id, turn, {broken([
-    ('claim_length', 'length(factual_claim) BETWEEN 1 AND 500'), ('interpretation_length', 'length(factual_claim) >= 1')])} AS violations
+    ('claim_length', 'length(factual_claim) BETWEEN 1 AND 500'), ('interpretation_length', 'length(factual_claim) BETWEEN 1 AND 500')])} AS violations
   FROM findings) WHERE violations <> ''"""),
     "report_validity": with_("reports", "SELECT report_id, 'prompt_version' AS violations FROM reports WHERE prompt_version = ''"),
     "synthesis_validity": with_("syntheses", f"""

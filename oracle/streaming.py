@@ -21,10 +21,10 @@ FROM event_rows WHERE n % 40 = 0"""),
 SELECT session, CAST(count(CASE WHEN present THEN 1 END) AS INTEGER) AS seen,
        coalesce(string_agg(CASE WHEN NOT present THEN symbol END, ',' ORDER BY symbol), '') AS missing
 FROM (SELECT s.session, u.symbol, b.symbol IS NOT NULL AS present
-      FROM (SELECT DISTINCT session, closed_at FROM kept) s, (SELECT DISTINCT symbol FROM kept) u
+      FROM (SELECT DISTINCT session, closed_at FROM kept) s, (SELECT DISTINCT symbol FROM kept UNION ALL SELECT 'Brand-99') u
       LEFT JOIN kept b ON b.session = s.session AND b.symbol = u.symbol
       WHERE CAST(CAST(s.closed_at AS DATE) + 1 AS TIMESTAMP) <= (SELECT max(closed_at) FROM kept) - INTERVAL '14' DAY)
-GROUP BY session""", kept="SELECT * FROM bars WHERE volume % 20 > 0"),
+GROUP BY session""", kept="SELECT * FROM bars"),
     "stream_lifecycle_monitor": LEDGER["transition_audit"],
     "stream_running_positions": LEDGER["positions"],
     "stream_status_counters": with_("job_rows", """

@@ -38,7 +38,7 @@ SELECT symbol, session, CASE WHEN asked_at - seen <= INTERVAL '10' DAY THEN obse
        CASE WHEN asked_at - seen <= INTERVAL '10' DAY THEN {r('market_cap', 2)} END AS market_cap
 FROM (SELECT a.*, c.observed_date, c.market_cap, c.available_to_strategy_at AS seen
       FROM asked a ASOF LEFT JOIN market_caps c ON a.symbol = c.symbol AND a.asked_at >= c.available_to_strategy_at)""", asked="""
-SELECT symbol, session, CAST(session AS TIMESTAMP) + INTERVAL '12' HOUR AS asked_at FROM bars WHERE volume % 9 = 0"""),
+SELECT symbol, session, CAST(session AS TIMESTAMP) + INTERVAL '12' HOUR AS asked_at FROM bars"""),
     "top_market_cap": with_("members market_caps bars", f"""
 SELECT as_of, symbol, {r('market_cap', 2)} AS market_cap, rank, fresh >= 10 AS complete FROM (
   SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY market_cap DESC, symbol) AS rank, count(*) OVER (PARTITION BY as_of) AS fresh
@@ -80,7 +80,7 @@ SELECT request_id, count(symbol) AS symbols,
        coalesce(string_agg(CASE WHEN NOT ok THEN symbol END, ',' ORDER BY symbol), '') AS missing
 FROM (SELECT r.*, s.symbol, coalesce(b.available_to_strategy_at <= r.decision_at, false) AS ok
       FROM requests r LEFT JOIN symbols s ON NOT r.hollow LEFT JOIN bars b ON b.symbol = s.symbol AND b.session = r.session)
-GROUP BY request_id""", symbols="SELECT DISTINCT symbol FROM bars WHERE session >= DATE '1995-01-09'", requests="""
+GROUP BY request_id""", symbols="SELECT DISTINCT symbol FROM bars", requests="""
 SELECT 'u:' || CAST(session AS VARCHAR) AS request_id, session, close_at AS decision_at, day(session) = 20 AS hollow,
        CASE WHEN day(session) = 13 THEN open_at ELSE close_at END AS run_at FROM calendar"""),
     "history_edges": with_("bars", f"""

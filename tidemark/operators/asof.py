@@ -219,6 +219,15 @@ def member_sessions(sessions: DataFrame, members: DataFrame) -> DataFrame:
         "symbol IS NOT NULL").select(F.col("as_of").alias("session"), "symbol")
 
 
+def window_completeness(symbols: DataFrame, sessions: DataFrame, bars: DataFrame) -> DataFrame:
+    """Sessions present and missing per listed symbol; a symbol without any bar in the window misses all."""
+    held = bars.join(F.broadcast(sessions), "session", "left_semi").groupBy("symbol").agg(
+        F.count_distinct("session").alias("present"))
+    total = sessions.agg(F.count_distinct("session")).scalar()
+    return symbols.join(held, "symbol", "left").select("symbol", F.coalesce("present", F.lit(0)).cast("bigint").alias("present")).withColumn(
+        "missing", total - F.col("present")).withColumn("complete", F.col("missing") == 0)
+
+
 def missing_prices(sessions: DataFrame, members: DataFrame, bars: DataFrame) -> DataFrame:
     return member_sessions(sessions, members).join(bars.select("session", "symbol"), ["session", "symbol"], "left_anti")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.columns import r
-from tidemark.operators import curves, gates, metrics, quality, strategies
+from tidemark.operators import asof, curves, gates, metrics, quality, strategies
 from tidemark.plans import compare
 from tidemark.plans import driver_tables as d
 from tidemark.plans.prices_queries import panel
@@ -113,7 +113,7 @@ def rebalance_schedule(spark, sf):
 
 def equal_weight(spark, sf):
     rows, _, schedule = fixed_panel(spark, sf)
-    decisions = strategies.decision_panel(rows.filter("volume % 5 > 0"), schedule, LOOKBACKS)
+    decisions = strategies.decision_panel(rows, schedule, LOOKBACKS)
     return strategies.equal_weight_targets(decisions).select("decision", "symbol", r("weight").alias("weight"))
 
 
@@ -185,10 +185,10 @@ def warmup_curve(spark, sf):
 def window_completeness(spark, sf):
     bars, bench = panel(spark, sf)
     wanted = bench.filter(F.col("session") >= F.to_date(F.lit(START))).select("session")
-    held = bars.filter("volume % 7 > 0 OR symbol > 'Brand-2'").join(F.broadcast(wanted), "session", "left_semi")
-    total = wanted.agg(F.count("*")).scalar()
-    return held.groupBy("symbol").agg(F.count_distinct("session").alias("present")).withColumn(
-        "missing", total - F.col("present")).withColumn("complete", F.col("missing") == 0)
+    held = bars.filter("volume % 7 > 0 OR symbol > 'Brand-2'")
+    # One listed symbol never traded.
+    symbols = bars.select("symbol").distinct().unionByName(spark.range(1).select(F.lit("Brand-99").alias("symbol")))
+    return asof.window_completeness(symbols, wanted, held)
 
 
 def universe_sweep(spark, sf):
@@ -207,7 +207,7 @@ def equal_weight_benchmark_sweep(spark, sf):
 
 
 def available_sessions(spark, sf):
-    counts = d.bars(spark, sf).filter("volume % 4 > 0").groupBy("symbol").agg(F.count("*").alias("n"))
+    counts = d.bars(spark, sf).groupBy("symbol").agg(F.count("*").alias("n"))
     return counts.agg(
         F.count("*").alias("requested"), F.count_if(F.col("n") < 250).alias("excluded"),
         r(F.avg(F.when(F.col("n") >= 250, F.col("n")))).alias("mean_available_sessions"))

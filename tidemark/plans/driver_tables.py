@@ -205,7 +205,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         role.alias("role"),
         F.concat(F.lit(" "), F.upper(F.col("role")), F.lit("-"), (F.col("turn") % 3).cast("string"), F.lit("\t"))
         .alias("topic"),
-        F.col("text").alias("factual_claim"), F.substring("text", 1, 80).alias("interpretation"),
+        F.col("text").alias("factual_claim"), F.col("text").alias("interpretation"),
         F.when(length % 3 == 0, "SUPPORT").when(length % 3 == 1, "CONCERN").otherwise("NEUTRAL").alias("stance"),
         F.when(level == 0, "HIGH").when(level == 1, "MEDIUM").otherwise("LOW").alias("severity"),
         F.array(F.concat(F.lit("e"), (F.col("turn") % 5).cast("string"))).alias("evidence_ids"),

@@ -25,12 +25,19 @@ def symbol_cases(spark, sf):
 
 
 def evidence_checks(spark, sf):
-    return ev.check_evidence(symbol_cases(spark, sf), d.evidence(spark, sf).filter("symbol <> 'Brand-7'"), AGE)
+    # All records of one brand are filed under a name that no case asks for.
+    records = d.evidence(spark, sf).withColumn("symbol", F.when(F.col("symbol") == "Brand-7", "Unlisted").otherwise(F.col("symbol")))
+    return ev.check_evidence(symbol_cases(spark, sf), records, AGE)
 
 
 def evidence_all_pass(spark, sf):
     cases = symbol_cases(spark, sf)
-    records = d.evidence(spark, sf).filter("available_to_strategy_at BETWEEN timestamp_ntz'2001-04-01' AND timestamp_ntz'2001-04-12'")
+    # Even brands have fresh records only, and every fourth brand none of bad quality.
+    number, fresh = F.regexp_extract("symbol", r"(\d+)$", 1).cast("int"), F.lit("2001-05-01").cast("timestamp_ntz")
+    times = ("observed_at", "published_at", "available_to_strategy_at")
+    records = d.evidence(spark, sf).withColumns(
+        {name: F.when(number % 2 == 0, fresh).otherwise(F.col(name)) for name in times}
+        | {"quality": F.when(number % 4 == 0, "PASS").otherwise(F.col("quality"))})
     return ev.all_pass(ev.check_evidence(cases, records, AGE), cases)
 
 
@@ -45,7 +52,11 @@ class Council:
         self.cases = d.cases(spark, sf)
         self.evidence = d.case_evidence(spark, sf)
         self.reports = d.reports(spark, sf)
-        self.findings = d.findings(spark, sf).filter("case_id % 2 = 1 OR (turn < 4 AND severity <> 'HIGH')")
+        # Every other case has no severe finding and cites known records only.
+        calm = F.col("case_id") % 2 == 0
+        self.findings = d.findings(spark, sf).withColumns({
+            "severity": F.when(calm & (F.col("severity") == "HIGH"), "LOW").otherwise(F.col("severity")),
+            "evidence_ids": F.when(calm, F.array(F.concat(F.lit("e"), (F.col("turn") % 4).cast("string")))).otherwise(F.col("evidence_ids"))})
         self.curated = ev.curate(self.cases, self.evidence, AGE, ("case_id", "symbol"))
         self.failures = self.cases.filter("case_id % 13 = 12").select(
             "case_id", F.lit("FAILURE_MODE:TimeoutError").alias("code"))
@@ -177,7 +188,7 @@ def responses(packet):
     listed = packet.withColumn("token", token).filter("token < 'a'").groupBy("decision").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("token", "id"))), lambda x: x["id"]).alias("ids"))
     return listed.select("decision", F.concat(
-        F.slice("ids", 1, 4), F.array(F.lit("asset_999")), F.slice("ids", 2, 1), F.slice("ids", 5, 30)).alias("ranked_ids"))
+        F.slice("ids", 1, 4), F.array(F.lit("asset_999")), F.slice("ids", 2, 1), F.slice("ids", F.lit(5), F.size("ids"))).alias("ranked_ids"))
 
 
 def ranking_rows(packet, size=20):

@@ -59,10 +59,12 @@ def stream_event_log(spark, sf):
 
 
 def stream_completeness(spark, sf):
-    bars = d.stored_bars(spark, sf).filter("volume % 20 > 0")
+    bars = d.stored_bars(spark, sf)
     rows = bars.select("symbol", "session", F.col("observed_at").cast("timestamp").alias("observed_at"), "available_to_strategy_at")
     cut = F.lit("1998-07-01 00:00:00").cast("timestamp_ntz")
-    listed = bars.select("symbol").distinct().groupBy().agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    # One listed symbol never traded.
+    listed = bars.select("symbol").distinct().groupBy().agg(
+        F.array_append(F.array_sort(F.collect_set("symbol")), F.lit("Brand-99")).alias("symbols"))
     universe = bars.groupBy("session").agg(F.max("available_to_strategy_at").alias("closed_at")).withColumn("symbols", listed.scalar())
     # The last ten days of the first part come in two batches: a session is complete only over both.
     split = F.col("available_to_strategy_at") >= cut - F.make_dt_interval(F.lit(10))

@@ -40,7 +40,7 @@ def month_decisions(bars):
 
 def fresh_market_caps(spark, sf):
     bars, _ = panel(spark, sf)
-    asked = bars.filter("volume % 9 = 0").select(
+    asked = bars.select(
         "symbol", "session", (F.col("session").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(12))).alias("at"))
     found = asof.latest_within(
         asked, d.stored_market_caps(spark, sf), ["symbol"], "at", "available_to_strategy_at", F.make_dt_interval(F.lit(10)))
@@ -120,8 +120,7 @@ def snapshot_completeness(spark, sf):
     bars = d.stored_bars(spark, sf)
     symbols = F.array_sort(F.collect_set("symbol"))
     sessions = d.calendar(bars)
-    listed = bars.filter(F.col("session") >= F.date_add(F.lit("1995-01-02").cast("date"), 7)).groupBy().agg(
-        symbols.alias("symbols"))
+    listed = bars.groupBy().agg(symbols.alias("symbols"))
     requests = sessions.select(
         F.concat(F.lit("u:"), F.col("session").cast("string")).alias("request_id"), "session",
         F.col("close_at").alias("decision_at"),
