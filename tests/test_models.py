@@ -153,3 +153,32 @@ def test_limits_are_checked(spark):
                                "max_drawdown double, annual_turnover double, holdout_opened int")
     checks = {r["check"]: r["passed"] for r in gates.promotion_checks(df, ["name"]).collect()}
     assert checks.pop("rank_correlation") is False and all(checks.values())
+
+
+def test_large_features_with_little_spread_keep_their_weights(spark):
+    rows, _ = panel(spark)
+    schema = "symbol string, decision_date date, x double, y double, c double, excess_return double, label_end_date date"
+    moved = spark.createDataFrame([(*r[:2], r[2] + 1e9, *r[3:]) for r in rows], schema)
+    plain = spark.createDataFrame(rows, schema)
+    names = ("x", "y", "c")
+    one, two = (modeling.ridge_models(modeling.fold_moments(df, None, names), (1.0,), names).first() for df in (plain, moved))
+    assert two["coefficients"] == pytest.approx(one["coefficients"], rel=1e-5) and two["scales"] == pytest.approx(one["scales"], rel=1e-6)
+    assert two["means"][0] == pytest.approx(one["means"][0] + 1e9)
+
+
+def test_overlapping_labels_are_refused(spark):
+    _, df = panel(spark)
+    places = modeling.fold_places(df.select(F.col("decision_date").alias("date")).distinct(), 15, 5, 0, 0)
+    with pytest.raises(ValueError, match="purge"):
+        modeling.walk_forward(df, places, (1.0,), ("x", "y"))
+
+
+def test_each_decision_has_its_model(spark):
+    shots = spark.createDataFrame([(1, "A", "v", 2.0), (2, "A", "v", 2.0)], "decision int, symbol string, feature_version string, x double")
+    context = spark.createDataFrame([(1, "A"), (2, "A")], "decision int, symbol string")
+    model = spark.createDataFrame([(0, 1.0, 0.0, [0.0], [1.0], [w], 1, None) for w in (1.0, 3.0)], modeling.MODEL_SCHEMA)
+    with pytest.raises(ValueError, match="several"):
+        allocation.scored_candidates(shots, model, context, 0.1, "v", ("x",))
+    keyed = model.withColumn("decision", F.when(F.col("coefficients")[0] == 1, 1).otherwise(2))
+    found = allocation.scored_candidates(shots, keyed, context, 0.1, "v", ("x",)).collect()
+    assert {r["decision"]: r["expected_excess_return"] for r in found} == {1: 2.0, 2: 6.0}

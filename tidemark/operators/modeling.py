@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from tidemark.functions.columns import dbl
 from tidemark.operators.features import FEATURES
+from tidemark.session import materialize
 
 MODEL_SCHEMA = (
     "fold int, alpha double, intercept double, means array<double>, scales array<double>, "
@@ -122,7 +123,9 @@ def fold_leakage(rows: DataFrame, folds: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ ridge
 
 def moment_columns(features: Sequence[str]) -> dict[str, Column]:
-    """Sums that determine every ridge fit: counts, x, x*x', x*y, y."""
+    """Sums that determine every ridge fit: counts, x, x*x', x*y, y, for features less a common shift.
+
+    Without the shift, squares of large values with little spread would cancel."""
     sums = {"n": F.count("*"), "sy": F.sum("target"), "training_end": F.max("label_end_date")}
     for a, left in enumerate(features):
         sums[f"sx_{a}"] = F.sum(left)
@@ -139,10 +142,13 @@ def fold_moments(rows: DataFrame, places: DataFrame | None, features: Sequence[s
     training sets never multiply the rows. Without ``places`` there is one fold 0 of all rows.
     """
     centred = demeaned(rows)
+    shift = centred.agg(*[F.avg(name).alias(f"shift_{a}") for a, name in enumerate(features)]).first()
+    shift = {f"shift_{a}": F.lit(float(shift[f"shift_{a}"] or 0.0)) for a in range(len(features))}
+    centred = centred.withColumns({name: F.col(name) - shift[f"shift_{a}"] for a, name in enumerate(features)})
     columns = moment_columns(features)
     names = list(columns)
     if places is None:
-        return centred.groupBy(F.lit(0).alias("fold")).agg(*[columns[n].alias(n) for n in names])
+        return centred.groupBy(F.lit(0).alias("fold")).agg(*[columns[n].alias(n) for n in names]).withColumns(shift)
     starts = F.broadcast(places.filter("trains_from IS NOT NULL").select(
         F.col("date").alias("decision_date"), "trains_from"))
     parts = centred.join(starts, "decision_date").groupBy(F.col("trains_from").alias("fold")).agg(
@@ -151,7 +157,7 @@ def fold_moments(rows: DataFrame, places: DataFrame | None, features: Sequence[s
         F.explode(F.sequence(F.lit(1), "folds")).alias("fold"))
     so_far = W.orderBy("fold").rowsBetween(W.unboundedPreceding, 0)
     return whole.join(parts, "fold", "left").select("fold", *[
-        (F.max(n) if n == "training_end" else F.sum(n)).over(so_far).alias(n) for n in names]).filter("n > 0")
+        (F.max(n) if n == "training_end" else F.sum(n)).over(so_far).alias(n) for n in names]).filter("n > 0").withColumns(shift)
 
 
 def solve_moments(moments: pd.DataFrame, alphas: Sequence[float], size: int) -> pd.DataFrame:
@@ -165,13 +171,14 @@ def solve_moments(moments: pd.DataFrame, alphas: Sequence[float], size: int) ->
         means = sx / n
         cov = sxx / n - np.outer(means, means)
         variance = np.diag(cov).copy()
-        flat = variance <= 1e-14 * np.maximum(1.0, means ** 2)
+        flat = variance <= 1e-14 * np.maximum(1.0, np.diag(sxx) / n)
+        shift = np.array([getattr(row, f"shift_{a}") for a in range(size)])
         scales = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, variance)))
         gram = n * cov / np.outer(scales, scales)
         right = (sxy - means * row.sy) / scales
         for alpha in alphas:
             weights = np.linalg.lstsq(gram + alpha * np.eye(size), right, rcond=None)[0]
-            out.append((row.fold, float(alpha), row.sy / n, means.tolist(), scales.tolist(), weights.tolist(),
+            out.append((row.fold, float(alpha), row.sy / n, (means + shift).tolist(), scales.tolist(), weights.tolist(),
                         int(n), row.training_end))
     return pd.DataFrame(out, columns=[
         "fold", "alpha", "intercept", "means", "scales", "coefficients", "training_rows", "training_end"])
@@ -232,7 +239,13 @@ def mean_rank_correlation(correlations: DataFrame, keys: Sequence[str] = ("alpha
 
 
 def walk_forward(rows: DataFrame, places: DataFrame, alphas: Sequence[float], features: Sequence[str] = FEATURES) -> DataFrame:
-    models = ridge_models(fold_moments(rows, places, features), alphas, features)
+    """Mean rank correlation per alpha. Labels that reach into their fold's validation dates are refused."""
+    moments = materialize(fold_moments(rows, places, features))
+    starts = places.filter("validates_in IS NOT NULL").groupBy(F.col("validates_in").alias("fold")).agg(F.min("date").alias("first"))
+    overlap = moments.join(starts, "fold").filter("training_end >= first").select("fold").limit(1).collect()
+    if overlap:
+        raise ValueError(f"fold {overlap[0]['fold']} trains on labels that end within its validation: purge more dates")
+    models = ridge_models(moments, alphas, features)
     return mean_rank_correlation(rank_correlations(walk_forward_predictions(rows, places, models, features)))
 
 

@@ -37,32 +37,28 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One bar per symbol and week.
 
-    First and last trade come from min/max of one packed bigint (weekday, order, line, price in
-    cents: 3 + 41 + 3 + 15 bits), which keeps the aggregation in the hash-based code path; a key
-    outside those widths is an error, never a silent overlap.
+    First and last trade are ordered by one packed bigint (weekday, order, line: 3 + 48 + 12 bits), which keeps
+    the aggregation in the hash-based code path; a key outside those widths is an error, never a silent
+    overlap. Prices have no bound.
     """
-    cents = F.round(F.col("px") * 100, 0).cast("bigint")
-    in_range = (
-        F.col("l_orderkey").between(0, 2 ** 41 - 1)
-        & F.col("l_linenumber").between(0, 7) & cents.between(0, 2 ** 15 - 1)
-    )
+    in_range = F.col("l_orderkey").between(0, 2 ** 48 - 1) & F.col("l_linenumber").between(0, 2 ** 12 - 1)
     packed = F.when(in_range, (
-        F.shiftleft(F.weekday("ship_date").cast("bigint"), 59)
-        .bitwiseOR(F.shiftleft(F.col("l_orderkey").cast("bigint"), 18))
-        .bitwiseOR(F.shiftleft(F.col("l_linenumber").cast("bigint"), 15))
-        .bitwiseOR(cents)
+        F.shiftleft(F.weekday("ship_date").cast("bigint"), 60)
+        .bitwiseOR(F.shiftleft(F.col("l_orderkey").cast("bigint"), 12))
+        .bitwiseOR(F.col("l_linenumber").cast("bigint"))
     )).otherwise(F.raise_error(F.lit("trade key outside the packed range")).cast("bigint"))
-    price = lambda key: F.col(key).bitwiseAND(2 ** 15 - 1) / F.lit(100.0)
+    whole_cents = F.round(F.col("px") * 100, 0) / F.lit(100.0)
+    price = F.col
     weekly = trades(spark, sf_dir).withColumn("key", packed).groupBy("symbol", "session").agg(
-        F.min("key").alias("first_key"), F.max("key").alias("last_key"),
+        F.min_by(whole_cents, "key").alias("first_price"), F.max_by(whole_cents, "key").alias("last_price"),
         F.max("px").alias("high"), F.min("px").alias("low"),
         F.sum("qty").cast("bigint").alias("volume"), F.count("*").alias("n"),
     )
     closed = session_close(F.date_add("session", 4))
     late = F.when(F.col("n") % 13 == 0, F.make_dt_interval(F.lit(10))).otherwise(F.make_dt_interval(F.lit(0)))
     return weekly.select(
-        "symbol", "session", price("first_key").alias("open"), "high", "low",
-        price("last_key").alias("close"), price("last_key").alias("adjusted_close"), "volume",
+        "symbol", "session", price("first_price").alias("open"), "high", "low",
+        price("last_price").alias("close"), price("last_price").alias("adjusted_close"), "volume",
         F.when(F.month("session").isin(3, 6, 9, 12) & (F.day("session") <= 7), F.lit(0.25))
         .otherwise(F.lit(0.0)).alias("dividend"),
         F.when(F.col("session").isin(*[F.to_date(F.lit(d)) for d in ("1997-01-06", "1999-01-04")]), F.lit(2.0))

@@ -262,6 +262,19 @@ def allocate_from_model(spark, sf):
     return weight_columns(allocation.allocate(rows_, current(rows_), limits))
 
 
+def allocate_trained(spark, sf):
+    """From training rows to weights: alpha by walk-forward, refit on all rows, scores, allocation."""
+    shots, bars, bench = snapshots(spark, sf)
+    training = materialize(modeling.training_rows(shots, bars, bench, HORIZON, CUTOFF))
+    scores = materialize(modeling.walk_forward(training, places_of(training), ALPHAS, PAIR))
+    model = materialize(modeling.selected_model(training, scores, ALPHAS, PAIR))
+    monthly = materialize(shots.filter("day(as_of) <= 7").withColumn("decision", F.col("as_of")))
+    limits = allocation.Constraints(
+        minimum_evidence_completeness=0.985, minimum_average_dollar_volume=8_000, minimum_excess_return=0.0)
+    rows_ = allocation.scored_candidates(monthly, model, context(bars, monthly), 0.1, features.FEATURE_VERSION, PAIR)
+    return weight_columns(allocation.allocate(rows_, current(rows_), limits))
+
+
 def promotion_metrics(spark, sf):
     curve = materialize(rebalanced(COST)(spark, sf))
     found = metrics.performance_metrics(curve, ["strategy"]).join(
@@ -301,5 +314,6 @@ QUERIES = {
     "portfolio_violations": portfolio_violations,
     "model_version_match": version_match,
     "allocate_from_model": allocate_from_model,
+    "allocate_from_trained_model": allocate_trained,
     "promotion_gates": promotion_gates,
 }

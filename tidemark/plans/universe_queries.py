@@ -172,10 +172,12 @@ def worklist_counts(spark, sf):
 
 def topic_sets(spark, sf):
     """Set equality, subset test and order-keeping de-duplication over the turns of a conversation."""
-    turns = d.read(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit("-"), (F.col("turn") % 3).cast("string"))
-                                             .alias("topic")))).alias("turns"))
-    topics = F.transform("turns", lambda t: normal_text(t["topic"]))
+    topic = F.concat("role", F.lit("-"), (F.col("turn") % 3).cast("string"))
+    # Only first mentions are gathered: as many as a conversation has different topics, however long it is.
+    first = d.read(spark, sf, "conversations").select("conv_id", "turn", topic.alias("topic")).groupBy(
+        "conv_id", normal_text("topic").alias("name")).agg(F.min(F.struct("turn", "topic")).alias("at"))
+    turns = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("turns"))
+    topics = F.transform("turns", lambda t: t["name"])
     wanted = F.array(*[F.lit(x) for x in ("user-0", "assistant-1")])
     return turns.withColumn("topics", topics).select(
         "conv_id", joined(F.array_distinct("topics")).alias("first_mentions"),
