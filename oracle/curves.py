@@ -243,14 +243,18 @@ def point_metrics(*names: str) -> str:
     return with_("points", metric_select("metrics_p", "symbol, candidate", names), **POINT_METRICS)
 
 
-def sweep(base: str, names) -> str:
+def sweep(base: str, names, sources: str = "panel_momentum schedule bench", added: dict[str, str] | None = None) -> str:
+    """Metrics of all strategies; `added` maps further strategy names to their targets (decision, symbol, weight)."""
+    added = added or {}
+    targets = "".join(f" UNION ALL SELECT '{name}', decision, symbol, weight FROM ({rows})" for name, rows in added.items())
     extra = {
-        **swept(C), "swept": base, "stage_rows": stages_cte("swept", "strategy", 40, (0, 0)),
+        "decisions": decisions_cte(), "ranked": ranked_cte(), "targets": targets_cte() + targets,
+        **curve_ctes(C, names=[*NAMES, *added]), "swept": base, "stage_rows": stages_cte("swept", "strategy", 40, (0, 0)),
         "staged": """SELECT p.*, stage FROM swept p JOIN stage_rows ON i >= start_i AND i < end_i
 UNION ALL SELECT *, 'full_period' FROM swept WHERE i >= 40""",
         **metrics_ctes("staged", "strategy, stage", "s"),
     }
-    return with_("panel_momentum schedule bench", metric_select("metrics_s", "strategy, stage", names), **extra)
+    return with_(sources, metric_select("metrics_s", "strategy, stage", names), **extra)
 
 
 SQL = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.curves import W
+from oracle.curves import HITS, METRICS, W, sweep
 from oracle.fixtures import cte, r, with_
 from oracle.prices import broken
 
@@ -160,6 +160,9 @@ SELECT decision, id, position, CASE WHEN src = 0 THEN 'ranker' ELSE 'fallback' E
 SELECT decision, symbol, position, {r('1.0 / count(*) OVER (PARTITION BY decision)')} AS weight
 FROM rankings JOIN aliases USING (decision, id) SEMI JOIN (SELECT decision FROM aliases GROUP BY ALL HAVING count(*) >= 6) USING (decision)
 WHERE position <= 6""", aliases="SELECT decision, id, symbol FROM packets WHERE month(decision) <> 8 OR symbol < 'Brand-12'"),
+    "ranked_strategy_sweep": sweep("SELECT * FROM curve", METRICS + HITS, "panel_momentum schedule bench rankings packets", {"ranked_list": """
+SELECT decision, symbol, 1.0 / count(*) OVER (PARTITION BY decision) AS weight
+FROM rankings JOIN packets USING (decision, id) WHERE position <= 6"""}),
     "unknown_ranking_ids": with_("answers packets", """
 SELECT decision, id FROM (SELECT decision, unnest(ids) AS id FROM answers) ANTI JOIN packets USING (decision, id)"""),
     "gated_selection": with_("composite", f"""

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import joined, r
 from tidemark.operators import evidence as ev
 from tidemark.operators import features, quality, strategies
+from tidemark.plans import compare, curves_queries
 from tidemark.plans import driver_tables as d
-from tidemark.plans.curves_queries import fixed_panel
+from tidemark.plans.curves_queries import COST, EVERY, LOOKBACKS, fixed_panel, rounded_metrics
+from tidemark.plans.prices_queries import panel
 from tidemark.session import materialize
 from tidemark.sources import stores
 
@@ -207,6 +209,17 @@ def ranking_portfolio(spark, sf):
         "decision", "symbol", F.col("position").cast("bigint").alias("position"), r("weight").alias("weight"))
 
 
+def ranked_strategy_sweep(spark, sf):
+    """Outside rankings traded like any strategy: next-open curve, costs, stages and metrics beside the others."""
+    bars, bench = panel(spark, sf)
+    packet = packets(spark, sf)
+    listed = strategies.ranking_targets(ranking_rows(packet), packet.select("decision", "id", "symbol"), TOP).withColumn(
+        "strategy", F.lit("ranked_list"))
+    rows = compare.universe_sweep(
+        bars, bench, LOOKBACKS, curves_queries.TOP, EVERY, warmup=40, cost_bps=COST, extra_targets=listed, extra_names=("ranked_list",))
+    return rounded_metrics(rows, ["strategy", "stage"])
+
+
 def unknown_ranking_ids(spark, sf):
     packet = packets(spark, sf)
     ids = responses(packet).select("decision", F.explode("ranked_ids").alias("id"))
@@ -246,6 +259,7 @@ QUERIES = {
     "composite_ranking": composite,
     "normalized_rankings": normalized_rankings,
     "ranking_portfolio": ranking_portfolio,
+    "ranked_strategy_sweep": ranked_strategy_sweep,
     "unknown_ranking_ids": unknown_ranking_ids,
     "gated_selection": gated_selection,
 }
