@@ -160,7 +160,10 @@ SELECT decision, id, position, CASE WHEN src = 0 THEN 'ranker' ELSE 'fallback' E
 SELECT decision, symbol, position, {r('1.0 / count(*) OVER (PARTITION BY decision)')} AS weight
 FROM rankings JOIN aliases USING (decision, id) SEMI JOIN (SELECT decision FROM aliases GROUP BY ALL HAVING count(*) >= 6) USING (decision)
 WHERE position <= 6""", aliases="SELECT decision, id, symbol FROM packets WHERE month(decision) <> 8 OR symbol < 'Brand-12'"),
-    "ranked_strategy_sweep": sweep("SELECT * FROM curve", METRICS + HITS, "panel_momentum schedule bench rankings packets", {"ranked_list": """
+    "ranked_strategy_sweep": sweep("SELECT * FROM curve", METRICS + HITS, "panel_momentum schedule bench rankings packets composite", {"reviewed_list": f"""
+SELECT decision, symbol, 1.0 / count(*) OVER (PARTITION BY decision) AS weight FROM (
+  SELECT decision, symbol, row_number() OVER (PARTITION BY decision ORDER BY position) AS place FROM composite
+  WHERE position <= 15 AND {N} % 4 > 0 AND ({N} * 7 + month(decision)) % 3 > 0) WHERE place <= 6""", "ranked_list": """
 SELECT decision, symbol, 1.0 / count(*) OVER (PARTITION BY decision) AS weight
 FROM rankings JOIN packets USING (decision, id) WHERE position <= 6"""}),
     "unknown_ranking_ids": with_("answers packets", """

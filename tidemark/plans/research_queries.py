@@ -210,13 +210,16 @@ def ranking_portfolio(spark, sf):
 
 
 def ranked_strategy_sweep(spark, sf):
-    """Outside rankings traded like any strategy: next-open curve, costs, stages and metrics beside the others."""
+    """Outside rankings and the reviewed selection traded like any strategy: next-open curve, costs, stages and metrics."""
     bars, bench = panel(spark, sf)
     packet = packets(spark, sf)
+    columns = ["strategy", "decision", "symbol", "weight"]
     listed = strategies.ranking_targets(ranking_rows(packet), packet.select("decision", "id", "symbol"), TOP).withColumn(
         "strategy", F.lit("ranked_list"))
+    reviewed = gated_targets(packet).withColumn("strategy", F.lit("reviewed_list"))
     rows = compare.universe_sweep(
-        bars, bench, LOOKBACKS, curves_queries.TOP, EVERY, warmup=40, cost_bps=COST, extra_targets=listed, extra_names=("ranked_list",))
+        bars, bench, LOOKBACKS, curves_queries.TOP, EVERY, warmup=40, cost_bps=COST,
+        extra_targets=listed.select(*columns).unionByName(reviewed.select(*columns)), extra_names=("ranked_list", "reviewed_list"))
     return rounded_metrics(rows, ["strategy", "stage"])
 
 
@@ -226,13 +229,16 @@ def unknown_ranking_ids(spark, sf):
     return strategies.unknown_ids(ids, packet).select("decision", "id")
 
 
-def gated_selection(spark, sf):
-    packet = packets(spark, sf)
+def gated_targets(packet):
     ranked = strategies.composite_ranking(packet, ("decision",)).select("decision", "symbol", "position")
     brand = F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
     reviews = packet.filter(brand % 4 > 0).select(
         "decision", "symbol", ((brand * 7 + F.month("decision")) % 3 > 0).alias("approved"))
-    return strategies.gated_targets(ranked, reviews, 15, TOP).select(
+    return strategies.gated_targets(ranked, reviews, 15, TOP)
+
+
+def gated_selection(spark, sf):
+    return gated_targets(packets(spark, sf)).select(
         "decision", "symbol", F.col("place").cast("bigint").alias("place"), r("weight").alias("weight"))
 
 
