@@ -59,7 +59,7 @@ class Rollup:
 
     A batch is summed before it is stored (partial sums per task first, so a source with a third of all rows moves a few
     rows), and its folder is written whole: a failed or repeated commit changes nothing. Null sources and languages are
-    keys like others; an empty batch commits and adds nothing. Several batches may be folded into one with `compact`."""
+    keys like others; an empty batch commits and adds nothing."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")

@@ -12,7 +12,7 @@ from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path, through_table
@@ -23,6 +23,8 @@ LEAST_SHARED = 100
 FILE_RECORDS = 20_000
 RANGE_ROWS = 16_384
 BROADCAST_ROWS = 500_000
+#: Sampled keys that one task puts in order when ranges are cut.
+STRETCH_MARKS = 65_536
 #: Seconds since 1970 of page 0's capture, where no time is given.
 EPOCH = 1_704_067_200
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -176,17 +178,19 @@ class LoserTree:
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The rows of all runs with `position`, their place in the global order by url key, time and page.
 
-    Keys taken at regular distances from every run cut the key space into ranges of about `range_rows` captures; each task
-    merges the pieces of the runs that fall into one range. As time, page, run and place belong to the key, one url with a
-    third of all captures is many ranges. The driver sees 16 keys and one count per range."""
+    Keys taken at regular distances from every run, put in order by a range shuffle, cut the key space into ranges of about
+    `range_rows` captures; each task merges the pieces of the runs that fall into one range. As time, page, run and place
+    belong to the key, one url with a third of all captures is many ranges. The driver sees one key and one count per range."""
     runs = through_table(runs, "runs")
     spark, total = runs.sparkSession, runs.count()
     step = max(1, range_rows // 16)
     key = ("urlkey", "captured", "page_id", "run", "place")
-    marks = runs.where(F.pmod(F.col("place") + F.xxhash64("run"), F.lit(step)) == 0).select(*key).collect()
-    marks = sorted((r[0], r[1], -1 if r[2] is None else r[2], r[3], r[4]) for r in marks)
-    ranges = min(len(marks), math.ceil(total / range_rows))
-    splits = spark.sparkContext.broadcast([marks[len(marks) * k // ranges] for k in range(1, ranges)])
+    marks = runs.where(F.pmod(F.col("place") + F.xxhash64("run"), F.lit(step)) == 0).select(
+        *key).withColumn("page_id", F.coalesce("page_id", F.lit(-1)))
+    marks = marks.repartitionByRange(max(1, math.ceil(total / step / STRETCH_MARKS)), *key).withColumn("stretch", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("stretch").orderBy(*key))
+    cuts = marks.withColumn("nth", nth).where(F.col("nth") % max(1, range_rows // step) == 0).select(*key).collect()
+    splits = spark.sparkContext.broadcast(sorted(tuple(r) for r in cuts))
     names = runs.columns
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
