@@ -9,8 +9,8 @@ from helpers import bar, bars, series
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
-from tidemark.streaming import jobs
-from tidemark.streaming.sinks import put_batch, read_batches, read_state
+from tidemark.streaming import jobs, sinks
+from tidemark.streaming.sinks import put_batch, put_state, read_batches, read_state
 from tidemark.plans.streaming_queries import drain
 
 
@@ -39,7 +39,7 @@ def test_positions_continue_over_batches(spark):
     whole = ledger.positions(spark.createDataFrame(rows, schema), ["t"]).first()
     parts = [spark.createDataFrame(rows[a:b], schema) for a, b in ((0, 10), (10, 11), (11, 39))]
     out = drain(spark, parts, lambda s, o, c: jobs.running_positions(s, ("t",), o, c))
-    row = jobs.latest_state(spark, out, jobs.POSITION_STATE).first()
+    row = jobs.latest_state(spark, out, jobs.POSITION_STATE, ("portfolio", "symbol")).first()
     assert row["fills"] == whole["fills"] == 39
     for name in ("quantity", "cost_basis", "realized_pnl"):
         assert row[name] == pytest.approx(whole[name], rel=1e-9)
@@ -51,7 +51,21 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     for _ in range(2):
         put_batch(rows, path, 0)
     assert read_batches(spark, path, "x int").count() == 2
-    assert read_state(spark, path, "x int", 1).count() == 2 and read_state(spark, path, "x int", 0).count() == 0
+
+
+def test_state_is_the_newest_row_of_each_key_over_whole_tables_and_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "WHOLE_EVERY", 3)
+    path, schema, held = str(tmp_path / "state"), "k int, v int", {}
+    assert read_state(spark, path, schema, ["k"], 0).count() == 0
+    for number in range(8):
+        changed = {number % 4: number, None: -number}
+        for _ in range(2 if number in (3, 4) else 1):
+            known = read_state(spark, path, schema, ["k"], number)
+            put_state(known, spark.createDataFrame(list(changed.items()), schema), path, ["k"], number)
+        held |= changed
+        found = read_state(spark, path, schema, ["k"], number + 1).collect()
+        assert len(found) == len(held) and {r["k"]: r["v"] for r in found} == held
+    assert [spark.read.parquet(f"{path}/batch={n}").count() for n in (5, 6)] == [2, 5]
 
 
 def test_repeated_and_late_fills_are_placed(spark):
@@ -61,7 +75,7 @@ def test_repeated_and_late_fills_are_placed(spark):
     whole = ledger.positions(spark.createDataFrame([*first, second[0]], schema), ["t"]).first()
     out = drain(spark, [spark.createDataFrame(rows, schema) for rows in (first, second)],
                 lambda s, o, c: jobs.running_positions(s, ("t",), o, c))
-    row = jobs.latest_state(spark, out, jobs.POSITION_STATE).first()
+    row = jobs.latest_state(spark, out, jobs.POSITION_STATE, ("portfolio", "symbol")).first()
     assert [row[c] for c in ("fills", "quantity", "cost_basis", "realized_pnl")] == [
         whole[c] for c in ("fills", "quantity", "cost_basis", "realized_pnl")] == [3, 15.0, 225.0, 25.0]
 

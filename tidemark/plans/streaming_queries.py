@@ -90,7 +90,7 @@ def stream_positions(spark, sf):
     third = F.pmod(F.xxhash64("fill_id"), F.lit(3))
     out = drain(spark, [fills.filter((F.col("executed_on") >= cut) | (third == 0)), fills.filter((F.col("executed_on") < cut) | (third == 1))],
                 lambda stream, path, checkpoint: jobs.running_positions(stream, d.FILL_ORDER, path, checkpoint))
-    return jobs.latest_state(spark, out, jobs.POSITION_STATE).select(
+    return jobs.latest_state(spark, out, jobs.POSITION_STATE, ("portfolio", "symbol")).select(
         "portfolio", "symbol", "fills", r("quantity").alias("quantity"), settled("cost_basis").alias("cost_basis"),
         settled("realized_pnl").alias("realized_pnl"), "oversold_by")
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators import ledger, quality, scans
 from tidemark.session import through_table
 from tidemark.sources import stores
-from tidemark.streaming.sinks import put_batch, read_batches, read_state, start_batches
+from tidemark.streaming.sinks import put_batch, put_state, read_batches, read_state, start_batches
 
 KEY = ("symbol", "session", "vintage")
 
@@ -112,7 +112,7 @@ def lifecycle_monitor(
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = read_state(spark, f"{out}/state", state_schema, number)
+        known = read_state(spark, f"{out}/state", state_schema, [entity], number)
         touched = batch.select(entity).distinct()
         before = known.join(touched, entity, "left_semi").withColumn("carried", F.lit(True))
         last = before.select(entity, F.struct(*order).alias("last_place"))
@@ -127,7 +127,7 @@ def lifecycle_monitor(
         newest = F.max_by("state", F.struct(*order)).alias("state")
         places = [F.max(F.struct(*order))[c].alias(c) for c in order]
         changed = before.drop("carried").unionByName(fresh.drop("carried")).groupBy(entity).agg(*places, newest)
-        put_batch(known.join(changed, entity, "left_anti").unionByName(changed.select(*known.columns)), f"{out}/state", number)
+        put_state(known, changed, f"{out}/state", [entity], number)
 
     return start_batches(stream, handle, checkpoint)
 
@@ -164,8 +164,8 @@ def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpo
         fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/fills/batch={number}")
         touched = fresh.select(*keys).distinct()
         moved = ledger.positions(stored.unionByName(fresh).join(touched, keys, "left_semi").drop("bucket"), order, keys).drop("left_out")
-        known = read_state(spark, f"{out}/state", POSITION_STATE, number)
-        put_batch(known.join(touched, keys, "left_anti").unionByName(moved), f"{out}/state", number)
+        known = read_state(spark, f"{out}/state", POSITION_STATE, keys, number)
+        put_state(known, moved, f"{out}/state", keys, number)
 
     return start_batches(stream, handle, checkpoint)
 
@@ -191,7 +191,7 @@ def latest_counters(spark, out: str) -> DataFrame:
         F.max_by("jobs", "batch").alias("jobs"))
 
 
-def latest_state(spark, out: str, schema) -> DataFrame:
-    rows = read_batches(spark, f"{out}/state", schema)
-    newest = rows.agg(F.max("batch")).scalar()
-    return rows.filter(F.col("batch") == newest).drop("batch")
+def latest_state(spark, out: str, schema, keys: Sequence[str]) -> DataFrame:
+    """State after the newest batch; an empty table where no batch ran."""
+    newest = read_batches(spark, f"{out}/state", schema).agg(F.max("batch")).first()[0]
+    return read_state(spark, f"{out}/state", schema, keys, 0 if newest is None else newest + 1)
