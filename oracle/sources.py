@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle.curves import HITS, METRICS, point_metrics
 from oracle.fixtures import cte, r, with_
 
 N = "CAST(regexp_extract(symbol, '([0-9]+)$', 1) AS INTEGER)"
@@ -35,6 +36,7 @@ SELECT event_id, arg_min(n, delivery) AS n, arg_min(occurred_at, delivery) AS oc
 FROM event_log GROUP BY event_id""", "event_log")
 
 SQL = {
+    "stored_reports": point_metrics(*METRICS, *HITS),
     "list_price_payloads": prices(f"{N} % 6 NOT IN (1, 2, 3)", adjusted_close="close",
                                   volume="CASE WHEN volume % 6 > 0 THEN volume ELSE 0 END", source="Tiingo", vintage="raw:"),
     "map_price_payloads_adjusted": prices(f"{N} % 7 NOT IN (1, 2, 3, 4)", adjusted_close="close / 2", source="Alpha Vantage", vintage=""),

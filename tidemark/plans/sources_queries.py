@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import r
 from tidemark.operators import metrics
 from tidemark.plans import driver_tables as d
-from tidemark.plans.curves_queries import points
+from tidemark.plans.curves_queries import points, rounded_metrics
+from tidemark.session import scratch_path
 from tidemark.sources import payloads, stores
 
 RETRIEVED = "2002-01-01 00:00:00"
@@ -174,6 +175,15 @@ def report_documents(spark, sf):
         r(c).alias(c) if c not in ("symbol", "candidate") else F.col(c) for c in rows.columns]))
 
 
+def stored_reports(spark, sf):
+    """The metrics written as documents and read back: every number survives."""
+    keys = ["symbol", "candidate"]
+    rows = metrics.performance_metrics(points(spark, sf), keys)
+    path = scratch_path(spark, "report")
+    stores.write_report(rows, path)
+    return rounded_metrics(stores.read_report(spark, path, rows.schema), keys)
+
+
 QUERIES = {
     "list_price_payloads": list_prices,
     "map_price_payloads_adjusted": map_prices(True),
@@ -190,4 +200,5 @@ QUERIES = {
     "appended_events": appended_events,
     "entity_events": entity_events,
     "report_documents": report_documents,
+    "stored_reports": stored_reports,
 }

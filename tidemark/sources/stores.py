@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import canonical, scaled, sha, sorted_list_hash
@@ -184,3 +184,8 @@ def report_lines(metrics: DataFrame) -> DataFrame:
 
 def write_report(metrics: DataFrame, path: str) -> None:
     report_lines(metrics).write.mode("errorifexists").text(path)
+
+
+def read_report(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of a written report; a field that a document lacks is null."""
+    return spark.read.text(path).select(F.from_json("value", schema).alias("row")).select("row.*")
