@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -207,6 +208,22 @@ def test_benchmark_in_several_spaces(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k, _ in items[::3]}
 
 
+def test_an_item_in_a_third_of_the_documents_is_found(spark):
+    """However common its own words become and however rare those around it are."""
+    rng = random.Random(8)
+    items = [(k, " ".join(f"item{k}w{j}" for j in range(20))) for k in range(3)]
+    rows = []
+    for k in range(600):
+        body = [f"own{k}w{rng.randrange(10 ** 6)}" for _ in range(120)]
+        if k % 3 == 0:
+            body[60:60] = items[0][1].split()
+        rows.append((k, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert found == {(k, 0) for k in range(0, 600, 3)}
+
+
 def test_pipeline_keeps_what_each_stage_keeps(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
