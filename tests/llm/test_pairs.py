@@ -224,6 +224,46 @@ def test_an_item_in_a_third_of_the_documents_is_found(spark):
     assert found == {(k, 0) for k in range(0, 600, 3)}
 
 
+def test_items_of_any_length_are_found_like_brute_force(spark, monkeypatch):
+    """50 to 100 % of an item's words in order, inside longer texts, against checks of every region of every text."""
+    monkeypatch.setattr(decontamination, "CHUNK", 700, raising=False)
+    rng = random.Random(21)
+    sizes = [2, 3, 4, 5, 8, 13, 17, 40, 60, 130, 270, 540, 1000]
+    items = {k: [f"w{min(rng.randrange(4000), rng.randrange(4000), rng.randrange(4000))}" for _ in range(n)] for k, n in enumerate(sizes)}
+    rows, planted = [], set()
+    for share in (1.0, 0.7, 0.5):
+        for k, item in items.items():
+            for _ in range(2):
+                answer = max(3, len(item) // 3)
+                keep = math.ceil(share * len(item))
+                places = range(len(item)) if share > 0.5 else range(max(0, len(item) - answer))
+                # Half of the words count with the answer only.
+                sure = set() if share > 0.5 else set(range(max(0, len(item) - answer), len(item)))
+                sure |= set(rng.sample(places, max(0, keep - len(sure))))
+                passage = [w if j in sure else "other" for j, w in enumerate(item)]
+                body = [f"w{rng.randrange(40000)}" for _ in range(rng.randrange(1500))]
+                at = rng.randrange(len(body) + 1)
+                body[at:at] = passage
+                planted.add((len(rows), k))
+                rows.append((len(rows), " ".join(body)))
+    truth = set()
+    for i, body in rows:
+        words = body.split()
+        for k, item in items.items():
+            step, size = max(1, len(item) // 2), len(item)
+            answer = item[-max(3, size // 3):]
+            for start in range(0, len(words), step):
+                region = words[start:start + size + size // 2]
+                share = decontamination.common_subsequence(item, region) / size
+                if share >= 0.7 or (share >= 0.5 and decontamination.common_subsequence(answer, region) >= 0.8 * len(answer)):
+                    truth.add((i, k))
+                    break
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert planted <= truth and found == truth
+
+
 def test_pipeline_keeps_what_each_stage_keeps(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
