@@ -156,6 +156,24 @@ def test_one_of_each_class_stays(spark):
     assert kept.where("doc_id is null").count() == 1 and duplicates.drop_near_texts(docs.limit(0)).isEmpty()
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(4)
+    one, two, three = (" ".join(rng.choice(WORDS) for _ in range(80)) for _ in range(3))
+    near = one.split()
+    near[40] = "other"
+    item = " ".join(f"item{k}" for k in range(20))
+    rows = [(1, one), (1, two), (1, two), (1, "..."), (2, " ".join(near)), (3, two.upper()), (4, three), (5, three), (5, item), (6, item), (6, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("r"))
+    kept = duplicates.drop_near_texts(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, one), (1, two), (1, "..."), (4, three), (5, item)])
+    placed = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in duplicates.near_texts(docs).collect())
+    assert placed == sorted([(1, 1, True)] * 4 + [(2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (5, 5, True), (6, 5, False), (6, 1, False)])
+    clean = decontamination.drop_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert clean.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in clean.collect()) == sorted(r for r in rows if r[1] != item)
+
+
 def _common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -91,13 +91,20 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Texts with equal words (case and marks aside) are copies. Different texts link if the weighted Jaccard similarity of
     their five-word shingles is at least `similarity`; a class is what links and copies connect, named by its smallest
-    doc_id, which is the row kept; rows that repeat an id are one node. A shingle weighs its occurrences times the mean inverse document frequency of its words,
+    doc_id, whose row is kept. Every text is a node of its own, so a repeated id joins nothing: its rows are placed by their
+    own texts, and classes that start with the same id share its name. Of different texts of one class under its smallest
+    id one is kept; rows equal in id and words are kept alike. A shingle weighs its occurrences times the mean inverse document frequency of its words,
     counted over all rows. Texts without a word (null, empty, marks only) and rows without an id are classes of their own;
     a null id has a null class and is kept. An empty table gives no row.
 
     Two rounds of verification: every member of a bucket against the smallest one; then, where members of a bucket are
     still in different classes, block by block all pairs whose samples agree often enough, until they are joined. Pairs
     never leave a task unless they link classes, and nothing is capped."""
+    return _placed(docs, similarity).select("doc_id", "class_id", "kept")
+
+
+def _placed(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, copy (key of the words, null without any), class_id, kept of every row."""
     table, total = word_frequencies(docs)
     sparkContext = docs.sparkSession.sparkContext
     idf = sparkContext.broadcast(inverse_frequency(table, total))
@@ -122,14 +129,18 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     sketched = through_table(named.mapInPandas(sketch, f"doc_id {named.schema['doc_id'].dataType.simpleString()}, copy string, samples binary, bands array<long>"), "sketches")
     texts = sketched.where("copy is not null").groupBy("copy").agg(F.min(F.struct("doc_id", "samples", "bands")).alias("least"))
-    texts = through_table(texts.select("copy", F.col("least.doc_id").alias("rep"), "least.samples", "least.bands"), "texts")
+    # Numbers are drawn once, with the table.
+    texts = through_table(texts.select("copy", F.col("least.doc_id").alias("least_id"), "least.samples", "least.bands",
+                                       F.monotonically_increasing_id().alias("node")), "texts")
 
-    spread = texts.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = through_table(spread.groupBy("band", "bucket").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
+    spread = texts.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = through_table(spread.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
                            .where("n > 1"), "shared-buckets")
     members = through_table(spread.join(shared, ["band", "bucket"]), "bucket-members")
-    needed = through_table(members.select("rep").distinct(), "needed")
-    ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    needed = through_table(texts.join(members.select("node").distinct(), "node").select(
+        "node", "copy", F.col("least_id").alias("doc_id")), "needed")
+    ids = needed.select("doc_id").distinct()
+    ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
 
     def rekeyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,11 +148,10 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             yield batch
 
     kind = named.schema["doc_id"].dataType.simpleString()
-    bodies = named.join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    bodies = named.join(ids, "doc_id", "left_semi")
     bodies = bodies.mapInPandas(rekeyed, f"doc_id {kind}, text string, copy string").dropDuplicates(["doc_id", "copy"])
     # A repeated id may have several texts: the copy key picks the one that was sketched.
-    bodies = through_table(bodies.join(texts.select(F.col("rep").alias("doc_id"), "copy"), ["doc_id", "copy"]).select(
-        F.col("doc_id").alias("rep"), "copy", "text"), "bodies")
+    bodies = through_table(bodies.join(needed, ["doc_id", "copy"]).select("node", "text"), "bodies")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = idf.value
@@ -156,54 +166,58 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             yield pd.DataFrame(linked, columns=["low", "high"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        low = bodies.select(F.col("rep").alias("low"), F.col("text").alias("low_text"))
-        high = bodies.select(F.col("rep").alias("high"), F.col("text").alias("high_text"))
+        low = bodies.select(F.col("node").alias("low"), F.col("text").alias("low_text"))
+        high = bodies.select(F.col("node").alias("high"), F.col("text").alias("high_text"))
         both = pairs.join(high, "high").join(low, "low")
-        return through_table(both.mapInPandas(verify, f"low {kind}, high {kind}"), name)
+        return through_table(both.mapInPandas(verify, "low long, high long"), name)
 
     def classed(edges: DataFrame) -> DataFrame:
-        return components(edges, "low", "high").withColumnRenamed("node", "rep")
+        return components(edges, "low", "high")
 
-    pairs = members.where("rep > first").select(F.col("first").alias("low"), F.col("rep").alias("high")).distinct()
+    pairs = members.where("node > first").select(F.col("first").alias("low"), F.col("node").alias("high")).distinct()
     links = verified(pairs, "first-links")
     classes = classed(links)
-    more = _links_across(members, classes, texts.select("rep", "samples"), bodies.select("rep", "text"), idf, similarity, kind)
+    more = _links_across(members, classes, texts.select("node", "samples"), bodies, idf, similarity)
     if not more.isEmpty():
         classes = classed(links.unionByName(more))
 
-    named_class = texts.select("copy", "rep").join(classes, "rep", "left").select("copy", F.coalesce("component", "rep").alias("class_id"))
-    named_class = through_table(named_class, "text-classes")
-    placed = sketched.select("doc_id", "copy").join(named_class, "copy").select("doc_id", "class_id")
+    classes = through_table(texts.select("node", "copy", "least_id").join(classes, "node"), "linked-texts")
+    least = classes.groupBy("component").agg(F.min(F.struct("least_id", "copy")).alias("least"))
+    linked = classes.join(least, "component").select("copy", F.col("least.least_id").alias("class_id"), F.col("least.copy").alias("kept_copy"))
+    text_class = texts.select("copy", "least_id").join(linked, "copy", "left").select(
+        "copy", F.coalesce("class_id", "least_id").alias("class_id"), F.coalesce("kept_copy", "copy").alias("kept_copy"))
+    text_class = through_table(text_class, "text-classes")
+    placed = sketched.select("doc_id", "copy").join(text_class, "copy").select(
+        "doc_id", "copy", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("copy") == F.col("kept_copy"))).alias("kept"))
     wordless = sketched.where("copy is null").select("doc_id").unionByName(docs.select("doc_id").where("doc_id is null"))
-    placed = placed.unionByName(wordless.withColumn("class_id", F.col("doc_id")))
-    return placed.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return placed.unionByName(wordless.select("doc_id", F.lit(None).cast("string").alias("copy"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
 
 
 def _links_across(members: DataFrame, classes: DataFrame, samples: DataFrame, bodies: DataFrame, idf: Broadcast,
-                  similarity: float, kind: str) -> DataFrame:
+                  similarity: float) -> DataFrame:
     """Links (low, high) between members of one bucket that are in different classes so far.
 
     Tasks get the members with their texts, block against block, and return at most one link per merge; a pair is looked
     at in the first band that holds it and only while its members are still apart."""
-    known = members.select("band", "bucket", "rep").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = members.select("band", "bucket", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = through_table(known, "bucket-classes")
     split = known.groupBy("band", "bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
     split = through_table(split.where("a <> b").select("band", "bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "split-buckets")
     rows = through_table(known.join(split, ["band", "bucket"]), "split-members")
     groups = max(1, math.ceil((rows.agg(F.sum("blocks")).first()[0] or 0) / (2 * BLOCK_ROWS)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn(
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
     key = ["band", "bucket", "left", "right"]
     rows = rows.withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups))).drop("blocks", "other")
-    rows = rows.join(samples, "rep").join(bodies, "rep")
+    rows = rows.join(samples, "node").join(bodies, "node")
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         low, high = [], []
         for (band, _, left, right), part in frame.groupby(key, sort=False):
-            part = part.drop_duplicates(["rep", "text"])
+            part = part.drop_duplicates(["node", "text"])
             sample = np.frombuffer(b"".join(part["samples"]), np.uint16).reshape(len(part), SAMPLES)
-            component, own, rep, text = (part[c].to_numpy() for c in ("component", "own", "rep", "text"))
+            component, own, node, text = (part[c].to_numpy() for c in ("component", "own", "node", "text"))
             equal = np.zeros((len(part), len(part)), np.int16)
             good = component[:, None] < component[None, :]
             if left != right:
@@ -238,23 +252,34 @@ def _links_across(members: DataFrame, classes: DataFrame, samples: DataFrame, bo
                 # The lighter text is all that can be shared.
                 if min(p[2], q[2]) >= similarity * max(p[2], q[2]) * (1 - 1e-6) and weighted_jaccard(p, q) >= similarity:
                     root[max(s, t)] = min(s, t)
-                    low.append(min(rep[x], rep[y]))
-                    high.append(max(rep[x], rep[y]))
+                    low.append(min(node[x], node[y]))
+                    high.append(max(node[x], node[y]))
         return pd.DataFrame({"low": low, "high": high})
 
-    return through_table(rows.groupBy("group").applyInPandas(link, f"low {kind}, high {kind}").distinct(), "more-links")
+    return through_table(rows.groupBy("group").applyInPandas(link, "low long, high long").distinct(), "more-links")
 
 
 def drop_near_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` that stand for their class, with their own columns; of rows that repeat an id, that with the
-    smallest text. Rows without an id stay."""
-    kept = near_texts(docs, similarity).where("kept and doc_id is not null")
-    kept = through_table(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
-    once = kept.select("doc_id")
-    rows = docs.join(F.broadcast(once) if kept.count() <= BROADCAST_IDS else once, "doc_id", "left_semi")
-    again = kept.where("n > 1").select("doc_id")
+    """The rows of `docs` that stand for their class, with their own columns. Rows that share an id are told apart by their
+    words; of rows equal in both, that with the smallest text stays. Rows without an id or a word stay."""
+    placed = through_table(_placed(docs, similarity).where("doc_id is not null"), "near-text-rows")
+    by_id = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("kept")
+    by_id = through_table(by_id.select("doc_id", "n"), "kept-ids")
+    once, again = by_id.where("n = 1").select("doc_id"), by_id.where("n > 1").select("doc_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.join(F.broadcast(once) if by_id.count() <= BROADCAST_IDS else once, "doc_id", "left_semi").select(*columns)
     if not again.isEmpty():
-        least = rows.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(
-            F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row"))
-        rows = rows.join(again, "doc_id", "left_anti").unionByName(least.select("_row.*"))
-    return rows.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+        def key(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                found = [token_hashes(t) for t in batch]
+                yield pd.Series([_key(t) if len(t) else None for t in found], dtype=object)
+
+        keyed = docs.join(again, "doc_id", "left_semi").select(
+            F.struct(*columns).alias("_row"), F.pandas_udf(key, "string")(F.col("text").cast("string")).alias("_copy"))
+        keyed = through_table(keyed, "repeated-ids")
+        least = keyed.where("_copy is not null").groupBy(F.col("_row.doc_id").alias("_id"), "_copy").agg(
+            F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("_row"))
+        chosen = placed.where("kept and copy is not null").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
+        rows = rows.unionByName(least.join(chosen, ["_id", "_copy"], "left_semi").select("_row.*"))
+        rows = rows.unionByName(keyed.where("_copy is null").select("_row.*"))
+    return rows.unionByName(docs.where("doc_id is null").select(*columns))
