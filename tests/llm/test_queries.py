@@ -73,6 +73,13 @@ def test_token_rollup(spark, rows):
     assert found == dict(truth)
 
 
+def test_token_rollup_of_repeated_ids_and_null_texts(spark, tmp_path):
+    made = [(1, "a"), (2, "a"), (2, "b - c"), (3, None), (4, None)]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in made], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["tokenizer"]: (r["documents"], r["tokens"]) for r in QUERIES["op3_token_rollup"](spark, str(tmp_path)).collect()}
+    assert found["whitespace-1"] == (4, 3) and found["byte-bpe-50k"][0] == 4
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op4_toxicity", "toxic", 0.9), ("op6_quality", "quality", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     found = QUERIES[name](spark, LABELLED).toPandas()

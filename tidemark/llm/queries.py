@@ -31,18 +31,19 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.piece_counts(docs).select(
         "doc_id", "source", "lang", "pieces", mixing.word_count(text).alias("words"),
         F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*")), F.lit(0)).cast("long").alias("clean_words"),
-        F.xxhash64("text").alias("text_hash"))
+        F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_hash"))
     counted = through_table(counted, "token-counts")
-    first = through_table(counted.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = through_table(counted.where("text_hash is not null").groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
                           .where("n > 1").drop("n"), "first-copies")
-    copies = counted.join(first, "text_hash").where("doc_id > first_id")
+    # Rows are judged by their own text, whatever other rows share the id; null texts are no copies of each other.
+    counted = counted.join(first, "text_hash", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    copies = counted.where("copy")
     rollup = tokens.Rollup(spark, scratch_path(spark, "token-rollup"))
     versions = (("whitespace-1", "words"), ("byte-bpe-50k", "pieces"))
     rollup.commit(0, tokens.inserts(counted, *versions[0]).unionByName(tokens.inserts(counted, *versions[1])))
     gone = tokens.deletes(copies, *versions[0]).unionByName(tokens.deletes(copies, *versions[1]))
     rollup.commit(1, gone)
-    left = counted.join(copies.select("doc_id"), "doc_id", "left_anti")
-    rollup.commit(2, tokens.revisions(left, "whitespace-1", "words", "clean_words"))
+    rollup.commit(2, tokens.revisions(counted.where("not copy"), "whitespace-1", "words", "clean_words"))
     rollup.commit(1, gone)
     return rollup.totals()
 
