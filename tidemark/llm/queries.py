@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, duplicates, embeddings, language, mixing, quality, sharding, tokens, toxicity, training, warc
+from tidemark.llm import (
+    decontamination, duplicates, embeddings, language, mixing, quality, ranking, sharding, tokens, toxicity, training, warc,
+)
 from tidemark.session import scratch_path, through_table
 
 SHARDS = tuple(range(24))
@@ -88,8 +90,12 @@ def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_near_embeddings, op2_source_mix, op3_token_rollup, op4_toxicity, op5_shards, op6_quality, op7_capture_index,
-                                 op8_near_texts, op9_language, op10_contaminated)}
+                                 op8_near_texts, op9_language, op10_contaminated, op12_ranked_search)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_embeddings": """
@@ -153,4 +159,25 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to,
        urlkey, captured, row_number() OVER (ORDER BY urlkey, captured, page_id) - 1 AS position, true AS intact
 FROM k""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(len(terms))::BIGINT AS big_l FROM d WHERE len(terms) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+o AS (
+  SELECT row_id, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT row_id, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY row_id, doc_id, n, term),
+w AS (SELECT term, floor(1000.0::DOUBLE * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM o, s GROUP BY term, big_n),
+p AS (
+  SELECT q.item_id, o.row_id, o.doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score
+  FROM o JOIN w USING (term) JOIN q USING (term), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
