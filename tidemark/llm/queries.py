@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontamination, duplicates, embeddings, language, mixing, quality, ranking, sharding, tokens, toxicity, training, warc,
+    collisions, decontamination, duplicates, embeddings, language, mixing, quality, ranking, sharding, tokens, toxicity, training, warc,
 )
 from tidemark.session import scratch_path, through_table
 
@@ -94,8 +94,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_near_embeddings, op2_source_mix, op3_token_rollup, op4_toxicity, op5_shards, op6_quality, op7_capture_index,
-                                 op8_near_texts, op9_language, op10_contaminated, op12_ranked_search)}
+                                 op8_near_texts, op9_language, op10_contaminated, op12_ranked_search, op13_nearest_vectors)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_embeddings": """
@@ -180,4 +184,13 @@ p AS (
   FROM o JOIN w USING (term) JOIN q USING (term), s GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op13_nearest_vectors": """
+WITH v AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score
+  FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
 }
