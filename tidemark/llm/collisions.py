@@ -15,13 +15,13 @@ from tidemark.llm.embeddings import rotation, usable
 from tidemark.session import through_table
 
 NEAREST = 20
-#: Sorted arrays of a block; half a window per unit of the search radius; deviations by which the collisions of a vector at
+#: Sorted arrays of a block, fewer than 256; half a window per unit of the search radius; deviations by which the collisions of a vector at
 #: exactly the radius may fall short of their mean. Each array holds such a vector with probability `HELD`.
-ARRAYS, HALF_WINDOW, DEVIATIONS = 192, 1.0, 3.0
+ARRAYS, HALF_WINDOW, DEVIATIONS = 128, 1.0, 3.0
 HELD = math.erf(HALF_WINDOW / math.sqrt(2))
 COLLISIONS = math.floor(ARRAYS * HELD - DEVIATIONS * math.sqrt(ARRAYS * HELD * (1 - HELD)))
 #: Virtual rehashing: the first radius between unit vectors, and its growth.
-FIRST_RADIUS, GROWTH = 0.25, 2.0
+FIRST_RADIUS, GROWTH = 0.3, 3.0
 #: Rows of a block on average, queries handled at once in it.
 BLOCK_ROWS, QUERY_ROWS = 2048, 1024
 #: Rows of the sample that gives every query a first bound, and its most bytes.
@@ -32,10 +32,7 @@ PASS_BYTES = 64 << 20
 
 def inner_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, added dimension by dimension: equal rows have equal products wherever they lie."""
-    total = np.zeros(len(rows))
-    for k in range(rows.shape[1]):
-        total += rows[:, k] * query[k]
-    return total
+    return np.add.accumulate(rows * query, axis=1)[:, -1]
 
 
 class Block:
@@ -78,6 +75,7 @@ class Block:
         bound = floors.copy()
         seen = np.zeros((len(queries), len(self.rows)), bool)
         found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        moved, inside = np.empty_like(self.rank), np.empty(self.rank.shape, bool)
         radius, open_ = FIRST_RADIUS, np.arange(len(queries))
         while len(open_):
             target = self.radius_of(bound[open_], length[open_])
@@ -88,13 +86,16 @@ class Block:
                 if reach[k] >= 2:
                     fresh = ~seen[query]
                 else:
-                    inside = (self.rank - start[:, k, None]) < width[:, k, None]
-                    held = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if ARRAYS < 256 else np.int32)
+                    # Ranks below the window wrap around and are too large as well.
+                    np.subtract(self.rank, start[:, k, None], out=moved)
+                    np.less(moved, width[:, k, None], out=inside)
+                    held = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
                     fresh = (held >= COLLISIONS) & ~seen[query]
                 new = np.flatnonzero(fresh)
                 seen[query] |= fresh
                 rough = self.rows[new] @ queries[query]
-                new = new[rough >= bound[query] - 1e-9 * length[query] * self.most]
+                low = max(bound[query], np.partition(rough, -count)[-count]) if len(new) > count else bound[query]
+                new = new[rough >= low - 1e-9 * length[query] * self.most]
                 if not len(new):
                     continue
                 scores = inner_products(self.rows[new], queries[query])
