@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    collisions, decontamination, duplicates, embeddings, language, mixing, quality, ranking, sharding, tokens, toxicity, training, warc,
+    collisions, conversations, decontamination, duplicates, embeddings, language, mixing, quality, ranking, sharding, tokens, toxicity, training, warc,
 )
 from tidemark.session import scratch_path, through_table
 
@@ -90,6 +90,11 @@ def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.repaired(conversations.damaged(turns), turns)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -99,7 +104,7 @@ def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_embeddings, op2_source_mix, op3_token_rollup, op4_toxicity, op5_shards, op6_quality, op7_capture_index,
-                                 op8_near_texts, op9_language, op10_contaminated, op12_ranked_search, op13_nearest_vectors)}
+                                 op8_near_texts, op9_language, op10_contaminated, op11_repaired_conversations, op12_ranked_search, op13_nearest_vectors)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_embeddings": """
