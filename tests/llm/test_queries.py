@@ -35,7 +35,7 @@ def held(doc_id):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, name):
     base = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "benchmark"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     right = base.execute(ORACLE_SQL[name]).df()
     left = QUERIES[name](spark, SF).toPandas()[list(right.columns)]

@@ -119,21 +119,20 @@ def floors(queries: DataFrame, sample: dict[int, np.ndarray], count: int) -> Dat
     """`queries` with `floor`: the `count`-th best score in the sample, which no better row lies below."""
     shared = queries.sparkSession.sparkContext.broadcast(sample)
 
-    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, part in batch.groupby(batch["vector"].map(len)):
-                rows = shared.value.get(dim)
-                for start in range(0, len(part), QUERY_ROWS):
-                    piece = part.iloc[start:start + QUERY_ROWS]
-                    floor = np.full(len(piece), -np.inf)
-                    if rows is not None and len(rows) >= count:
-                        asked = _stacked(piece["vector"])
-                        floor = np.partition(asked @ rows.T, -count, axis=1)[:, -count]
-                        floor = floor - 1e-9 * np.sqrt((asked * asked).sum(1)) * np.sqrt((rows * rows).sum(1).max())
-                    yield piece.assign(floor=floor)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
-    return queries.mapInPandas(bound, f"{schema}, floor double")
+    def bound(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            floor = np.full(len(vectors), -np.inf)
+            size = vectors.map(len).to_numpy()
+            for dim, rows in shared.value.items():
+                of_size = np.flatnonzero(size == dim)
+                for start in range(0, len(of_size) if len(rows) >= count else 0, QUERY_ROWS):
+                    at = of_size[start:start + QUERY_ROWS]
+                    asked = _stacked(vectors.iloc[at])
+                    slack = 1e-9 * np.sqrt((asked * asked).sum(1)) * np.sqrt((rows * rows).sum(1).max())
+                    floor[at] = np.partition(asked @ rows.T, -count, axis=1)[:, -count] - slack
+            yield pd.Series(floor)
+
+    return queries.withColumn("floor", F.pandas_udf(bound, "double")("vector"))
 
 
 def nearest(vectors: DataFrame, asked: Column, count: int = NEAREST, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -202,7 +201,7 @@ def nearest(vectors: DataFrame, asked: Column, count: int = NEAREST, pass_bytes:
                         out["block"].append(key[1])
                         out["cost"].append(-scores)
                         out["vec_id"].append(ids)
-            return pd.DataFrame(out)
+            return pd.DataFrame({name: pd.Series(values, dtype=object if name in ("cost", "vec_id") else np.int64) for name, values in out.items()})
 
         found = index.groupBy("dim", "block").applyInPandas(search, "k1 long, k2 long, block int, cost array<double>, vec_id array<long>")
         return found.select("k1", "k2", "block", F.arrays_zip("cost", "vec_id").alias("found"))

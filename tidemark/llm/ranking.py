@@ -171,7 +171,7 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     def met(owner: int):
         def run(key: tuple, visit: pd.DataFrame, postings: pd.DataFrame) -> pd.DataFrame:
             if visit.empty:
-                return pd.DataFrame({"block": [], "bundle": [], "slots": [], "rest": [], "sums": []})
+                return visit
             sums = _scattered(visit["sums"].iloc[0])
             added(sums, postings)
             rest = np.zeros(BUNDLE_ITEMS, np.int64)
