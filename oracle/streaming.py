@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.fixtures import with_
+from oracle.fixtures import r, with_
 from oracle.ledger import SQL as LEDGER
 from oracle.prices import BAR_RULES, broken
 
@@ -27,6 +27,8 @@ FROM (SELECT s.session, u.symbol, b.symbol IS NOT NULL AS present
 GROUP BY session""", kept="SELECT * FROM bars"),
     "stream_lifecycle_monitor": LEDGER["transition_audit"],
     "stream_running_positions": LEDGER["positions"],
+    "stream_fill_conflicts": with_("fills", f"""
+SELECT fill_id, {r('price + 1')} AS price FROM fills WHERE executed_on >= DATE '1998-07-01' AND l_orderkey % 50 = 0"""),
     "stream_status_counters": with_("job_rows", """
 SELECT date_trunc('day', updated_at) AS window_start, status, count(*) AS jobs FROM job_rows GROUP BY ALL"""),
 }

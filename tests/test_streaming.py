@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,8 @@ from helpers import bar, bars, series
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
-from tidemark.streaming import jobs, sinks
+from tidemark.streaming import jobs, seen, sinks
+from tidemark.streaming.seen import SeenIds
 from tidemark.streaming.sinks import put_batch, put_state, read_batches, read_state
 from tidemark.plans.streaming_queries import drain
 
@@ -39,7 +41,7 @@ def test_positions_continue_over_batches(spark):
     whole = ledger.positions(spark.createDataFrame(rows, schema), ["t"]).first()
     parts = [spark.createDataFrame(rows[a:b], schema) for a, b in ((0, 10), (10, 11), (11, 39))]
     out = drain(spark, parts, lambda s, o, c: jobs.running_positions(s, ("t",), o, c))
-    row = jobs.latest_state(spark, out, jobs.POSITION_STATE, ("portfolio", "symbol")).first()
+    row = jobs.latest_state(spark, out, jobs.HELD_STATE, ("portfolio", "symbol")).first()
     assert row["fills"] == whole["fills"] == 39
     for name in ("quantity", "cost_basis", "realized_pnl"):
         assert row[name] == pytest.approx(whole[name], rel=1e-9)
@@ -75,7 +77,7 @@ def test_repeated_and_late_fills_are_placed(spark):
     whole = ledger.positions(spark.createDataFrame([*first, second[0]], schema), ["t"]).first()
     out = drain(spark, [spark.createDataFrame(rows, schema) for rows in (first, second)],
                 lambda s, o, c: jobs.running_positions(s, ("t",), o, c))
-    row = jobs.latest_state(spark, out, jobs.POSITION_STATE, ("portfolio", "symbol")).first()
+    row = jobs.latest_state(spark, out, jobs.HELD_STATE, ("portfolio", "symbol")).first()
     assert [row[c] for c in ("fills", "quantity", "cost_basis", "realized_pnl")] == [
         whole[c] for c in ("fills", "quantity", "cost_basis", "realized_pnl")] == [3, 15.0, 225.0, 25.0]
 
@@ -97,3 +99,63 @@ def test_a_bar_with_other_content_is_listed(spark):
     out = drain(spark, [first, other], jobs.ingest_bars)
     assert sorted(r["close"] for r in read_batches(spark, f"{out}/bars", first.schema).collect()) == [10, 11]
     assert [r["close"] for r in read_batches(spark, f"{out}/conflicts", first.schema).collect()] == [12]
+
+
+FILL = "portfolio string, symbol string, fill_id string, t int, side string, quantity double, price double, fee double"
+
+
+def test_positions_over_many_batches_read_what_they_need(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jobs, "PERIOD_DAYS", 2)
+    monkeypatch.setattr(jobs, "FILL_BUCKETS", 2)
+    rng = random.Random(4)
+    days = [[("P", s, f"{s}{t}{k}", t, "BUY" if s == "C" else rng.choice(["BUY", "BUY", "SELL"]), float(rng.randrange(1, 6)), 10.0 + rng.random(), 0.1)
+             for s in "ABC" for k in range(2)] for t in range(20)]
+    late, again = days[5].pop(), days[3][0]
+    changed = (*days[16][1][:6], 99.0, 0.1)
+    batches = [list(rows) for rows in days]
+    batches[12].append(late)
+    batches[9].append(again)
+    batches[17] += [changed, changed, days[17][0]]
+    # Two contents of one id in one batch: the least counts.
+    twice = [("P", "D", "d", 18, "BUY", 1.0, price, 0.0) for price in (7.0, 8.0)]
+    batches[18] += twice
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    for rows in batches:
+        spark.createDataFrame(rows, FILL).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(FILL).option("maxFilesPerTrigger", 1).parquet(landing)
+    jobs.running_positions(stream, ("t", "fill_id"), out, str(tmp_path / "checkpoint")).awaitTermination()
+    held = jobs.latest_state(spark, out, jobs.HELD_STATE, ("portfolio", "symbol"))
+    kept = next(row for row in twice if row[6] == held.filter("symbol = 'D'").first()["cost_basis"])
+    whole = [row for rows in days for row in rows] + [late, kept]
+    right = {r["symbol"]: r for r in ledger.positions(spark.createDataFrame(whole, FILL), ["t", "fill_id"]).collect()}
+    found = {r["symbol"]: r for r in held.collect()}
+    assert set(found) == set(right) == set("ABCD")
+    for symbol, row in right.items():
+        assert [found[symbol][c] for c in ("fills", "oversold_by")] == [row[c] for c in ("fills", "oversold_by")]
+        for c in ("quantity", "cost_basis", "realized_pnl"):
+            assert found[symbol][c] == pytest.approx(row[c], rel=1e-9, abs=1e-9)
+    clash = read_batches(spark, f"{out}/conflicts", FILL).collect()
+    assert sorted((r["fill_id"], r["price"]) for r in clash) == sorted([(changed[2], 99.0), ("d", 15.0 - kept[6])])
+    reads = {}
+    for r in read_batches(spark, f"{out}/reads", "bucket int, from_period bigint").collect():
+        reads.setdefault(r["batch"], []).append(r["from_period"])
+    # A batch in order goes on from its own period; the late fill goes back to its own, whatever came before.
+    assert all(min(reads[n]) >= n // 2 for n in reads if n not in (0, 12, 18) and None not in reads[n])
+    assert min(reads[12]) == 5 // 2
+    costs = {r["batch"]: r["folders"] for r in SeenIds(f"{out}/ids").costs(spark).collect()}
+    assert [n for n in sorted(costs) if costs[n]] == [9, 17]
+
+
+def test_filters_grow_and_miss_no_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen, "FIRST_BITS", 1 << 10)
+    store = SeenIds(str(tmp_path / "ids"))
+    stored = {}
+    for number in range(6):
+        fresh = {f"id{number}-{k}": f"c{number}" for k in range(60)}
+        asked = [*fresh, *list(stored)[::7], None]
+        found = store.find(spark.createDataFrame([(i,) for i in asked], "id string"), number)
+        assert {r["id"]: r["content"] for r in found.stored.collect()} == {i: stored[i] for i in asked if i in stored}
+        store.add(spark.createDataFrame([*fresh.items(), (None, "x")], "id string, content string"), number, found)
+        stored |= fresh
+    made = read_batches(spark, f"{store.path}/made", seen.MADE).collect()
+    assert max(r["generation"] for r in made) == 2 and sum(r["ids"] for r in made) == 360

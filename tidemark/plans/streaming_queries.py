@@ -83,18 +83,30 @@ def stream_lifecycle(spark, sf):
         spark, f"{out}/audit", "user_id bigint, event_id bigint, previous string, state string, legal boolean").drop("batch")
 
 
-def stream_positions(spark, sf):
+def streamed_fills(spark, sf):
+    """Fills in two overlapping parts that come out of order: repeats, late fills, and fills whose price has changed."""
     fills = d.fills(spark, sf)
     cut = F.lit("1998-07-01").cast("date")
-    # Parts overlap and come out of order: repeats and late fills.
     third = F.pmod(F.xxhash64("fill_id"), F.lit(3))
-    out = drain(spark, [fills.filter((F.col("executed_on") >= cut) | (third == 0)), fills.filter((F.col("executed_on") < cut) | (third == 1))],
-                lambda stream, path, checkpoint: jobs.running_positions(stream, d.FILL_ORDER, path, checkpoint))
-    return jobs.latest_state(spark, out, jobs.POSITION_STATE, ("portfolio", "symbol")).select(
+    changed = fills.filter((F.col("executed_on") >= cut) & (F.col("l_orderkey") % 50 == 0)).withColumn("price", F.col("price") + 1)
+    parts = [fills.filter((F.col("executed_on") >= cut) | (third == 0)),
+             fills.filter((F.col("executed_on") < cut) | (third == 1)).unionByName(changed)]
+    return drain(spark, parts, lambda stream, path, checkpoint: jobs.running_positions(stream, d.FILL_ORDER, path, checkpoint)), fills.schema
+
+
+def stream_positions(spark, sf):
+    out, _ = streamed_fills(spark, sf)
+    return jobs.latest_state(spark, out, jobs.HELD_STATE, ("portfolio", "symbol")).select(
         "portfolio", "symbol", "fills", r("quantity").alias("quantity"), settled("cost_basis").alias("cost_basis"),
         settled("realized_pnl").alias("realized_pnl"), "oversold_by")
 
 
+def stream_fill_conflicts(spark, sf):
+    """Fills that came again with another price; the positions keep the first."""
+    out, schema = streamed_fills(spark, sf)
+    return read_batches(spark, f"{out}/conflicts", schema).select("fill_id", r("price").alias("price"))
+
+
 def stream_counters(spark, sf):
     rows = d.jobs(spark, sf).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     cut = F.lit("2024-01-15 12:00:00").cast("timestamp")
@@ -109,5 +121,6 @@ QUERIES = {
     "stream_session_completeness": stream_completeness,
     "stream_lifecycle_monitor": stream_lifecycle,
     "stream_running_positions": stream_positions,
+    "stream_fill_conflicts": stream_fill_conflicts,
     "stream_status_counters": stream_counters,
 }

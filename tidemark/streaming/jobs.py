@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import ledger, quality, scans
 from tidemark.session import through_table
 from tidemark.sources import stores
+from tidemark.streaming.seen import SeenIds
 from tidemark.streaming.sinks import put_batch, put_state, read_batches, read_state, start_batches
 
 KEY = ("symbol", "session", "vintage")
@@ -50,15 +51,20 @@ def ingest_bars(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def append_event_log(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Events once per id to out/events; ids that come again with another payload to out/conflicts."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema if f.name != 'delivery')}, payload_hash string"
+    """Events once per id to out/events; ids that come again with another payload to out/conflicts.
+
+    Ids are looked up by way of their filters (see ``SeenIds``), so a batch of new ids reads no stored one."""
+    seen = SeenIds(f"{out}/ids")
 
     def handle(batch: DataFrame, number: int) -> None:
-        stored = read_batches(batch.sparkSession, f"{out}/events", schema, number)
-        rows = stores.classify_events(batch, stored)
-        put_batch(rows.filter("outcome = 'NEW'").drop("outcome", "contradicts", "delivery"), f"{out}/events", number)
+        found = seen.find(batch.select(F.col("event_id").alias("id")), number)
+        stored = found.stored.select(F.col("id").alias("event_id"), F.col("content").alias("payload_hash"))
+        rows = through_table(stores.classify_events(batch, stored), "classified-events")
+        new = rows.filter("outcome = 'NEW'")
+        put_batch(new.drop("outcome", "contradicts", "delivery"), f"{out}/events", number)
         clash = rows.filter("outcome = 'CONFLICT' OR contradicts").select("event_id", "payload_hash", "outcome")
         put_batch(clash, f"{out}/conflicts", number)
+        seen.add(new.select(F.col("event_id").alias("id"), F.col("payload_hash").alias("content")), number, found)
 
     return start_batches(stream, handle, checkpoint)
 
@@ -71,26 +77,32 @@ def session_completeness(
     ``stream`` has symbol, session and observed_at (timestamp); bars of a session may come in any batch.
     ``universe`` (session, closed_at, symbols array) is a static table with one row per session: the report
     starts from it, so a session without any bar is reported too. What comes for a session already
-    reported goes to out/late. Only the stored pairs of sessions not yet reported are read again.
+    reported goes to out/late. The newest time seen is one stored row, and stored pairs lie by session: a
+    batch reads the pairs of the sessions that it reports, once each, and no others.
     """
-    pairs, report = "symbol string, session date, observed_at timestamp", "session date, seen int, missing string"
+    pairs, report = "symbol string, session date", "session date, seen int, missing string"
     due_after = F.to_date("closed_at") + F.make_dt_interval(F.lit(1 + delay_days))
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         done = read_batches(spark, f"{out}/report", report, number).select("session")
-        fresh = batch.groupBy("symbol", "session").agg(F.max("observed_at").alias("observed_at"))
-        put_batch(fresh, f"{out}/seen", number)
+        fresh = through_table(batch.groupBy("symbol", "session").agg(F.max("observed_at").alias("observed_at")), "fresh-pairs")
         put_batch(fresh.join(done, "session", "left_semi"), f"{out}/late", number)
-        seen = read_batches(spark, f"{out}/seen", pairs, number + 1)
-        newest = seen.agg(F.max("observed_at").cast("timestamp_ntz").alias("newest"))
-        due = universe.join(done, "session", "left_anti").join(F.broadcast(newest), due_after <= F.col("newest"))
-        held = seen.join(due.select("session"), "session", "left_semi").select("session", "symbol").distinct().groupBy(
-            "session").agg(F.collect_set("symbol").alias("held"))
+        fresh.select("symbol", "session").repartition("session").write.mode("overwrite").partitionBy("session").parquet(f"{out}/seen/batch={number}")
+        mark = read_state(spark, f"{out}/mark", "mark int, newest timestamp_ntz", ["mark"], number)
+        newest = mark.select("newest").unionByName(fresh.select(F.col("observed_at").cast("timestamp_ntz").alias("newest"))).agg(
+            F.max("newest").alias("newest")).first()["newest"]
+        put_state(mark, spark.createDataFrame([(0, newest)], mark.schema), f"{out}/mark", ["mark"], number)
+        due = through_table(universe.join(done, "session", "left_anti").filter(due_after <= F.lit(newest).cast("timestamp_ntz")), "due-sessions")
+        # Sessions are trading days: as many as the calendar has since the last report.
+        days = [row["session"] for row in due.select("session").distinct().collect()]
+        seen = read_batches(spark, f"{out}/seen", pairs, number + 1).filter(F.col("session").isin(days))
+        held = seen.select("session", "symbol").distinct().groupBy("session").agg(F.collect_set("symbol").alias("held"))
         rows = due.join(held, "session", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
         put_batch(rows.select(
             "session", F.size("held").alias("seen"),
             F.array_join(F.array_sort(F.array_except("symbols", "held")), ",").alias("missing")), f"{out}/report", number)
+        put_batch(spark.createDataFrame([(len(days),)], "sessions int"), f"{out}/reads", number)
 
     return start_batches(stream, handle, checkpoint)
 
@@ -136,36 +148,93 @@ POSITION_STATE = (
     "portfolio string, symbol string, fills bigint, quantity double, cost_basis double, realized_pnl double, "
     "oversold_by string"
 )
+#: The state with closings: what a position was after its last fill of some days, enough to go on from there.
+CLOSING_LIST = (
+    "array<struct<day: bigint, fills: bigint, quantity: decimal(38,9), cost_basis: double, realized_pnl: double, "
+    "oversold_by: string>>"
+)
+HELD_STATE = f"{POSITION_STATE}, closings {CLOSING_LIST}"
+#: Closings kept per position; a fill older than all of them has its position computed anew from its first fill.
+CLOSINGS = 12
+#: Stored fills lie by bucket of position and by period of days.
+FILL_BUCKETS, PERIOD_DAYS = 4, 91
 
 
-#: Folders that stored fills are spread over by position; a batch reads those of its own positions.
-FILL_BUCKETS = 64
+def _day(stream: DataFrame, column: str) -> Column:
+    """Number of the day of a fill's first order column; where that is a number, the number itself."""
+    kind = stream.schema[column].dataType.typeName()
+    day = F.unix_date(F.to_date(column)) if kind in ("date", "timestamp", "timestamp_ntz") else F.floor(column)
+    return F.coalesce(day.cast("bigint"), F.lit(-(1 << 40)))
 
 
 def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
-    """Positions after each micro-batch, equal to the batch result over all distinct fills so far.
-
-    Fills are stored once per fill id, in folders by position, so a redelivered fill is not booked again. A
-    position that a batch touches is computed anew from its stored fills: fills that come late take their
-    place in the order.
+    """Positions after each micro-batch, equal to the batch result over the first content of each fill id.
+
+    A fill id that comes again with the same content changes nothing; with other content it goes to out/conflicts, and the
+    one stored first stays (within a batch the least). A position keeps what it was at the end of some days. A batch goes
+    on from the last of these before its earliest fill: it reads the fills since then, in the folders of its own buckets and
+    later periods, and closings that a late fill has overtaken are dropped. Average cost makes what a fill adds depend on
+    what was held before it, so days after a late fill are computed again; days before it are not read. A closing that is
+    oversold stays as it is. Nothing older than the folders named in out/reads is read.
     """
-    names = [c for c in stream.columns if c != "bucket"]
+    names = list(stream.columns)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", bucket int"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", content string, day bigint, bucket int, period bigint"
     keys = ["portfolio", "symbol"]
+    known_ids = SeenIds(f"{out}/ids")
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*names).dropDuplicates(["fill_id"]).withColumn(
-            "bucket", F.pmod(F.xxhash64(*keys), F.lit(FILL_BUCKETS)).cast("int"))
-        buckets = [row["bucket"] for row in rows.select("bucket").distinct().collect()]
-        stored = read_batches(spark, f"{out}/fills", schema, number).filter(F.col("bucket").isin(buckets)).drop("batch")
-        fresh = through_table(rows.join(stored.select("fill_id"), "fill_id", "left_anti").select(*names, "bucket"), "fresh-fills")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/fills/batch={number}")
-        touched = fresh.select(*keys).distinct()
-        moved = ledger.positions(stored.unionByName(fresh).join(touched, keys, "left_semi").drop("bucket"), order, keys).drop("left_out")
-        known = read_state(spark, f"{out}/state", POSITION_STATE, keys, number)
+        content = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+        came = through_table(batch.select(*names, content.alias("content")).distinct(), "fills-came")
+        found = known_ids.find(came.select(F.col("fill_id").alias("id")), number)
+        first = came.groupBy("fill_id").agg(F.min("content").alias("least")).join(
+            found.stored.select(F.col("id").alias("fill_id"), F.col("content").alias("held")), "fill_id", "left")
+        judged = came.join(first, "fill_id").withColumn("first", F.coalesce("held", "least"))
+        put_batch(judged.filter("content <> first").select(*names), f"{out}/conflicts", number)
+        day = _day(stream, order[0])
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(FILL_BUCKETS)).cast("int")
+        fresh = judged.filter("held IS NULL AND content = first").select(*names, "content", day.alias("day"), bucket.alias("bucket"))
+        fresh.withColumn("period", F.floor(F.col("day") / PERIOD_DAYS)).repartition("bucket", "period").write.mode("overwrite").partitionBy(
+            "bucket", "period").parquet(f"{out}/fills/batch={number}")
+        fills = read_batches(spark, f"{out}/fills", schema, number + 1)
+        fresh = fills.filter(F.col("batch") == number)
+        known = read_state(spark, f"{out}/state", HELD_STATE, keys, number)
+        touched = fresh.groupBy(*keys).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.min("bucket").alias("bucket"))
+        before = F.filter("closings", lambda c: c["day"] < F.col("first_day"))
+        opened = through_table(touched.join(known.select(*keys, "closings"), keys, "left").withColumn(
+            "closings", F.coalesce(before, F.array().cast(CLOSING_LIST))).withColumn(
+            "opening", F.try_element_at("closings", F.lit(-1))), "opened-positions")
+        # One row per bucket: the first period that its positions need.
+        needs = {row["bucket"]: row["period"] for row in opened.filter("opening.oversold_by IS NULL").groupBy("bucket").agg(
+            F.when(F.bool_and(F.col("opening").isNotNull()), F.floor(F.min(F.col("opening.day") + 1) / PERIOD_DAYS)).alias("period")).collect()}
+        wanted = F.lit(False)
+        for place, period in needs.items():
+            wanted = wanted | ((F.col("bucket") == place) & (F.col("period") >= period if period is not None else F.lit(True)))
+        stored = fills.filter((F.col("batch") < number) & wanted)
+        going = opened.filter("opening.oversold_by IS NULL").select(*keys, "opening")
+        later = F.col("opening").isNull() | (F.col("day") > F.col("opening.day"))
+        work = stored.select(*names, "day").unionByName(fresh.select(*names, "day")).join(going, keys).filter(later)
+        last = work.groupBy(*keys).agg(F.max("day").alias("day"))
+        # What was held comes first, as one purchase at its cost.
+        carried = {"side": F.lit("BUY"), "quantity": F.col("opening.quantity").cast("double"), "fee": F.lit(0.0),
+                   "price": F.col("opening.cost_basis") / F.col("opening.quantity").cast("double"), **{k: F.col(k) for k in keys}}
+        carries = going.filter("opening.quantity > 0").select(*[carried.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+        moved = ledger.positions(work.select(*names).unionByName(carries), order, keys).join(last, keys).join(going, keys)
+        then = lambda c: F.coalesce(F.col(f"opening.{c}"), F.lit(0))
+        moved = moved.select(
+            *keys, (F.col("fills") + then("fills") - (then("quantity") > 0).cast("bigint")).alias("fills"), "quantity", "cost_basis",
+            (F.col("realized_pnl") + then("realized_pnl")).alias("realized_pnl"), "oversold_by", "day")
+        still = opened.filter("opening.oversold_by IS NOT NULL").select(
+            *keys, "opening.fills", F.col("opening.quantity").cast("double").alias("quantity"), "opening.cost_basis", "opening.realized_pnl", "opening.oversold_by",
+            F.greatest("opening.day", "last_day").alias("day"))
+        closing = F.struct("day", "fills", F.col("quantity").cast("decimal(38,9)").alias("quantity"), "cost_basis", "realized_pnl", "oversold_by")
+        moved = moved.unionByName(still).join(opened.select(*keys, "closings"), keys).withColumn(
+            "closings", F.slice(F.array_append("closings", closing), F.greatest(F.lit(1), F.size("closings") + 2 - CLOSINGS), CLOSINGS))
         put_state(known, moved, f"{out}/state", keys, number)
+        known_ids.add(fresh.select(F.col("fill_id").alias("id"), "content"), number, found)
+        reads = [(place, None if period is None else int(period)) for place, period in sorted(needs.items())]
+        put_batch(spark.createDataFrame(reads, "bucket int, from_period bigint"), f"{out}/reads", number)
 
     return start_batches(stream, handle, checkpoint)
 
