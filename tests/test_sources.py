@@ -43,9 +43,11 @@ def test_map_prices_adjusted_raw_and_errors(spark):
     odd = {payloads.SERIES: {"2022-05-31": numbered_bar(20, 24.5, 19, 22, "many", names=(*plain, "volume"))}}
     (row,) = payloads.parse_map_prices(landed(spark, ("w", whole), ("slow", {"Information": "wait"}))).collect()
     assert [float(row[c]) for c in ("adjusted_close", "dividend", "split_coefficient")] == [5.5, 0.11, 4]
-    rows = {r["symbol"]: r for r in payloads.parse_map_prices(landed(spark, ("b", bare), ("o", odd)), adjusted=False).collect()}
+    bars_ = landed(spark, ("b", bare), ("o", odd))
+    rows = {r["symbol"]: r for r in payloads.parse_map_prices(bars_, adjusted=False).collect()}
     assert float(rows["B"]["adjusted_close"]) == 22 and rows["B"]["volume"] == 1300 and float(rows["B"]["dividend"]) == 0
-    assert rows["O"]["volume"] is None
+    assert set(rows) == {"B"}
+    assert [tuple(r) for r in payloads.rejected_map_prices(bars_, adjusted=False).collect()] == [("O", "2022-05-31", "volume", "many", "not a whole number")]
     frame = landed(spark, ("slow", {"Note": "wait"}), ("both", {"Error Message": "no such name", "Information": "later"}), ("bare", {"about": "nothing"}),
                    ("cut", json.dumps(bare)[:50]), ("fine", bare))
     reasons = {r["symbol"]: r["reason"] for r in payloads.quarantine(frame, payloads.map_error()).collect()}
@@ -142,3 +144,48 @@ def test_results_are_verified(spark):
 def test_report_is_written_with_sorted_fields(spark, tmp_path):
     stores.write_report(spark.createDataFrame([(2.0, "s", 1)], "zeta double, name string, alpha int"), str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).first()[0] == '{"alpha":1,"name":"s","zeta":2.0}'
+
+
+def test_each_bad_field_is_rejected_with_its_reason(spark):
+    good = {"date": "2023-08-15T00:00:00.000Z", "open": 7, "high": 8, "low": 6, "close": 7.5}
+    items = [good, good | {"date": "2001-13-45"}, good | {"close": "1O1", "volume": "n/a"}, {"date": None, "open": "NaN"} | {k: 1 for k in ("high", "low", "close")},
+             good | {"volume": "", "divCash": "x", "splitFactor": ""}, 5, good | {"open": 10 ** 15}]
+    frame = landed(spark, ("l", items))
+    assert [r["volume"] for r in payloads.parse_list_prices(frame).collect()] == [0]
+    found = {(r["place"], r["field"]): (r["value"], r["reason"]) for r in payloads.rejected_list_prices(frame).collect()}
+    assert found.pop(("1", "session")) == ("2001-13-45", "not a date")
+    assert found.pop(("2", "close")) == ("1O1", "not a number") and found.pop(("2", "volume")) == ("n/a", "not a whole number")
+    assert found.pop(("3", "session")) == (None, "missing") and found.pop(("3", "open")) == ("NaN", "not a number")
+    assert found.pop(("4", "dividend")) == ("x", "not a number")
+    assert found.pop(("6", "open")) == ("1000000000000000", "not a number")
+    assert set(found) == {("5", f) for f in ("session", "open", "high", "low", "close")} and set(found.values()) == {(None, "missing")}
+
+    plain = ("open", "high", "low", "close", "volume")
+    days = {"2022-05-31": numbered_bar(1, 2, 1, 2, 5, names=plain), "2001-01-32": numbered_bar(1, 2, 1, 2, 5, names=plain),
+            "2022-06-01": numbered_bar(1, 2, 1, 2, names=plain[:4]), "2022-06-02": numbered_bar(1, "", 1, 2, "13.5", names=plain)}
+    frame = landed(spark, ("m", {payloads.SERIES: days}))
+    assert [str(r["session"]) for r in payloads.parse_map_prices(frame, adjusted=False).collect()] == ["2022-05-31"]
+    assert {(r["place"], r["field"], r["reason"]) for r in payloads.rejected_map_prices(frame, adjusted=False).collect()} == {
+        ("2001-01-32", "session", "not a date"), ("2022-06-01", "volume", "missing"), ("2022-06-02", "high", "missing"), ("2022-06-02", "volume", "not a whole number")}
+    assert {r["field"] for r in payloads.rejected_map_prices(frame).collect()} >= {"adjusted_close", "dividend", "split_coefficient"}
+
+    caps = landed(spark, ("v", [{"date": "n/a", "marketCap": 5}, {"date": "2023-02-02", "marketCap": "big"}, {"date": "2023-02-03", "marketCap": 7}]))
+    assert [float(r["market_cap"]) for r in payloads.parse_market_caps(caps).collect()] == [7]
+    assert {(r["field"], r["reason"]) for r in payloads.rejected_market_caps(caps).collect()} == {("observed_date", "not a date"), ("market_cap", "not a number")}
+
+    filings = [{"val": 1, "form": "10-K", "filed": "2001-02-30"}, {"val": "x", "form": "10-Q", "filed": "2001-02-28"}, {"val": 2, "form": "10-Q", "filed": "2001-02-28"}]
+    facts = landed(spark, ("V", {"facts": {"us-gaap": {"Assets": {"units": {"USD": filings}}}}}))
+    assert [r["val"] for r in payloads.parse_company_facts(facts).collect()] == ["2"]
+    assert {(r["place"], r["field"]) for r in payloads.rejected_company_facts(facts).collect()} == {("Assets/USD/0", "filed"), ("Assets/USD/1", "val")}
+
+    tickers = landed(spark, ("", {"0": {"cik_str": "x1", "ticker": "a"}, "1": {"cik_str": 7, "ticker": None}, "2": {"cik_str": 8, "ticker": "b"}}))
+    assert [tuple(r) for r in payloads.parse_ticker_map(tickers).collect()] == [("B", 8)]
+    assert {(r["place"], r["field"], r["reason"]) for r in payloads.rejected_tickers(tickers).collect()} == {("0", "cik", "not a whole number"), ("1", "ticker", "missing")}
+
+    whole = {"as_of": "2023-06-30", "count": 1, "symbols": ["U"]}
+    universes = landed(spark, ("", whole), ("", json.dumps(whole)[:30]), ("", whole | {"as_of": "2023-06-31"}), ("", whole | {"count": "many"}),
+                       ("", whole | {"symbols": ["U", None]}), ("", {"as_of": "2023-06-30"}), ("", [1]), ("", None))
+    assert [r["valid"] for r in payloads.parse_universe_snapshot(universes).collect()] == [True]
+    assert sorted(r["field"] for r in payloads.rejected_universes(universes).collect()) == ["as_of", "count", "symbols"]
+    assert sorted(r["reason"] for r in payloads.quarantine(universes, payloads.universe_error()).collect()) == [
+        "count missing", "no response", "not an object", "not valid JSON"]

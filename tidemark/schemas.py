@@ -22,17 +22,16 @@ BARS = T.StructType([
     T.StructField("quality", T.StringType(), False),
 ])
 
-LIST_PRICES = (
-    "array<struct<date:string,open:string,high:string,low:string,close:string,volume:string,"
-    "divCash:string,splitFactor:string,adjClose:string>>"
+# Items of responses as texts; their fields are typed and judged one by one.
+LIST_PRICE = (
+    "struct<date:string,open:string,high:string,low:string,close:string,volume:string,"
+    "divCash:string,splitFactor:string,adjClose:string>"
 )
-LIST_CAPS = "array<struct<date:string,marketCap:string>>"
-MAP_PRICES = "struct<`Time Series (Daily)`:map<string,map<string,string>>>"
-COMPANY_FACTS = (
-    "struct<facts:struct<`us-gaap`:map<string,struct<units:map<string,"
-    "array<struct<val:string,form:string,filed:string,`end`:string>>>>>>>"
-)
-TICKERS = "map<string,struct<cik_str:string,ticker:string>>"
+LIST_CAP = "struct<date:string,marketCap:string>"
+MAP_PRICES = "struct<`Time Series (Daily)`:map<string,string>>"
+COMPANY_FACTS = "struct<facts:struct<`us-gaap`:map<string,struct<units:map<string,array<string>>>>>>"
+FILING = "struct<val:string,form:string,filed:string,`end`:string>"
+TICKER = "struct<cik_str:string,ticker:string>"
 
 # The names of the enumerations used in the tables.
 QUALITY = ("PASS", "STALE", "CONFLICT", "MISSING")

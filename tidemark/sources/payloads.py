@@ -1,7 +1,8 @@
 """Parsers for landed provider payloads: one text column per response, parsed with declared schemas.
 
-Each parser returns plain rows; responses that are provider errors never become data and are listed
-by ``quarantine`` instead.
+Each parser returns plain rows. Responses that are provider errors or cut off never become data and are listed
+by ``quarantine`` instead; items of good responses whose fields do not hold are left out by the parser and listed, field
+by field, by the ``rejected_...`` function beside it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.columns import session_close
+from tidemark.sources.fields import FAULTS, Field, accepted, judged, rejected
 
 # Keys that mark an error response, in order of precedence.
 MAP_ERRORS = ("Error Message", "Note", "Information")
@@ -24,8 +26,11 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
 
 
-def _price(column: Column) -> Column:
-    return column.try_cast(schemas.PRICE)
+#: Items are taken as texts first, so that one of the wrong form spoils no other.
+TEXTS = "array<string>"
+#: Where a rejected field stands: symbol of the response, and the item's number or key in it.
+PLACE = ("symbol", "place")
+_PRICES = ("open", "high", "low", "close")
 
 
 def _stamps(retrieved: Column, prefix: str) -> list[Column]:
@@ -41,49 +46,59 @@ def _is_list(payload: str = "payload") -> Column:
     return F.ltrim(payload).startswith("[")
 
 
+def _list_bars(responses: DataFrame) -> DataFrame:
+    items = responses.filter(list_error().isNull()).select(
+        F.upper("symbol").alias("symbol"), "retrieved_at", F.posexplode(F.from_json("payload", TEXTS)).alias("position", "text"))
+    items = items.withColumns({"bar": F.from_json("text", schemas.LIST_PRICE), "place": F.col("position").cast("string")})
+    return judged(items, [
+        Field("session", F.col("bar.date"), "stamp"), *[Field(n, F.col(f"bar.{n}"), "price") for n in _PRICES],
+        Field("volume", F.col("bar.volume"), "count", False, 0), Field("dividend", F.col("bar.divCash"), "price", False, 0),
+        Field("split_coefficient", F.col("bar.splitFactor"), "price", False, 1)], ["symbol", "retrieved_at", "place"])
+
+
 def parse_list_prices(responses: DataFrame) -> DataFrame:
     """Array-of-objects price payloads: raw close kept as adjusted close, missing actions filled in."""
-    rows = responses.filter(_is_list()).select(
-        F.upper("symbol").alias("symbol"), "retrieved_at",
-        F.explode(F.from_json("payload", schemas.LIST_PRICES)).alias("bar"),
-    ).select("symbol", "retrieved_at", F.to_date(F.substring("bar.date", 1, 10)).alias("session"), "bar")
-    return rows.select(
-        "symbol", "session",
-        *[_price(F.col(f"bar.{name}")).alias(name) for name in ("open", "high", "low", "close")],
-        _price(F.col("bar.close")).alias("adjusted_close"),
-        F.coalesce(F.col("bar.volume").try_cast("double").try_cast("bigint"), F.lit(0)).alias("volume"),
-        _price(F.coalesce("bar.divCash", F.lit("0"))).alias("dividend"),
-        _price(F.coalesce("bar.splitFactor", F.lit("1"))).alias("split_coefficient"),
+    return accepted(_list_bars(responses)).select(
+        "symbol", "session", *_PRICES, F.col("close").alias("adjusted_close"), "volume", "dividend", "split_coefficient",
         F.lit("Tiingo").alias("source"), *_stamps(F.col("retrieved_at"), "raw:retrieved:"))
 
 
-def _map_rows(responses: DataFrame) -> DataFrame:
+def rejected_list_prices(responses: DataFrame) -> DataFrame:
+    return rejected(_list_bars(responses), PLACE)
+
+
+def _map_bars(responses: DataFrame, adjusted: bool) -> DataFrame:
     series = F.from_json("payload", schemas.MAP_PRICES).getField(SERIES)
-    return responses.filter(map_error().isNull()).select(
-        F.upper("symbol").alias("symbol"), "retrieved_at", F.explode(series).alias("day", "bar"),
-    ).withColumn("session", F.to_date("day"))
+    items = responses.filter(map_error().isNull()).select(
+        F.upper("symbol").alias("symbol"), "retrieved_at", F.explode(series).alias("place", "text"))
+    items = items.withColumn("bar", F.from_json("text", "map<string,string>"))
+    found = [Field("session", F.col("place"), "date"), *[Field(n, _quoted(f"{k}. {n}"), "price") for k, n in enumerate(_PRICES, start=1)]]
+    if adjusted:
+        found += [Field("adjusted_close", _quoted("5. adjusted close"), "price"), Field("volume", _quoted("6. volume"), "whole"),
+                  Field("dividend", _quoted("7. dividend amount"), "price"), Field("split_coefficient", _quoted("8. split coefficient"), "price")]
+    else:
+        found.append(Field("volume", _quoted("5. volume"), "whole"))
+    return judged(items, found, ["symbol", "retrieved_at", "place"])
 
 
 def _quoted(key: str) -> Column:
-    return F.element_at(F.col("bar"), F.lit(key))
+    return F.try_element_at(F.col("bar"), F.lit(key))
 
 
 def parse_map_prices(responses: DataFrame, adjusted: bool = True) -> DataFrame:
     """Date-keyed price payloads with numbered string fields, adjusted or raw form."""
-    volume, dividend, split = "6. volume", _quoted("7. dividend amount"), _quoted("8. split coefficient")
-    close = _quoted("5. adjusted close")
+    rows = accepted(_map_bars(responses, adjusted))
     if not adjusted:
-        volume, dividend, split, close = "5. volume", F.lit("0"), F.lit("1"), _quoted("4. close")
-    return _map_rows(responses).select(
-        "symbol", "session",
-        *[_price(_quoted(f"{n}. {name}")).alias(name)
-          for n, name in enumerate(("open", "high", "low", "close"), start=1)],
-        _price(close).alias("adjusted_close"), _quoted(volume).try_cast("bigint").alias("volume"),
-        _price(dividend).alias("dividend"), _price(split).alias("split_coefficient"),
-        F.lit("Alpha Vantage").alias("source"),
+        rows = rows.withColumns({"adjusted_close": F.col("close"), "dividend": F.lit(0).cast(schemas.PRICE), "split_coefficient": F.lit(1).cast(schemas.PRICE)})
+    return rows.select(
+        "symbol", "session", *_PRICES, "adjusted_close", "volume", "dividend", "split_coefficient", F.lit("Alpha Vantage").alias("source"),
         *_stamps(F.col("retrieved_at"), "retrieved:" if adjusted else "raw:retrieved:"))
 
 
+def rejected_map_prices(responses: DataFrame, adjusted: bool = True) -> DataFrame:
+    return rejected(_map_bars(responses, adjusted), PLACE)
+
+
 def _field(key: str) -> Column:
     return F.get_json_object("payload", f"$['{key}']")
 
@@ -109,6 +124,17 @@ def facts_error() -> Column:
         facts.isNull(), "facts missing")
 
 
+def object_error(*parts: str) -> Column:
+    """Reason a response is not one whole JSON object with these parts, or null."""
+    missing = [F.when(F.get_json_object("payload", f"$.{part}").isNull(), F.lit(f"{part} missing")) for part in parts]
+    return F.when(F.col("payload").isNull(), "no response").when(~_whole(), "not valid JSON").when(
+        ~F.ltrim("payload").startswith("{"), F.lit("not an object")).otherwise(F.coalesce(*missing, F.lit(None).cast("string")))
+
+
+def universe_error() -> Column:
+    return object_error("as_of", "count", "symbols")
+
+
 def _whole() -> Column:
     """Whether the whole text is one JSON value: cut off responses are not."""
     return F.try_variant_get(F.try_parse_json("payload"), "$", "variant").isNotNull()
@@ -118,43 +144,84 @@ def quarantine(responses: DataFrame, error: Column) -> DataFrame:
     return responses.withColumn("reason", error).filter("reason IS NOT NULL")
 
 
+def _caps(responses: DataFrame) -> DataFrame:
+    items = responses.filter(list_error().isNull()).select(
+        F.upper("symbol").alias("symbol"), "retrieved_at", F.posexplode(F.from_json("payload", TEXTS)).alias("position", "text"))
+    items = items.withColumns({"cap": F.from_json("text", schemas.LIST_CAP), "place": F.col("position").cast("string")})
+    # An object without a value is no fault; what is no object is.
+    items = items.filter("cap.marketCap IS NOT NULL OR NOT coalesce(startswith(ltrim(text), '{'), false)")
+    return judged(items, [Field("observed_date", F.col("cap.date"), "stamp"), Field("market_cap", F.col("cap.marketCap"), "amount")],
+                  ["symbol", "retrieved_at", "place"])
+
+
 def parse_market_caps(responses: DataFrame) -> DataFrame:
     """Market capitalisations; null values are dropped, available at the observed day's close."""
-    rows = responses.filter(_is_list()).select(
-        F.upper("symbol").alias("symbol"), "retrieved_at",
-        F.explode(F.from_json("payload", schemas.LIST_CAPS)).alias("cap")).filter("cap.marketCap IS NOT NULL")
-    return rows.select(
-        "symbol", F.to_date(F.substring("cap.date", 1, 10)).alias("observed_date"),
-        F.col("cap.marketCap").try_cast("decimal(28,4)").alias("market_cap"), "retrieved_at",
-    ).select(
+    return accepted(_caps(responses)).select(
         "symbol", "observed_date", session_close("observed_date").alias("available_to_strategy_at"), "market_cap",
         F.lit("Tiingo Fundamentals").alias("source"),
         F.concat(F.lit("retrieved:"), F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("vintage"))
 
 
-def parse_company_facts(responses: DataFrame) -> DataFrame:
-    """Nested filings flattened: known concepts, all units, periodic reports with a filing date."""
+def rejected_market_caps(responses: DataFrame) -> DataFrame:
+    return rejected(_caps(responses), PLACE)
+
+
+def _facts(responses: DataFrame) -> DataFrame:
     concepts = F.from_json("payload", schemas.COMPANY_FACTS).getField("facts").getField("us-gaap")
-    by_concept = responses.select("symbol", F.explode(concepts).alias("concept", "fact")).filter(
+    by_concept = responses.filter(facts_error().isNull()).select("symbol", F.explode(concepts).alias("concept", "fact")).filter(
         F.col("concept").isin(*schemas.CONCEPTS))
     by_unit = by_concept.select("symbol", "concept", F.explode("fact.units").alias("unit", "filings"))
-    return by_unit.select("symbol", "concept", "unit", F.explode("filings").alias("filing")).filter(
-        F.col("filing.form").isin(*schemas.FORMS) & F.col("filing.filed").isNotNull()).select(
-        "symbol", "concept", "unit", F.to_date("filing.filed").alias("filed"), "filing.end", "filing.val",
-        "filing.form")
+    items = by_unit.select("symbol", "concept", "unit", F.posexplode("filings").alias("position", "text"))
+    items = items.withColumn("filing", F.from_json("text", schemas.FILING)).filter(
+        F.col("filing.form").isin(*schemas.FORMS) & F.col("filing.filed").isNotNull())
+    items = items.withColumn("place", F.concat_ws("/", "concept", "unit", F.col("position").cast("string")))
+    return judged(items, [Field("filed", F.col("filing.filed"), "date"), Field("end_date", F.col("filing.end"), "date", False),
+                          Field("val", F.col("filing.val"), "number")], ["symbol", "concept", "unit", "place", "filing"])
+
+
+def parse_company_facts(responses: DataFrame) -> DataFrame:
+    """Nested filings flattened: known concepts, all units, periodic reports with a filing date."""
+    return accepted(_facts(responses)).select("symbol", "concept", "unit", "filed", "filing.end", "val", "filing.form")
+
+
+def rejected_company_facts(responses: DataFrame) -> DataFrame:
+    return rejected(_facts(responses), PLACE)
+
+
+def _tickers(responses: DataFrame) -> DataFrame:
+    items = responses.filter(object_error().isNull()).select(F.explode(F.from_json("payload", "map<string,string>")).alias("place", "text"))
+    items = items.withColumn("entry", F.from_json("text", schemas.TICKER))
+    items = items.withColumn("symbol", F.replace(F.upper("entry.ticker"), F.lit("."), F.lit("-")))
+    return judged(items, [Field("ticker", F.col("entry.ticker"), "text"), Field("cik", F.col("entry.cik_str"), "whole")], ["symbol", "place"])
 
 
 def parse_ticker_map(responses: DataFrame) -> DataFrame:
-    entries = F.explode(F.map_values(F.from_json("payload", schemas.TICKERS))).alias("entry")
-    return responses.select(entries).select(
-        F.replace(F.upper("entry.ticker"), F.lit("."), F.lit("-")).alias("symbol"),
-        F.col("entry.cik_str").cast("bigint").alias("cik"))
+    return accepted(_tickers(responses)).select("symbol", "cik")
+
+
+def rejected_tickers(responses: DataFrame) -> DataFrame:
+    return rejected(_tickers(responses), PLACE)
+
+
+def _universes(responses: DataFrame) -> DataFrame:
+    items = responses.filter(universe_error().isNull()).select(
+        F.from_json("payload", "struct<as_of:string,count:string,symbols:array<string>>").alias("u"),
+        F.sha2("payload", 256).alias("place"))
+    items = items.withColumn("symbol", F.lit(None).cast("string"))
+    checked = judged(items, [Field("as_of", F.col("u.as_of"), "date"), Field("count", F.col("u.count"), "whole")], ["symbol", "place", "u"])
+    listed = F.struct(F.lit("symbols").alias("field"), F.lit(None).cast("string").alias("value"), F.lit("not a list of names").alias("reason"))
+    odd = F.col("u.symbols").isNull() | F.exists("u.symbols", lambda x: x.isNull())
+    return checked.withColumn(FAULTS, F.when(odd, F.array_append(FAULTS, listed)).otherwise(F.col(FAULTS)))
 
 
 def parse_universe_snapshot(responses: DataFrame) -> DataFrame:
     """Universe definitions with the checks: the stated count holds and no symbol repeats."""
-    parsed = responses.select(F.from_json("payload", "struct<as_of:string,count:int,symbols:array<string>>").alias("u"))
-    return parsed.select(
-        F.to_date("u.as_of").alias("as_of"), F.col("u.count").alias("count"), F.col("u.symbols").alias("symbols"),
-        ((F.size("u.symbols") == F.col("u.count")) & (F.size(F.array_distinct("u.symbols")) == F.size("u.symbols")))
-        .alias("valid"))
+    symbols = F.col("u.symbols")
+    return accepted(_universes(responses)).select(
+        "as_of", F.col("count").cast("int").alias("count"), symbols.alias("symbols"),
+        ((F.size(symbols) == F.col("count")) & (F.size(F.array_distinct(symbols)) == F.size(symbols))).alias("valid"))
+
+
+def rejected_universes(responses: DataFrame) -> DataFrame:
+    """Faults of universe definitions, whose place is the SHA-256 of the response."""
+    return rejected(_universes(responses), PLACE)
