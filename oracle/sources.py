@@ -35,6 +35,12 @@ SELECT event_id, arg_min(n, delivery) AS n, arg_min(occurred_at, delivery) AS oc
        arg_min(entity_id, delivery) AS entity_id, arg_min(payload, delivery) AS payload, count(DISTINCT payload) > 1 AS contradicts
 FROM event_log GROUP BY event_id""", "event_log")
 
+cte("placed_bars", f"SELECT *, {N} AS n, row_number() OVER (PARTITION BY symbol ORDER BY session) - 1 AS place FROM bars", "bars")
+cte("placed_caps", """
+SELECT *, month(observed_date) AS m, row_number() OVER (PARTITION BY symbol ORDER BY observed_date) - 1 AS place FROM market_caps""", "market_caps")
+cte("placed_years", f"""
+SELECT symbol, y, {N} AS n, row_number() OVER (PARTITION BY symbol ORDER BY y) - 1 AS place FROM (SELECT DISTINCT symbol, year(session) AS y FROM bars)""", "bars")
+
 SQL = {
     "stored_reports": point_metrics(*METRICS, *HITS),
     "list_price_payloads": prices(f"{N} % 6 NOT IN (1, 2, 3)", adjusted_close="close",
@@ -78,4 +84,35 @@ SELECT row_number() OVER (ORDER BY occurred_at, event_id) AS sequence, event_id,
     "entity_events": with_("reduced_log", """
 SELECT sequence, event_id, event_type, sha256(payload) AS payload_hash FROM (
   SELECT *, row_number() OVER (ORDER BY occurred_at, event_id) AS sequence FROM reduced_log) WHERE entity_id = '42'"""),
+    "rejected_fields": with_("placed_bars placed_caps placed_years", """
+SELECT 'list' AS form, upper(symbol) AS symbol, CAST(place AS VARCHAR) AS place, 'session' AS field, '2001-13-45' AS value, 'not a date' AS reason
+FROM placed_bars WHERE volume % 31 = 0
+UNION ALL SELECT 'list', upper(symbol), CAST(place AS VARCHAR), 'close', '1O1', 'not a number' FROM placed_bars WHERE volume % 37 = 0
+UNION ALL SELECT 'list', upper(symbol), CAST(place AS VARCHAR), 'volume', 'n/a', 'not a whole number' FROM placed_bars WHERE volume % 41 = 0
+UNION ALL SELECT 'map', upper(symbol), session || 'x', 'session', session || 'x', 'not a date' FROM placed_bars WHERE volume % 43 = 0
+UNION ALL SELECT 'map', upper(symbol), session || CASE WHEN volume % 43 = 0 THEN 'x' ELSE '' END, 'close', '', 'missing' FROM placed_bars WHERE volume % 47 = 0
+UNION ALL SELECT 'caps', upper(symbol), CAST(place AS VARCHAR), 'observed_date', 'n/a', 'not a date' FROM placed_caps WHERE m = 5
+UNION ALL SELECT 'caps', upper(symbol), CAST(place AS VARCHAR), 'market_cap', '12b', 'not a number' FROM placed_caps WHERE m = 6
+UNION ALL SELECT 'facts', upper(symbol), 'Assets/USD/' || place, 'filed', y || '-02-30', 'not a date' FROM placed_years WHERE y % 2 = 0
+UNION ALL SELECT DISTINCT 'tickers', upper(symbol), CAST(n AS VARCHAR), 'cik', 'x' || n, 'not a whole number' FROM placed_years WHERE n % 5 = 0
+UNION ALL SELECT DISTINCT 'universe', NULL, 'definition', 'as_of', y || '-13-45', 'not a date' FROM placed_years WHERE y % 2 = 0
+UNION ALL SELECT 'universe', NULL, 'definition', 'count', 'many', 'not a whole number' FROM (SELECT DISTINCT y FROM placed_years) WHERE y % 3 = 0"""),
+    "accepted_items": with_("placed_bars placed_caps placed_years", """
+SELECT 'list' AS form, upper(symbol) AS symbol, count(*) AS items FROM placed_bars WHERE volume % 31 <> 0 AND volume % 37 <> 0 AND volume % 41 <> 0 GROUP BY ALL
+UNION ALL SELECT 'map', upper(symbol), count(*) FROM placed_bars WHERE volume % 43 <> 0 AND volume % 47 <> 0 GROUP BY ALL
+UNION ALL SELECT 'caps', upper(symbol), count(*) FROM placed_caps WHERE m NOT IN (5, 6) GROUP BY ALL
+UNION ALL SELECT 'facts', upper(symbol), count(*) FROM placed_years WHERE y % 2 = 1 GROUP BY ALL
+UNION ALL SELECT 'tickers', upper(symbol), 1 FROM placed_years WHERE n % 5 <> 0 GROUP BY ALL
+UNION ALL SELECT 'universe', NULL, count(*) FROM (SELECT DISTINCT y FROM placed_years) WHERE y % 2 = 1 AND y % 3 <> 0 HAVING count(*) > 0"""),
+    "quarantined_responses": with_("bars", f"""
+SELECT symbol, form, CASE {N} % 4 WHEN 2 THEN 'not valid JSON' WHEN 3 THEN 'no response'
+       ELSE CASE form WHEN 'caps' THEN 'no plan' WHEN 'facts' THEN 'facts missing' ELSE 'as_of missing' END END AS reason
+FROM (SELECT DISTINCT symbol FROM bars), (VALUES ('caps'), ('facts'), ('universe')) f(form) WHERE {N} % 4 > 0"""),
+    "continued_event_log": with_("event_log reduced_log", """
+SELECT row_number() OVER (ORDER BY event_id NOT IN (SELECT event_id FROM known), occurred_at, event_id) AS sequence, event_id, sha256(payload) AS payload_hash
+FROM (SELECT event_id, occurred_at, payload FROM known
+      UNION ALL SELECT event_id, occurred_at, payload FROM reduced_log WHERE event_id NOT IN (SELECT event_id FROM known))""",
+        known="SELECT event_id, occurred_at, payload FROM event_log WHERE delivery = 0 AND n % 3 > 0"),
+    "frozen_snapshot": with_("bars", """
+SELECT symbol, session, close, true AS frozen_once FROM bars WHERE available_to_strategy_at <= TIMESTAMP '1997-12-31 23:59:59'"""),
 }

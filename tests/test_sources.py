@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from helpers import bar, bars, series
 
-from tidemark.sources import membership, payloads, stores
+from tidemark.sources import commits, membership, payloads, stores
 
 NOW = datetime(2026, 1, 1)
 
@@ -117,6 +119,9 @@ def test_snapshot_is_frozen_once(spark, tmp_path):
     assert spark.read.parquet(f"{path}/rows").count() == 3
     with pytest.raises(stores.SnapshotConflict):
         stores.freeze_snapshot(bars(spark, series("A", [10, 12])), path, "s", "2021-01-01 00:00:00")
+    assert {(r["symbol"], r["close"]) for r in stores.read_snapshot(spark, path, "s").collect()} == {("A", 10.0), ("A", 11.0), ("B", 5.0)}
+    with pytest.raises(KeyError):
+        stores.read_snapshot(spark, path, "t")
     with pytest.raises(ValueError, match="became available"):
         stores.freeze_snapshot(bars(spark, [bar("A", 0, 1, available=datetime(2030, 1, 1))]), path, "t", "2021-01-01 00:00:00")
 
@@ -189,3 +194,51 @@ def test_each_bad_field_is_rejected_with_its_reason(spark):
     assert sorted(r["field"] for r in payloads.rejected_universes(universes).collect()) == ["as_of", "count", "symbols"]
     assert sorted(r["reason"] for r in payloads.quarantine(universes, payloads.universe_error()).collect()) == [
         "count missing", "no response", "not an object", "not valid JSON"]
+
+
+def test_a_changed_snapshot_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    digest = stores.freeze_snapshot(bars(spark, series("A", [10, 11])), path, "a/b", "2021-01-01 00:00:00")
+    bars(spark, series("A", [10, 12])).write.mode("overwrite").parquet(f"{path}/rows/digest={digest}")
+    with pytest.raises(stores.SnapshotConflict):
+        stores.read_snapshot(spark, path, "a/b")
+
+
+def test_one_of_two_writers_commits(spark, tmp_path):
+    path = str(tmp_path / "x" / "0.json")
+    assert commits.read_commit(spark, path) is None
+    assert commits.create_once(spark, path, {"a": 1}) and not commits.create_once(spark, path, {"a": 2})
+    assert commits.read_commit(spark, path) == {"a": 1} and commits.listed(spark, str(tmp_path / "x")) == ["0.json"]
+
+
+def test_numbers_of_the_log_go_on(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    schema = "delivery int, event_id string, occurred_at timestamp_ntz, event_type string, entity_id string, payload string"
+    batch = lambda *ids: spark.createDataFrame([(0, i, NOW, "T", "e", f"p{i}") for i in ids], schema)
+    assert stores.read_log(spark, path).count() == 0
+    assert [stores.append_log(batch("b", "a"), path), stores.append_log(batch("a", "c", "d"), path), stores.append_log(batch("a", "c", "d"), path)] == [2, 2, 0]
+    assert [(r["sequence"], r["event_id"]) for r in stores.read_log(spark, path).orderBy("sequence").collect()] == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    found = stores._log_commits(spark, path)
+    monkeypatch.setattr(stores, "_log_commits", lambda spark, path: found[:1])
+    with pytest.raises(stores.ConcurrentAppend):
+        stores.append_log(batch("z"), path)
+    monkeypatch.undo()
+    assert stores.read_log(spark, path).count() == 4
+
+
+def test_covering_range_of_many_ranges(spark):
+    rng = random.Random(9)
+    day = lambda n: date(1999, 1, 1) + timedelta(days=n)
+    ranges = sorted({(a, a + rng.randrange(400)) for a in (rng.randrange(9000) for _ in range(10_000))})
+    asked = sorted({(a, a + rng.randrange(300)) for a in (rng.randrange(9000) for _ in range(1_000))}) + [ranges[5]]
+    cached = spark.createDataFrame([("A", day(a), day(b)) for a, b in ranges] + [("B", day(9), day(8))], "symbol string, cached_start date, cached_end date")
+    requests = spark.createDataFrame([("A", day(a), day(b)) for a, b in asked] + [("B", day(8), day(8)), ("C", None, day(1))], "symbol string, start date, end date")
+    found = stores.covering_range(requests, cached)
+    assert not any(name in found._jdf.queryExecution().optimizedPlan().toString() for name in ("Join Inner", "Cartesian"))
+    best = {(r["start"], r["end"]): (r["cached_start"], r["cached_end"]) for r in found.filter("symbol = 'A'").collect()}
+    starts, ends = (np.array(x) for x in zip(*ranges, strict=True))
+    for a, b in asked:
+        fits = np.flatnonzero((starts <= a) & (ends >= b))
+        narrow = min(((ends[k] - starts[k], starts[k], ends[k]) for k in fits), default=None)
+        assert best[day(a), day(b)] == ((None, None) if narrow is None else (day(int(narrow[1])), day(int(narrow[2]))))
+    assert [r["covered"] for r in found.filter("symbol <> 'A'").collect()] == [False, False]

@@ -184,6 +184,107 @@ def stored_reports(spark, sf):
     return rounded_metrics(stores.read_report(spark, path, rows.schema), keys)
 
 
+# ------------------------------------------------------------------ responses with faults
+
+def listed(rows, key, item):
+    """One array response per symbol, its items in order of a key (bounded by the calendar)."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), item.alias("v"))))
+    return rows.groupBy(F.lower("symbol").alias("symbol")).agg(F.to_json(F.transform(entries, lambda x: x["v"])).alias("payload")).withColumn(
+        "retrieved_at", retrieved())
+
+
+def faulty_responses(spark, sf):
+    """Responses of six forms: bad dates, prices, volumes, values, ids and counts among good ones."""
+    bars = d.bars(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    bad = lambda n, value, good: F.when(F.col("volume") % n == 0, value).otherwise(good)
+    prices = listed(bars, "session", F.struct(
+        bad(31, "2001-13-45", F.concat(text("session"), F.lit("T00:00:00.000Z"))).alias("date"), *[text(n).alias(n) for n in ("open", "high", "low")],
+        bad(37, "1O1", text("close")).alias("close"), bad(41, "n/a", text("volume")).alias("volume")))
+    day = F.struct(bad(43, F.concat(text("session"), F.lit("x")), text("session")).alias("day"), F.create_map(
+        *[x for k, n in enumerate(("open", "high", "low"), start=1) for x in (F.lit(f"{k}. {n}"), text(n))],
+        F.lit("4. close"), bad(47, "", text("close")), F.lit("5. volume"), text("volume")).alias("bar"))
+    maps = bars.groupBy("symbol").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(day)).alias(payloads.SERIES))).alias("payload")).withColumn(
+        "retrieved_at", retrieved())
+    month = F.month("observed_date")
+    caps = listed(d.market_caps(spark, sf), "observed_date", F.struct(
+        F.when(month == 5, "n/a").otherwise(text("observed_date")).alias("date"), F.when(month == 6, "12b").otherwise(text("market_cap")).alias("marketCap")))
+    years = bars.select("symbol", F.year("session").alias("y")).distinct()
+    filing = F.struct(F.lit("7").alias("val"), F.lit("10-K").alias("form"),
+                      F.concat(text("y"), F.when(F.col("y") % 2 == 0, "-02-30").otherwise("-02-28")).alias("filed"))
+    facts = listed(years, "y", filing).withColumn("payload", F.concat(F.lit('{"facts":{"us-gaap":{"Assets":{"units":{"USD":'), "payload", F.lit("}}}}}")))
+    entry = F.struct(number().cast("string").alias("k"), F.struct(
+        F.concat(F.when(number() % 5 == 0, "x").otherwise(""), number().cast("string")).alias("cik_str"), F.col("symbol").alias("ticker")).alias("v"))
+    tickers = bars.select("symbol").distinct().groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("payload"))
+    universes = years.select("y").distinct().select(F.to_json(F.struct(
+        F.concat(text("y"), F.when(F.col("y") % 2 == 0, "-13-45").otherwise("-12-31")).alias("as_of"),
+        F.when(F.col("y") % 3 == 0, "many").otherwise("1").alias("count"), F.array(F.lit("A")).alias("symbols"))).alias("payload"))
+    return {"list": prices, "map": maps, "caps": caps, "facts": facts, "tickers": tickers, "universe": universes}
+
+
+def rejected_fields(spark, sf):
+    found = faulty_responses(spark, sf)
+    parts = {"list": payloads.rejected_list_prices(found["list"]), "map": payloads.rejected_map_prices(found["map"], adjusted=False),
+             "caps": payloads.rejected_market_caps(found["caps"]), "facts": payloads.rejected_company_facts(found["facts"]),
+             "tickers": payloads.rejected_tickers(found["tickers"]),
+             "universe": payloads.rejected_universes(found["universe"]).withColumn("place", F.lit("definition"))}
+    return union([rows.withColumn("form", F.lit(form)).select("form", F.upper("symbol").alias("symbol"), "place", "field", "value", "reason")
+                  for form, rows in parts.items()])
+
+
+def accepted_items(spark, sf):
+    """What is left of the same responses, counted by symbol."""
+    found = faulty_responses(spark, sf)
+    universes = payloads.parse_universe_snapshot(found["universe"]).withColumn("symbol", F.lit(None).cast("string"))
+    parts = {"list": payloads.parse_list_prices(found["list"]), "map": payloads.parse_map_prices(found["map"], adjusted=False),
+             "caps": payloads.parse_market_caps(found["caps"]), "facts": payloads.parse_company_facts(found["facts"]),
+             "tickers": payloads.parse_ticker_map(found["tickers"]), "universe": universes}
+    return union([rows.groupBy(F.upper("symbol").alias("symbol")).agg(F.count("*").alias("items")).withColumn("form", F.lit(form))
+                  for form, rows in parts.items()])
+
+
+def union(parts):
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def quarantined_responses(spark, sf):
+    """Errors, cut-off texts and missing answers among caps, filings and universe responses."""
+    symbols = d.bars(spark, sf).select("symbol").distinct()
+    good = {"caps": '[{"date":"2001-01-31","marketCap":5}]', "facts": '{"facts":{"us-gaap":{}}}', "universe": '{"as_of":"2001-01-31","count":0,"symbols":[]}'}
+    errors = {"caps": payloads.list_error(), "facts": payloads.facts_error(), "universe": payloads.universe_error()}
+    answer = lambda whole: F.when(number() % 4 == 1, '{"detail":"no plan"}').when(number() % 4 == 2, whole[:-3]).when(number() % 4 != 3, whole)
+    return union([payloads.quarantine(symbols.withColumn("payload", answer(whole)), errors[form]).select("symbol", F.lit(form).alias("form"), "reason")
+                  for form, whole in good.items()])
+
+
+# ------------------------------------------------------------------ stores that commit once
+
+def continued_event_log(spark, sf):
+    """Two appends and a repeat of the second: numbers go on from the first, and ids are stored once."""
+    log, path = d.event_log(spark, sf), scratch_path(spark, "event-log")
+    stores.append_log(log.filter("delivery = 0 AND n % 3 > 0"), path)
+    stores.append_log(log, path)
+    stores.append_log(log, path)
+    return stores.read_log(spark, path).select("sequence", "event_id", "payload_hash")
+
+
+def frozen_snapshot(spark, sf):
+    """Bars frozen twice, refused with other content, and read back verified."""
+    as_of, path = "1997-12-31 23:59:59", scratch_path(spark, "snapshots")
+    bars = d.stored_bars(spark, sf).filter(F.col("available_to_strategy_at") <= F.lit(as_of).cast("timestamp_ntz"))
+    digests = {stores.freeze_snapshot(rows, path, "close-of-1997", as_of) for rows in (bars, bars.orderBy("close"))}
+    try:
+        stores.freeze_snapshot(bars.withColumn("close", F.col("close") + 1), path, "close-of-1997", as_of)
+        refused = False
+    except stores.SnapshotConflict:
+        refused = True
+    rows = stores.read_snapshot(spark, path, "close-of-1997")
+    return rows.select("symbol", "session", "close", F.lit(refused and len(digests) == 1).alias("frozen_once"))
+
+
 QUERIES = {
     "list_price_payloads": list_prices,
     "map_price_payloads_adjusted": map_prices(True),
@@ -201,4 +302,9 @@ QUERIES = {
     "entity_events": entity_events,
     "report_documents": report_documents,
     "stored_reports": stored_reports,
+    "rejected_fields": rejected_fields,
+    "accepted_items": accepted_items,
+    "quarantined_responses": quarantined_responses,
+    "continued_event_log": continued_event_log,
+    "frozen_snapshot": frozen_snapshot,
 }
