@@ -213,7 +213,7 @@ def test_planted_passages_are_found(spark):
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, benchmark).collect()}
     assert found == truth
     clean = decontamination.drop_contaminated(docs, benchmark)
-    assert clean.columns == docs.columns and clean.count() == len(rows) - len([1 for i, _ in rows if i in {a for a, _ in truth if a is not None}])
+    assert clean.columns == docs.columns and clean.count() == len(rows) - len([1 for i, _ in rows if i in {a for a, _ in truth}])
     assert decontamination.contaminated(docs, benchmark.limit(0)).isEmpty() and decontamination.contaminated(docs.limit(0), benchmark).isEmpty()
 
 
@@ -221,7 +221,8 @@ def test_benchmark_in_several_spaces(spark, monkeypatch):
     rng = random.Random(3)
     items = [(k, " ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(20))) for k in range(25)]
     docs = spark.createDataFrame([(k, t) for k, t in items[::3]], "doc_id long, text string")
-    monkeypatch.setattr(decontamination, "SPACE_ITEMS", 7)
+    monkeypatch.setattr(decontamination, "SPACE_PARTS", 7)
+    monkeypatch.setattr(decontamination, "PASS_BYTES", 400)
     found = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k, _ in items[::3]}
 
