@@ -227,6 +227,18 @@ def test_benchmark_in_several_spaces(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k, _ in items[::3]}
 
 
+def test_the_latent_space_selects_the_candidates(spark, monkeypatch):
+    """Without directions in the space nothing is a candidate, in the query and in the stage."""
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice(WORDS) + str(rng.randrange(90)) for _ in range(20))) for k in range(5)]
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert decontamination.drop_contaminated(docs, benchmark).isEmpty()
+    monkeypatch.setattr(decontamination.Space, "project", lambda space, basis: None)
+    assert decontamination.contaminated(docs, benchmark).isEmpty()
+    assert decontamination.drop_contaminated(docs, benchmark).count() == 5
+
+
 def test_an_item_in_a_third_of_the_documents_is_found(spark):
     """However common its own words become and however rare those around it are."""
     rng = random.Random(8)
