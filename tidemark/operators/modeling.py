@@ -1,4 +1,4 @@
-"""Forward-return labels, purged folds, ridge models from moments, and walk-forward evaluation."""
+"""Forward-return labels, purged folds, ridge models from triangular factors, and walk-forward evaluation."""
 
 from __future__ import annotations
 
@@ -135,23 +135,34 @@ def moment_columns(features: Sequence[str]) -> dict[str, Column]:
     return sums
 
 
+def _shifted(rows: DataFrame, features: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with target and features less their means, and these. Rows of several feature versions are refused: their
+    columns do not mean the same."""
+    centred = demeaned(rows)
+    version = [F.min("feature_version").alias("low"), F.max("feature_version").alias("high")] if "feature_version" in rows.columns else []
+    found = centred.agg(*[F.avg(name).alias(f"shift_{a}") for a, name in enumerate(features)], *version).first()
+    if version and found["low"] != found["high"]:
+        raise ValueError(f"training rows of more than one feature version: {found['low']}, {found['high']}")
+    shift = {f"shift_{a}": F.lit(float(found[f"shift_{a}"] or 0.0)) for a in range(len(features))}
+    return centred.withColumns({name: F.col(name) - shift[f"shift_{a}"] for a, name in enumerate(features)}), shift
+
+
+def _training_starts(places: DataFrame) -> DataFrame:
+    return F.broadcast(places.filter("trains_from IS NOT NULL").select(F.col("date").alias("decision_date"), "trains_from"))
+
+
 def fold_moments(rows: DataFrame, places: DataFrame | None, features: Sequence[str] = FEATURES) -> DataFrame:
     """One moment row per fold, from one pass over the training rows.
 
     Rows are summed by the first fold they train in and the sums are cumulated over folds: expanding
     training sets never multiply the rows. Without ``places`` there is one fold 0 of all rows.
     """
-    centred = demeaned(rows)
-    shift = centred.agg(*[F.avg(name).alias(f"shift_{a}") for a, name in enumerate(features)]).first()
-    shift = {f"shift_{a}": F.lit(float(shift[f"shift_{a}"] or 0.0)) for a in range(len(features))}
-    centred = centred.withColumns({name: F.col(name) - shift[f"shift_{a}"] for a, name in enumerate(features)})
+    centred, shift = _shifted(rows, features)
     columns = moment_columns(features)
     names = list(columns)
     if places is None:
         return centred.groupBy(F.lit(0).alias("fold")).agg(*[columns[n].alias(n) for n in names]).withColumns(shift)
-    starts = F.broadcast(places.filter("trains_from IS NOT NULL").select(
-        F.col("date").alias("decision_date"), "trains_from"))
-    parts = centred.join(starts, "decision_date").groupBy(F.col("trains_from").alias("fold")).agg(
+    parts = centred.join(_training_starts(places), "decision_date").groupBy(F.col("trains_from").alias("fold")).agg(
         *[columns[n].alias(n) for n in names])
     whole = places.agg(F.max("folds").alias("folds")).filter("folds > 0").select(
         F.explode(F.sequence(F.lit(1), "folds")).alias("fold"))
@@ -160,6 +171,92 @@ def fold_moments(rows: DataFrame, places: DataFrame | None, features: Sequence[s
         (F.max(n) if n == "training_end" else F.sum(n)).over(so_far).alias(n) for n in names]).filter("n > 0").withColumns(shift)
 
 
+FACTORS = "fold int, factor binary, n bigint, training_end date"
+
+
+def _triangle(*blocks: np.ndarray) -> np.ndarray:
+    """R of the QR decomposition of stacked rows, which is all a least squares fit needs of them; R of fewer rows than columns
+    is filled up, so that all have one shape."""
+    found = np.linalg.qr(np.concatenate(blocks), mode="r")
+    return np.concatenate([found, np.zeros((found.shape[1] - len(found), found.shape[1]))])
+
+
+def _merged(frame: pd.DataFrame, size: int) -> pd.DataFrame:
+    """One row of the factors of one fold."""
+    blocks = [np.frombuffer(f).reshape(size, size) for f in frame["factor"]]
+    ends = [end for end in frame["training_end"] if end is not None]
+    return pd.DataFrame({"fold": [frame["fold"].iloc[0]], "factor": [_triangle(*blocks).tobytes()], "n": [int(frame["n"].sum())],
+                         "training_end": [max(ends, default=None)]})
+
+
+def fold_factors(rows: DataFrame, places: DataFrame | None, features: Sequence[str] = FEATURES) -> DataFrame:
+    """One triangular factor of (1, features, target) per fold, from one pass over the training rows.
+
+    Every task reduces its rows of a fold to a triangle of p + 2 columns, triangles are stacked and reduced per fold and then
+    over folds, as training sets expand. Nothing is squared, so features that are almost a combination of others keep half
+    their digits more than sums of squares would. Without ``places`` there is one fold 0 of all rows."""
+    centred, shift = _shifted(rows, features)
+    size = len(features) + 2
+    columns = [*features, "target"]
+    if places is None:
+        parts = centred.withColumn("fold", F.lit(0))
+    else:
+        parts = centred.join(_training_starts(places), "decision_date").withColumn("fold", F.col("trains_from"))
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[np.ndarray, int, object]] = {}
+        for batch in batches:
+            for fold, part in batch.groupby("fold"):
+                values = np.column_stack([np.ones(len(part)), part[columns].to_numpy(np.float64)])
+                before, n, end = held.get(fold, (np.zeros((0, size)), 0, None))
+                ends = [e for e in (end, part["label_end_date"].max()) if e is not None]
+                held[fold] = _triangle(before, values), n + len(part), max(ends, default=None)
+        yield pd.DataFrame([(fold, r.tobytes(), n, end) for fold, (r, n, end) in held.items()], columns=["fold", "factor", "n", "training_end"])
+
+    parts = parts.select(F.col("fold").cast("int").alias("fold"), *columns, "label_end_date").mapInPandas(reduced, FACTORS)
+    merged = parts.groupBy("fold").applyInPandas(lambda frame: _merged(frame, size), FACTORS)
+    if places is None:
+        return merged.withColumns(shift)
+
+    def cumulated(frame: pd.DataFrame) -> pd.DataFrame:
+        known = {fold: group for fold, group in frame[frame["n"].notna()].groupby("fold")}
+        so_far, out = None, []
+        for fold in sorted(frame["fold"]):
+            parts_ = [x for x in (so_far, known.get(fold)) if x is not None]
+            if parts_:
+                so_far = _merged(pd.concat(parts_), size).assign(fold=fold)
+                out.append(so_far)
+        return pd.concat(out) if out else frame.iloc[:0][["fold", "factor", "n", "training_end"]]
+
+    whole = places.agg(F.max("folds").alias("folds")).filter("folds > 0").select(F.explode(F.sequence(F.lit(1), F.col("folds").cast("int"))).alias("fold"))
+    # One short row per fold.
+    return whole.join(merged, "fold", "left").groupBy(F.lit(0).alias("_all")).applyInPandas(
+        lambda frame: cumulated(frame), FACTORS).withColumns(shift)
+
+
+MODEL_COLUMNS = ["fold", "alpha", "intercept", "means", "scales", "coefficients", "training_rows", "training_end"]
+
+
+def solve_factors(factors: pd.DataFrame, alphas: Sequence[float], size: int) -> pd.DataFrame:
+    """Standardised ridge with unpenalised intercept for every (factor row, alpha), as least squares of the triangle."""
+    out = []
+    for row in factors.itertuples(index=False):
+        n, whole = float(row.n), np.frombuffer(row.factor).reshape(size + 2, size + 2)
+        # The first column is constant: its row of the triangle has the means, and the rest is about them.
+        means, intercept = whole[0, 1:size + 1] / whole[0, 0], float(whole[0, size + 1] / whole[0, 0])
+        spread, right = whole[1:, 1:size + 1], whole[1:, size + 1]
+        variance = (spread * spread).sum(axis=0) / n
+        flat = variance <= 1e-14 * np.maximum(1.0, variance + means * means)
+        scales = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, variance)))
+        standard = np.where(flat, 0.0, spread / scales)
+        shift = np.array([getattr(row, f"shift_{a}") for a in range(size)])
+        for alpha in alphas:
+            rows = np.concatenate([standard, math.sqrt(alpha) * np.eye(size)])
+            weights = np.linalg.lstsq(rows, np.concatenate([right, np.zeros(size)]), rcond=None)[0]
+            out.append((row.fold, float(alpha), intercept, (means + shift).tolist(), scales.tolist(), weights.tolist(), int(n), row.training_end))
+    return pd.DataFrame(out, columns=MODEL_COLUMNS)
+
+
 def solve_moments(moments: pd.DataFrame, alphas: Sequence[float], size: int) -> pd.DataFrame:
     """Standardised ridge with unpenalised intercept for every (moment row, alpha)."""
     out = []
@@ -180,12 +277,11 @@ def solve_moments(moments: pd.DataFrame, alphas: Sequence[float], size: int) ->
             weights = np.linalg.lstsq(gram + alpha * np.eye(size), right, rcond=None)[0]
             out.append((row.fold, float(alpha), row.sy / n, (means + shift).tolist(), scales.tolist(), weights.tolist(),
                         int(n), row.training_end))
-    return pd.DataFrame(out, columns=[
-        "fold", "alpha", "intercept", "means", "scales", "coefficients", "training_rows", "training_end"])
+    return pd.DataFrame(out, columns=MODEL_COLUMNS)
 
 
-def ridge_models(moments: DataFrame, alphas: Sequence[float], features: Sequence[str] = FEATURES) -> DataFrame:
-    """One model row per (fold, alpha). The moment table is tiny: folds x p^2 numbers."""
+def ridge_models(sums: DataFrame, alphas: Sequence[float], features: Sequence[str] = FEATURES) -> DataFrame:
+    """One model row per (fold, alpha), from fold factors or fold moments: folds x p^2 numbers."""
     if not alphas or min(alphas) < 0:
         raise ValueError(f"ridge penalties below zero or none given: {tuple(alphas)}")
     listed, size = tuple(sorted(set(alphas))), len(features)
@@ -193,9 +289,9 @@ def ridge_models(moments: DataFrame, alphas: Sequence[float], features: Sequence
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield solve_moments(batch, listed, size)
+                yield (solve_factors if "factor" in batch else solve_moments)(batch, listed, size)
 
-    return moments.mapInPandas(solve, MODEL_SCHEMA)
+    return sums.mapInPandas(solve, MODEL_SCHEMA)
 
 
 def score(features: Sequence[str] = FEATURES) -> Column:
@@ -240,12 +336,12 @@ def mean_rank_correlation(correlations: DataFrame, keys: Sequence[str] = ("alpha
 
 def walk_forward(rows: DataFrame, places: DataFrame, alphas: Sequence[float], features: Sequence[str] = FEATURES) -> DataFrame:
     """Mean rank correlation per alpha. Labels that reach into their fold's validation dates are refused."""
-    moments = materialize(fold_moments(rows, places, features))
+    factors = materialize(fold_factors(rows, places, features))
     starts = places.filter("validates_in IS NOT NULL").groupBy(F.col("validates_in").alias("fold")).agg(F.min("date").alias("first"))
-    overlap = moments.join(starts, "fold").filter("training_end >= first").select("fold").limit(1).collect()
+    overlap = factors.join(starts, "fold").filter("training_end >= first").select("fold").limit(1).collect()
     if overlap:
         raise ValueError(f"fold {overlap[0]['fold']} trains on labels that end within its validation: purge more dates")
-    models = ridge_models(moments, alphas, features)
+    models = ridge_models(factors, alphas, features)
     return mean_rank_correlation(rank_correlations(walk_forward_predictions(rows, places, models, features)))
 
 
@@ -259,8 +355,8 @@ def select_alpha(scores: DataFrame) -> DataFrame:
 def selected_model(
     rows: DataFrame, scores: DataFrame, alphas: Sequence[float], features: Sequence[str] = FEATURES,
 ) -> DataFrame:
-    """Model of the selected alpha refitted on all rows; every alpha is solved from the same moments."""
-    models = ridge_models(fold_moments(rows, None, features), alphas, features)
+    """Model of the selected alpha refitted on all rows; every alpha is solved from the same factor."""
+    models = ridge_models(fold_factors(rows, None, features), alphas, features)
     return models.join(F.broadcast(select_alpha(scores)), "alpha")
 
 

@@ -130,7 +130,8 @@ def weight_limits(spark, sf):
     bars, _, positions_, cash = book(spark, sf)
     buys = with_session(d.orders(spark, sf), "submitted_at").withColumn("max_position_weight", F.lit(0.02))
     return ledger.weight_limit(buys, positions_, cash, CASH).select(
-        "order_id", "session", r("weight").alias("weight"), "within_limit")
+        "order_id", "session", r("weight").alias("weight"), "unmarked",
+        F.coalesce(F.col("within_limit").cast("string"), F.lit("unknown")).alias("within_limit"))
 
 
 def target_orders(spark, sf):

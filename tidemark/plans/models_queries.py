@@ -92,7 +92,7 @@ def correlation_moments(spark, sf):
 
 def ridge_models(spark, sf):
     training = rows(spark, sf)
-    models = modeling.ridge_models(modeling.fold_moments(training, places_of(training), PAIR), ALPHAS, PAIR)
+    models = modeling.ridge_models(modeling.fold_factors(training, places_of(training), PAIR), ALPHAS, PAIR)
     return models.select(
         "fold", "alpha", r("intercept").alias("intercept"), "training_rows", "training_end",
         *[r(F.col("coefficients")[k], 7).alias(f"coefficient_{k}") for k in range(2)],
@@ -102,11 +102,27 @@ def ridge_models(spark, sf):
 
 def ridge_models_all(spark, sf):
     training = rows(spark, sf)
-    models = modeling.ridge_models(modeling.fold_moments(training, places_of(training)), ALPHAS)
+    models = modeling.ridge_models(modeling.fold_factors(training, places_of(training)), ALPHAS)
     return models.select("fold", "alpha", r("intercept").alias("intercept"), "training_rows", "training_end",
                          F.posexplode("coefficients").alias("k", "coefficient"))
 
 
+def ridge_normal_equations(spark, sf):
+    """Whether the ten-feature models solve the normal equations made of the sums of squares, feature by feature."""
+    training = rows(spark, sf)
+    places = materialize(places_of(training))
+    sums = modeling.fold_moments(training, places)
+    models = modeling.ridge_models(modeling.fold_factors(training, places), ALPHAS)
+    size = len(features.FEATURES)
+    mean = [F.col(f"sx_{a}") / F.col("n") for a in range(size)]
+    sd = [F.sqrt(F.col(f"sxx_{a}_{a}") / F.col("n") - mean[a] * mean[a]) for a in range(size)]
+    left = lambda a: sum((F.col(f"sxx_{min(a, b)}_{max(a, b)}") - F.col("n") * mean[a] * mean[b]) / (sd[a] * sd[b]) * F.col("coefficients")[b]
+                         for b in range(size)) + F.col("alpha") * F.col("coefficients")[a]
+    right = lambda a: (F.col(f"sxy_{a}") - mean[a] * F.col("sy")) / sd[a]
+    solved = F.array(*[F.abs(left(a) - right(a)) <= 1e-7 * F.col("n") for a in range(size)])
+    return sums.drop("training_end").join(models, "fold").select("fold", "alpha", "training_rows", F.posexplode(solved).alias("k", "solved"))
+
+
 def scores_by_alpha(spark, sf, names=PAIR):
     training = rows(spark, sf)
     return modeling.walk_forward(training, places_of(training), ALPHAS, names)
@@ -300,6 +316,7 @@ QUERIES = {
     "fold_correlation_moments": correlation_moments,
     "ridge_models": ridge_models,
     "ridge_models_all_features": ridge_models_all,
+    "ridge_normal_equations": ridge_normal_equations,
     "walk_forward_evaluation": walk_forward_evaluation,
     "walk_forward_all_features": walk_forward_all,
     "alpha_selection": alpha_selection,
