@@ -261,3 +261,46 @@ def test_word_hashes_depend_on_the_word_alone(monkeypatch):
     whole = text.token_hashes(long)
     monkeypatch.setattr(text, "PIECE", 37)
     assert (text.token_hashes(long) == whole).all() and len(text.token_hashes(None)) == len(text.token_hashes(" .,")) == 0
+
+
+def test_a_rollup_counts_committed_batches_only(spark, tmp_path):
+    path = str(tmp_path / "rollup")
+    rollup = tokens.Rollup(spark, path, fold_every=3)
+    change = lambda *rows: spark.createDataFrame([(s, "en", "t", d, n) for s, d, n in rows], "source string, lang string, tokenizer string, documents long, tokens long")
+    assert rollup.totals().collect() == []
+    for batch in range(8):
+        assert rollup.commit(batch, change(("a", 1, batch), (None, 1, 10)))
+    assert not rollup.commit(1, change(("a", 1, 0), (None, 1, 10), ("a", 0, 1)))
+    with pytest.raises(ValueError, match="batch 1"):
+        rollup.commit(1, change(("a", 1, 2), (None, 1, 10)))
+    # A batch whose job did not end is no part of the totals.
+    change(("a", 100, 100)).write.parquet(f"{path}/batch=9")
+    (tmp_path / "rollup" / "batch=9" / "_SUCCESS").unlink()
+    assert {(r["source"], r["documents"], r["tokens"]) for r in rollup.totals().collect()} == {("a", 8, 28), (None, 8, 80)}
+    assert rollup._folded()["batches"] == list(range(6)) and rollup._pending(rollup._folded()) == [6, 7]
+
+
+def test_a_sample_of_repeated_ids_stays_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(3000)] + [(k, f"other {k}") for k in range(2, 400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 if k == 1 else 0) for k in range(400)], "doc_id long, toxic int")
+    sample = training.labelled_sample(docs, labels, "toxic", {0: 10, 1: 10}, ("text",)).toPandas()
+    assert len(sample) <= 80
+
+
+def test_a_dictionary_reads_across_its_texts():
+    text = bytes(range(97, 123)) * 1000
+    found = language.spread(text, 800)
+    assert len(found) <= 820 and all(text[k:k + 100] in text for k in (0, len(text) - 100))
+    long = b"a" * 9000 + b"b" * 9000 + b"c" * 9000
+    assert {bytes([c]) for c in language.spread(long, 90)} >= {b"a", b"b", b"c"}
+    assert language.spread(b"short", 800) == b"short"
+
+
+def test_clean_chains_teach_wherever_they_stand(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "CHAIN", 4)
+    monkeypatch.setattr(toxicity, "traits", lambda word: seen.append(word) or (1,))
+    texts = [" ".join(f"w{k}" for k in range(120)), "bad bad bad"]
+    toxicity.fit(texts, np.array([0, 1]), rounds=1)
+    places = sorted(int(w[1:]) // 4 for w in set(seen) if w.startswith("w"))
+    assert len(set(places)) >= 9 and max(places) >= 25

@@ -11,10 +11,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of training text per language, documents drawn to find them, and languages told apart at most.
-DICTIONARY_BYTES = 96 << 10
-DRAWN = 400
-MOST_LANGUAGES = 512
+#: Bytes of training text per language, and of all languages together: with more languages each has less.
+DICTIONARY_BYTES, ALL_BYTES = 96 << 10, 48 << 20
+#: Documents drawn per language, the share of a dictionary that one of them fills at most, and the places it is read at.
+DRAWN, SHARES, PLACES = 400, 32, 8
 LEVEL = 9
 #: Characters compressed at once: longer texts are cut, so that every part is judged by the dictionary and not by itself.
 PIECE = 2000
@@ -40,30 +40,36 @@ def drawn(docs: DataFrame, key: str, number: int, values: list) -> DataFrame:
 
     `values` has (value, rows): the share of rows drawn follows, so nothing is ordered and no value's rows meet in one task."""
     place = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "text"), F.lit(1 << 30))
-    keep = F.lit(False)
-    for value, rows in values:
-        keep = keep | ((F.col(key) == F.lit(value)) & (place < int(min(1.0, number / rows) * (1 << 30))))
-    return docs.where(keep).distinct()
+    shares = docs.sparkSession.createDataFrame([(value, int(min(1.0, number / rows) * (1 << 30))) for value, rows in values], f"{key} string, _share long")
+    return docs.join(shares, key).where(place < F.col("_share")).drop("_share").distinct()
+
+
+def spread(text: bytes, size: int) -> bytes:
+    """`size` bytes of a text, taken at PLACES even distances over its whole length; a shorter text as it is."""
+    if len(text) <= size:
+        return text
+    part = max(1, size // PLACES)
+    starts = np.linspace(0, len(text) - part, max(1, size // part)).astype(int).tolist()
+    return b" ".join(text[k:k + part] for k in starts)
 
 
 def dictionaries(docs: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw dictionary content per language, of at most `size` bytes.
+    """Raw dictionary content per language, of about `size` bytes, less where all together would pass ALL_BYTES.
 
-    A bounded sample of the labelled rows: about DRAWN documents a language are read, whole, in hash order until the
-    dictionary is full. Rows with a null lang or text and held-out ids teach nothing."""
+    A bounded sample of the labelled rows: about DRAWN documents a language are read in hash order until the dictionary is
+    full, each for a bounded share of it that is taken across the whole text. Rows with a null lang or text and held-out ids
+    teach nothing; equal rows teach once."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    known = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()]
-    if len(known) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    size_of = max(1, size // max(1, len(known) // 8))
+    known = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    size_of = max(PLACES, min(size, ALL_BYTES // max(1, len(known))))
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         content, seen = [], 0
         for text in group.sort_values(["at", "doc_id", "text"])["text"].drop_duplicates():
             if seen >= size_of:
                 break
-            content.append(letters(text).encode("utf-8", "replace")[:size_of - seen])
+            content.append(spread(letters(text).encode("utf-8", "replace"), max(PLACES, size_of // SHARES)))
             seen += len(content[-1]) + 1
         return pd.DataFrame({"lang": [key[0]], "content": [b" ".join(reversed(content))]})
 

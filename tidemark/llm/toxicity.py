@@ -124,11 +124,13 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 7, batch: int
         field.layer[0] = 30.0 if len(label) and label.min() else -30.0
         return field
     tokens = [WORD.findall(t) if isinstance(t, str) else [] for t in texts]
-    chains = []
+    chains, clean = [], 0
     for words, tag in zip(tokens, weak_tags(tokens, label), strict=True):
         for k in range(0, len(words), CHAIN):
-            # All chains with a toxic token teach, and every third of the others.
-            if tag[k:k + CHAIN].any() or len(chains) % 3 == 0 or k == 0:
+            # All chains with a toxic token teach, and every third of the others, wherever in its text it stands.
+            toxic = tag[k:k + CHAIN].any()
+            clean += not toxic
+            if toxic or clean % 3 == 1:
                 chains.append((words[k:k + CHAIN], tag[k:k + CHAIN]))
     if not chains:
         field.layer[0] = -30.0

@@ -16,7 +16,8 @@ from tidemark.session import through_table
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], columns: tuple[str, ...]) -> DataFrame:
     """(doc_id, columns, label) of about `per_class` labelled documents of classes 0 and 1.
 
-    The bound is `per_class`: it limits what a classifier is fitted on, never what is scored. Labels of held-out ids and
+    The bound is `per_class`: it limits what a classifier is fitted on, never what is scored. Where ids repeat so that the
+    drawn ids have more than twice as many rows, rows are drawn from them by hash of id and text. Labels of held-out ids and
     null labels or ids teach nothing; an id labelled twice has the higher label; equal documents count once. Ids are drawn
     by hash from the label table, so texts of other documents are scanned but don't move."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -28,7 +29,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
         share = F.when(F.col("label") == value, int(min(1.0, per_class.get(value, 0) / n) * (1 << 30))).otherwise(share)
     # About as many ids as per_class names: bounded by the parameter.
     chosen = through_table(known.where(place < share), "labelled")
-    return docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id").distinct()
+    found = docs.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
+    rows = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    row_place = F.pmod(F.xxhash64(F.lit("rows"), "doc_id", *columns), F.lit(1 << 30))
+    row_share = F.lit(1 << 30)
+    for value, n in rows.items():
+        row_share = F.when(F.col("label") == value, int(min(1.0, 2 * per_class.get(value, 0) / n) * (1 << 30))).otherwise(row_share)
+    return found.where(row_place < row_share).distinct()
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], columns: tuple[str, ...],
