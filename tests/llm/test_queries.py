@@ -39,7 +39,7 @@ def test_equals_sql(spark, name):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     right = base.execute(ORACLE_SQL[name]).df()
     left = QUERIES[name](spark, SF).toPandas()[list(right.columns)]
-    order = [right.columns[0]]
+    order = [c for c in (right.columns[0], "rank") if c in right.columns]
     left, right = left.sort_values(order, ignore_index=True), right.sort_values(order, ignore_index=True)
     assert len(left) == len(right)
     for column in right.columns:
