@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of training text per language, and of all languages together: with more languages each has less.
 DICTIONARY_BYTES, ALL_BYTES = 96 << 10, 48 << 20
+#: Languages up to which their shares are broadcast (some 50 bytes each).
+MOST_BROADCAST = 200_000
 #: Documents drawn per language, the share of a dictionary that one of them fills at most, and the places it is read at.
 DRAWN, SHARES, PLACES = 400, 32, 8
 LEVEL = 9
@@ -41,7 +43,8 @@ def drawn(docs: DataFrame, key: str, number: int, values: list) -> DataFrame:
     `values` has (value, rows): the share of rows drawn follows, so nothing is ordered and no value's rows meet in one task."""
     place = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "text"), F.lit(1 << 30))
     shares = docs.sparkSession.createDataFrame([(value, int(min(1.0, number / rows) * (1 << 30))) for value, rows in values], f"{key} string, _share long")
-    return docs.join(shares, key).where(place < F.col("_share")).drop("_share").distinct()
+    # One short row per value, all of which the driver has counted.
+    return docs.join(F.broadcast(shares) if len(values) <= MOST_BROADCAST else shares, key).where(place < F.col("_share")).drop("_share").distinct()
 
 
 def spread(text: bytes, size: int) -> bytes:
