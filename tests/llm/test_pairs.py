@@ -54,9 +54,11 @@ def _vectors():
                    (3005, [1.0, 0.0]), (3006, [2.0, 1e-3]), (3007, []), (1, rows[1][1]), (None, rows[4][1])]
 
 
-@pytest.mark.parametrize("block", [16, 512])
-def test_embedding_links(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "bucket"), [(16, 2048), (4096, 2048), (64, 200), (4096, 24)])
+def test_embedding_links(spark, monkeypatch, block, bucket):
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embeddings, "BUCKET_ROWS", bucket)
+    embeddings.table_shape.cache_clear()
     rows = _vectors()
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("links", F.lit("x")).withColumn("rep", F.lit(0))
     found = embeddings.near_vectors(frame, recall=0.99999).toPandas()
@@ -78,6 +80,38 @@ def test_embedding_links(spark, monkeypatch, block):
     assert (got["kept"] == (got["vec_id"] == got["component_id"])).all()
 
 
+def test_no_vectors(spark):
+    found = embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, n_links string"))
+    assert found.columns == ["vec_id", "n_links", "component_id", "kept"] and found.count() == 0
+
+
+@pytest.mark.parametrize("dim", [1, 2, 7, 64, 300])
+def test_tables_meet_at_the_threshold(dim):
+    rng = np.random.default_rng(8)
+    shape = embeddings.table_shape(200_000, dim)
+    width, corners, tables = shape
+    spin = np.concatenate([embeddings.rotation(dim, width, 1000 + k) for k in range(tables * corners)], axis=1)
+    a = embeddings.unit_rows(rng.normal(size=(4000, dim)))
+    side = rng.normal(size=(4000, dim))
+    side -= (side * a).sum(1)[:, None] * a
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    b = embeddings.unit_rows(a * 0.9 + np.sqrt(1 - 0.81) * side / np.maximum(length, 1e-9) * (length > 1e-9))
+    met = (embeddings.bucket_cells(a, spin, shape) == embeddings.bucket_cells(b, spin, shape)).any(1)
+    assert met.mean() > 0.995
+    size = embeddings.code_turn(dim).shape[1]
+    x, y = embeddings.Codes(a, embeddings.code_turn(dim)), embeddings.Codes(b, embeddings.code_turn(dim))
+    differing = (x.signs != y.signs).sum(1)
+    assert (differing <= embeddings.most_differing(size, 0.9)).mean() > 0.999
+
+
+def test_stored_codes_estimate_alike():
+    rng = np.random.default_rng(6)
+    unit, turn = embeddings.unit_rows(rng.normal(size=(50, 32))), embeddings.code_turn(32)
+    codes = embeddings.Codes(unit, turn)
+    again = embeddings.Codes.stored(unit, turn, pd.Series(codes.packed()), codes.factor)
+    assert (codes.signs == again.signs).all() and (codes.bound == again.bound).all()
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(5)
     a, b = embeddings.unit_rows(rng.normal(size=(300, 32))), embeddings.unit_rows(rng.normal(size=(300, 32)))

@@ -42,20 +42,3 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
             pairs.where("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(),
             "edges")
     return nodes
-
-
-def least_roots(size: int, first: list[int], second: list[int]) -> list[int]:
-    """Smallest index linked to each of range(size), within one task."""
-    root = list(range(size))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(first, second, strict=True):
-        a, b = top(a), top(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [top(x) for x in range(size)]
