@@ -61,6 +61,19 @@ def test_mix_is_weighted_order_in_every_bucket(docs, monkeypatch):
     pd.testing.assert_frame_equal(whole[order].sort_values(order, ignore_index=True), cut[order].sort_values(order, ignore_index=True))
 
 
+def test_ranges_of_a_junk_source_are_split(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    kept = {}
+    through = mixing.through_table
+    monkeypatch.setattr(mixing, "through_table", lambda df, name: kept.setdefault(name, through(df, name)))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("junk").alias("source"), F.lit("#" * 400).alias("text"))
+    found = mixing.mixed_sizes(docs)
+    assert found.count() == 6000 and found.agg(F.sum("taken")).first()[0] == 9000
+    # Every document has one word, so the starts of ranges differ by their rows.
+    starts = sorted(r["bucket_start"] for r in kept["mix-buckets"].collect()) + [6000]
+    assert len(starts) > 60 and max(b - a for a, b in zip(starts, starts[1:], strict=False)) < 200
+
+
 def test_mixed_documents_repeat_rows(docs):
     out = mixing.mixed_documents(clashing(docs))
     assert out.columns == clashing(docs).columns

@@ -13,7 +13,7 @@ from tidemark.session import through_table
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Characters that lower a document's sampling weight.
 JUNK = "#%$&*!|<>{}"
-#: Rows that one ordered bucket of a source holds on average.
+#: Rows that one ordered range of keys of a source is expected to hold at most.
 BUCKET_ROWS = 4096
 #: A table of sources is broadcast up to this many rows (about 100 bytes each).
 BROADCAST_SOURCES = 100_000
@@ -64,7 +64,7 @@ def mixed_sizes(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     that leaves the sum nearer to the target. Repeated ids follow each other, larger texts last; equal rows are interchangeable.
     Null sources form the last source, null texts have size 0 and are never taken. An empty table gives no row.
 
-    No task orders a whole source: key ranges of about BUCKET_ROWS rows are summed first, and only rows within one range
+    No task orders a whole source: key ranges of at most about BUCKET_ROWS rows are summed first, and only rows within one range
     are ordered together. Ids, sizes and sources move, texts only with `carry`."""
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10)
          .cast("double") + 0.5) / float(1 << 52)
@@ -82,8 +82,10 @@ def mixed_sizes(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     targets = through_table(targets.withColumn("rest", F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long")),
                             "mix-targets")
     known = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
+    # log2 of an exponential key has a density of at most ln 2 / e = 0.26, and a quality only shifts it: whatever the
+    # qualities of a source, no range holds more of it than that share of the range's width.
     keyed = narrow.join(known, source).withColumn(
-        "bucket", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("source_rows") / BUCKET_ROWS)))
+        "bucket", F.floor(F.log2("key") * F.ceil(0.26 * F.col("source_rows") / BUCKET_ROWS)))
     buckets = keyed.groupBy(*source, "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy(source).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = through_table(buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
