@@ -151,6 +151,32 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(expected, total) and (toxic[~used] == 0).all()
 
 
+@pytest.mark.parametrize("stay", [0.5, 4.0, 9.0])
+def test_messages_pass_the_cuts_of_long_texts(stay):
+    """Rows of 4 give the marginals of whole chains, also where states last for hundreds of tokens."""
+    rng = np.random.default_rng(8)
+    moves = np.array([[0.0, -stay], [-stay, 0.3]])
+    texts = [rng.normal(scale=2, size=n) for n in (1, 4, 5, 8, 131, 402)]
+    rows, used, goes_on = [], [], []
+    for odds in texts:
+        cut = [odds[k:k + 4] for k in range(0, len(odds), 4)]
+        rows += [np.pad(part, (0, 4 - len(part))) for part in cut]
+        used += [np.arange(4) < len(part) for part in cut]
+        goes_on += [k > 0 for k in range(len(cut))]
+    found = toxicity.forward_backward(np.array(rows), np.array(used), moves, goes_on=np.array(goes_on))[0][np.array(used)]
+    whole = [toxicity.forward_backward(odds[None], np.ones((1, len(odds)), bool), moves)[0][0] for odds in texts]
+    assert np.allclose(found, np.concatenate(whole), atol=1e-9)
+
+
+def test_repeated_and_clashing_rows_are_tagged_each(spark):
+    docs, labels = _labelled(spark, "vile")
+    field = training.fitted(docs, labels, "toxic", toxicity.PER_CLASS, ("text",), toxicity.fit_frame)
+    one = docs.where("doc_id = 4")
+    twice = one.unionByName(one).withColumns({"score": F.lit("x"), "spans": F.lit(1), "predicted": F.lit(None)})
+    found = toxicity.tag(twice, field).collect()
+    assert len(found) == 2 and found[0] == found[1] and found[0]["predicted"] == 1
+
+
 def _labelled(spark, bad: str):
     rng = random.Random(1)
     good = "the river runs under old stone bridges toward quiet towns".split()

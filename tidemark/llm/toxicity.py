@@ -17,8 +17,10 @@ from tidemark.llm.text import CACHE_WORDS, WORD
 #: Labelled documents per class that the field is fitted on; clean ones are the rule.
 PER_CLASS = {0: 6000, 1: 2000}
 BITS = 18
-#: Tokens in one chain: a longer text is tagged in consecutive chains.
+#: Tokens in one row of a task's arrays: a longer text takes consecutive rows, with messages over the cuts.
 CHAIN = 128
+#: Relative change below which a message counts as the same.
+SAME = 1e-12
 #: Tokens forwarded at once by a task.
 BLOCK_TOKENS = 200_000
 PREFIX, SUFFIX = 5, 4
@@ -43,31 +45,65 @@ def as_chains(values: np.ndarray, fill: float) -> np.ndarray:
     return out.reshape(rows, CHAIN)
 
 
-def forward_backward(odds: np.ndarray, used: np.ndarray, moves: np.ndarray, pairs_too: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """P(toxic) per token and, if asked for, the expected moves (2 x 2), for chains of log odds; unused places come last in a chain."""
-    n, length = odds.shape
-    emit = np.ones((length, n, 2))
-    emit[:, :, 1] = np.exp(np.clip(odds, -20, 20)).T
-    psi = np.exp(moves)
-    forward, back = np.empty((length, n, 2)), np.ones((length, n, 2))
-    forward[0] = emit[0] * psi[0]
-    forward[0] /= forward[0].sum(1, keepdims=True)
-    for t in range(1, length):
-        forward[t] = forward[t - 1] @ psi * emit[t]
-        forward[t] /= forward[t].sum(1, keepdims=True)
-    for t in range(length - 2, -1, -1):
-        step = (emit[t + 1] * back[t + 1]) @ psi.T
-        step /= step.sum(1, keepdims=True)
-        back[t] = np.where(used[:, t + 1, None], step, 1.0)
+def forward_ratios(emit: np.ndarray, psi: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Forward messages (length x chains) as the ratio toxic to clean; `before` is the ratio ahead of the first token."""
+    out, ratio = np.empty_like(emit), before
+    for t in range(len(emit)):
+        ratio = out[t] = emit[t] * (psi[0, 1] + psi[1, 1] * ratio) / (psi[0, 0] + psi[1, 0] * ratio)
+    return out
+
+
+def backward_ratios(emit: np.ndarray, psi: np.ndarray, used: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Backward messages as ratios; `after` is the ratio behind the last place, 1 where the text ends."""
+    out = np.empty_like(emit)
+    out[-1] = after
+    for t in range(len(emit) - 2, -1, -1):
+        ahead = emit[t + 1] * out[t + 1]
+        out[t] = np.where(used[t + 1], (psi[1, 0] + psi[1, 1] * ahead) / (psi[0, 0] + psi[0, 1] * ahead), 1.0)
+    return out
+
+
+def forward_backward(odds: np.ndarray, used: np.ndarray, moves: np.ndarray, pairs_too: bool = False,
+                     goes_on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) per token and, if asked for, the expected moves (2 x 2), for chains of log odds; unused places come last in a chain.
+
+    `goes_on` flags rows that continue the row before, which is full. Messages then pass the cuts: rows whose message from
+    outside changed are passed again until none changes, so a text cut into rows has the marginals of one chain. A row's
+    first message forgets what lies far away, so this takes two or three passes."""
+    psi, used_at = np.exp(moves), used.T
+    emit = np.exp(np.clip(odds, -20, 20)).T
+    n = emit.shape[1]
+    forward = forward_ratios(emit, psi, np.zeros(n))
+    back = backward_ratios(emit, psi, used_at, np.ones(n))
+    if goes_on is not None and goes_on.any():
+        later = np.flatnonzero(goes_on)
+        before, after, todo = np.zeros(n), np.ones(n), later
+        while len(todo):
+            new = forward[-1, todo - 1]
+            changed = np.abs(new - before[todo]) > SAME * new
+            todo = todo[changed]
+            before[todo] = new[changed]
+            forward[:, todo] = forward_ratios(emit[:, todo], psi, before[todo])
+            todo = todo[todo + 1 < n] + 1
+            todo = todo[goes_on[todo]]
+        todo = later - 1
+        while len(todo):
+            ahead = emit[0, todo + 1] * back[0, todo + 1]
+            new = (psi[1, 0] + psi[1, 1] * ahead) / (psi[0, 0] + psi[0, 1] * ahead)
+            changed = np.abs(new - after[todo]) > SAME * new
+            todo = todo[changed]
+            after[todo] = new[changed]
+            back[:, todo] = backward_ratios(emit[:, todo], psi, used_at[:, todo], after[todo])
+            todo = todo[goes_on[todo]] - 1
     both = forward * back
-    toxic = (both[:, :, 1] / both.sum(2)).T * used
+    toxic = (both / (1 + both)).T * used
     expected = np.zeros((2, 2))
     if not pairs_too:
         return toxic, expected
-    pairs = forward[:-1, :, :, None] * psi * (emit[1:] * back[1:])[:, :, None, :]
-    pairs *= (used[:, 1:].T / pairs.sum((2, 3)))[:, :, None, None]
-    expected += pairs.sum((0, 1))
-    return toxic, expected
+    now, ahead = forward[:-1], emit[1:] * back[1:]
+    cells = (np.broadcast_to(psi[0, 0], now.shape), psi[0, 1] * ahead, psi[1, 0] * now, psi[1, 1] * now * ahead)
+    share = used_at[1:] / (cells[0] + cells[1] + cells[2] + cells[3])
+    return toxic, np.array([(cell * share).sum() for cell in cells]).reshape(2, 2)
 
 
 def weak_tags(tokens: list[list[str]], label: np.ndarray) -> list[np.ndarray]:
@@ -79,16 +115,21 @@ def weak_tags(tokens: list[list[str]], label: np.ndarray) -> list[np.ndarray]:
     for words, toxic in zip(tokens, label, strict=True):
         found = set()
         for word in set(words):
-            found.update(of_word.setdefault(word, traits(word)))
+            if word not in of_word:
+                of_word[word] = traits(word)
+            found.update(of_word[word])
         seen[int(toxic)].update(found)
     docs = np.bincount(label.astype(int), minlength=2)
     strength = {trait: np.log((n + 0.5) / (docs[1] + 1)) - np.log((seen[0][trait] + 0.5) / (docs[0] + 1))
                 for trait, n in seen[1].items() if n >= 4 and n / (docs[1] + 1) > 8 * seen[0][trait] / (docs[0] + 1)}
     tags = []
     for words, toxic in zip(tokens, label, strict=True):
-        score = np.array([max((strength.get(t, 0.0) for t in of_word[w][:2]), default=0.0) for w in words]) if toxic else np.zeros(len(words))
+        if not toxic:
+            tags.append(np.zeros(len(words)))
+            continue
+        score = np.array([max((strength.get(t, 0.0) for t in of_word[w][:2]), default=0.0) for w in words])
         tag = score >= 3.0
-        if toxic and len(words) and not tag.any() and score.max() > 1:
+        if len(words) and not tag.any() and score.max() > 1:
             tag[score.argmax()] = True
         tags.append(tag.astype(np.float64))
     return tags
@@ -171,8 +212,9 @@ def fit(texts: list[str | None], label: np.ndarray, rounds: int = 7, batch: int
             drift = wrong.sum() / len(b)
             bias_speed += drift ** 2
             field.bias += rate * drift / np.sqrt(bias_speed)
-    cache = {w: field.odds(w) for words in tokens for w in words}
-    x = np.array([field.summary(tag_words(np.array([cache[w] for w in words]), field)) for words in tokens])
+    cache = {word: field.odds(word) for word in set().union(*tokens)}
+    odds = [np.fromiter(map(cache.__getitem__, words), np.float64, len(words)) for words in tokens]
+    x = np.array([field.summary(toxic) for toxic in marginals(odds, field)])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ field.layer, -30, 30)))
         bend = x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + 0.05 * np.eye(4)
@@ -184,13 +226,23 @@ def fit_frame(frame: pd.DataFrame) -> Field:
     return fit(list(frame["text"]), frame["label"].to_numpy().astype(int))
 
 
-def tag_words(odds: np.ndarray, field: Field) -> np.ndarray:
-    """Marginals of one text."""
-    if not len(odds):
-        return np.zeros(0)
-    chains = as_chains(odds, 0.0)
-    used = as_chains(np.ones(len(odds)), 0.0) > 0
-    return forward_backward(chains, used, field.moves)[0].reshape(-1)[:len(odds)]
+def marginals(texts: list[np.ndarray], field: Field) -> Iterator[np.ndarray]:
+    """Marginals of each text, passed BLOCK_TOKENS or more at a time; every text is one chain, however long."""
+    held, size = [], 0
+    for k, odds in enumerate(texts):
+        held.append(odds)
+        size += len(odds)
+        if size < BLOCK_TOKENS and k < len(texts) - 1:
+            continue
+        rows = [as_chains(o, 0.0) for o in held]
+        used = np.concatenate([as_chains(np.ones(len(o)), 0.0) for o in held]) > 0
+        goes_on = np.concatenate([np.arange(len(r)) > 0 for r in rows])
+        toxic = forward_backward(np.concatenate(rows), used, field.moves, goes_on=goes_on)[0] if size else np.zeros((0, CHAIN))
+        at = 0
+        for odds_of, r in zip(held, rows, strict=True):
+            yield toxic[at:at + len(r)].reshape(-1)[:len(odds_of)]
+            at += len(r)
+        held, size = [], 0
 
 
 class OddsCache(dict):
@@ -222,7 +274,8 @@ def spans(text: str, toxic: np.ndarray) -> list[dict]:
 def tag(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, score, predicted and the offending spans (character offsets) of every row, over the whole text.
 
-    A null or empty text has the score of a text without toxic tokens and no span. An empty table gives no row."""
+    A null or empty text has the score of a text without toxic tokens and no span; repeated rows are scored each, a null id
+    stays null, other columns of `docs` are not read. An empty table gives no row."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,14 +283,8 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
         cache = OddsCache(field)
 
         def flush(held: list[tuple]) -> pd.DataFrame:
-            rows, chains = [], [as_chains(odds, 0.0) for _, _, odds in held if len(odds)]
-            lengths = [as_chains(np.ones(len(odds)), 0.0) > 0 for _, _, odds in held if len(odds)]
-            toxic = forward_backward(np.concatenate(chains), np.concatenate(lengths), field.moves)[0] if chains else None
-            at = 0
-            for doc_id, text, odds in held:
-                size = -(-len(odds) // CHAIN)
-                own = toxic[at:at + size].reshape(-1)[:len(odds)] if size else np.zeros(0)
-                at += size
+            rows = []
+            for (doc_id, text, _), own in zip(held, marginals([odds for _, _, odds in held], field), strict=True):
                 score = field.score(own)
                 rows.append((doc_id, score, int(score >= 0.5), spans(text, own) if len(own) and own.max() >= 0.5 else []))
             out = pd.DataFrame(rows, columns=["doc_id", "score", "predicted", "spans"])
