@@ -165,7 +165,7 @@ def test_valuation_counts_missing_marks(spark):
     marks = spark.createDataFrame([("A", date(2025, 1, 1), 10.0), ("A", date(2025, 1, 2), 9.0)], "symbol string, session date, mark double")
     bench = spark.createDataFrame([(date(2025, 1, 1), 100.0), (date(2025, 1, 2), 101.0)], "session date, close double")
     held = ledger.daily_positions(fills, marks)
-    rows = {r["session"]: r for r in ledger.valuations(held, ledger.cash_by_session(fills, 100.0), bench, 100.0, 100.0).collect()}
+    rows = {r["session"]: r for r in ledger.valuations(held, ledger.cash_by_session(fills, 100.0), bench, 100.0, 100.0, marks).collect()}
     assert rows[date(2025, 1, 1)]["missing_marks"] == 1
     assert rows[date(2025, 1, 2)]["portfolio_value"] == pytest.approx(74 + 18)
     assert rows[date(2025, 1, 2)]["benchmark_return"] == pytest.approx(0.01)
@@ -206,3 +206,25 @@ def test_weights_are_unknown_while_a_held_position_has_no_mark(spark):
     rows = {r["order_id"]: (r["weight"], r["within_limit"], r["unmarked"]) for r in found}
     assert rows["o2"] == (None, None, 1)
     assert rows["o1"] == (pytest.approx(0.1), True, 0) and rows["o3"] == (pytest.approx(0.4), True, 0) and rows["o4"] == (pytest.approx(0.4), True, 0)
+
+
+def test_closed_positions_have_no_rows_until_they_open_again(spark):
+    day = lambda n: date(2025, 1, n)
+    trades = [("P", "A", "BUY", 2.0, 5.0, 0.0, day(1)), ("P", "A", "SELL", 2.0, 5.0, 0.0, day(3)), ("P", "A", "BUY", 1.0, 5.0, 0.0, day(8)),
+              ("P", "B", "BUY", 1.0, 5.0, 0.0, day(2)), ("P", "B", "SELL", 1.0, 5.0, 0.0, day(2)), ("Q", "A", "BUY", 3.0, 5.0, 0.0, day(9))]
+    fills = spark.createDataFrame(trades, "portfolio string, symbol string, side string, quantity double, price double, fee double, session date")
+    marks = spark.createDataFrame([(s, day(n), 10.0 + n) for s in "ABC" for n in range(1, 11) if (s, n) != ("A", 9)], "symbol string, session date, mark double")
+    met = ledger.open_sessions(fills, marks.select("session"))
+    # Open (position, session) pairs and the sessions that close a position; nothing else meets the marks.
+    assert sorted((r["portfolio"], r["symbol"], r["session"].day, r["quantity"]) for r in met.collect()) == [
+        ("P", "A", 1, 2.0), ("P", "A", 2, 2.0), ("P", "A", 3, 0.0), ("P", "A", 8, 1.0), ("P", "A", 9, 1.0), ("P", "A", 10, 1.0),
+        ("P", "B", 2, 0.0), ("Q", "A", 9, 3.0), ("Q", "A", 10, 3.0)]
+    held = ledger.daily_positions(fills, marks)
+    assert {(r["portfolio"], r["session"].day): r["mark"] for r in held.filter("symbol = 'A' and session >= '2025-01-08'").collect()} == {
+        ("P", 8): 18.0, ("P", 10): 20.0, ("Q", 9): None, ("Q", 10): 20.0}
+    bench = spark.createDataFrame([(day(n), 100.0) for n in range(1, 11)], "session date, close double")
+    found = ledger.valuations(held, ledger.cash_by_session(fills, 100.0), bench, 100.0, 100.0, marks).collect()
+    value = {(r["portfolio"], r["session"].day): r["portfolio_value"] for r in found}
+    assert len(value) == 12 and [value["P", n] for n in (1, 2, 3, 5, 8, 10)] == [112.0, 114.0, 100.0, 100.0, 113.0, 115.0]
+    assert value["Q", 10] == 145.0
+    assert ledger.daily_positions(fills.limit(0), marks).isEmpty()

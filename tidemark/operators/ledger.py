@@ -143,21 +143,37 @@ def cash_ledger(
 
 # ------------------------------------------------------------------ valuation
 
-def daily_positions(fills: DataFrame, marks: DataFrame) -> DataFrame:
-    """Quantity and mark per (portfolio, symbol, session) from a position's first session on.
+def open_sessions(fills: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(portfolio, symbol, session, quantity, trades): a row per session in which a position trades or is open.
 
-    ``fills`` has a session column; ``marks`` is (symbol, session, mark). Fills are summed per session
-    first, so a window partition holds at most one row per trading day. A session with a trade but
-    without a mark stays, with a null mark.
+    ``calendar`` holds the sessions, one row per trading day, which bounds its broadcast. Fills are summed per session first.
+    What is held after a session lasts until the position trades again, and only such spans of open quantity are laid out
+    over the calendar: a closed position has no rows until it is opened again.
     """
     keys = ["portfolio", "symbol", "session"]
     flows = fills.groupBy(*keys).agg(F.sum(signed_quantity()).alias("delta"))
-    opened = flows.groupBy("portfolio", "symbol").agg(F.min("session").alias("opened"))
-    days = opened.join(marks, "symbol").filter("session >= opened").select(*keys, F.lit(0.0).alias("delta"), "mark")
-    rows = flows.withColumn("mark", F.lit(None).cast("double")).unionByName(days).groupBy(*keys).agg(
-        F.sum("delta").alias("delta"), F.max("mark").alias("mark"))
-    seen = W.partitionBy("portfolio", "symbol").orderBy("session").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("quantity", F.sum("delta").over(seen))
+    days = calendar.select("session").distinct()
+    numbered = F.broadcast(days.withColumn("day", F.row_number().over(W.orderBy("session"))))
+    listed = F.broadcast(days.agg(F.array_sort(F.collect_list("session")).alias("days")))
+    by_position = W.partitionBy("portfolio", "symbol").orderBy("session")
+    spans = flows.join(numbered, "session").select(
+        *keys, "day", F.sum("delta").over(by_position.rowsBetween(W.unboundedPreceding, 0)).alias("quantity"),
+        F.lead("day").over(by_position).alias("next_day"))
+    lasting = F.when(F.abs("quantity") >= EPSILON, F.coalesce("next_day", F.size("days") + 1) - F.col("day")).otherwise(F.lit(1))
+    return spans.crossJoin(listed).select(
+        "portfolio", "symbol", "quantity", F.col("session").alias("since"), F.explode(F.slice("days", F.col("day"), lasting)).alias("session"),
+    ).select(*keys, "quantity", (F.col("session") == F.col("since")).alias("trades"))
+
+
+def daily_positions(fills: DataFrame, marks: DataFrame) -> DataFrame:
+    """Quantity and mark per (portfolio, symbol, session) in which a position trades, or is open and has a mark.
+
+    ``fills`` has a session column; ``marks`` is (symbol, session, mark), of one row each. A session with a trade but without
+    a mark stays, with a null mark. The rows that meet the marks are those of ``open_sessions``.
+    """
+    calendar = marks.select("session").unionByName(fills.select("session"))
+    rows = open_sessions(fills, calendar).join(marks, ["symbol", "session"], "left")
+    return rows.filter(F.col("trades") | F.col("mark").isNotNull()).select("portfolio", "symbol", "session", "mark", "quantity")
 
 
 def cash_by_session(fills: DataFrame, initial_cash: float) -> DataFrame:
@@ -167,11 +183,17 @@ def cash_by_session(fills: DataFrame, initial_cash: float) -> DataFrame:
 
 
 def valuations(
-    held: DataFrame, cash: DataFrame, benchmark: DataFrame, initial_cash: float, initial_benchmark: float,
+    held: DataFrame, cash: DataFrame, benchmark: DataFrame, initial_cash: float, initial_benchmark: float, sessions: DataFrame,
 ) -> DataFrame:
-    """Value, exposure and returns per (portfolio, session); missing marks are counted, never guessed."""
+    """Value, exposure and returns per portfolio and session from its first flow on; missing marks are counted, never guessed.
+
+    ``sessions`` are the days to value, one row per trading day; a portfolio that holds nothing is worth its cash."""
     open_rows = F.abs("quantity") >= EPSILON
-    exposure = held.groupBy("portfolio", "session").agg(
+    listed = F.broadcast(sessions.agg(F.array_sort(F.collect_set("session")).alias("days")))
+    days = cash.groupBy("portfolio").agg(F.min("session").alias("first")).crossJoin(listed).select(
+        "portfolio", F.explode(F.filter("days", lambda day: day >= F.col("first"))).alias("session"),
+        F.lit(0.0).alias("quantity"), F.lit(None).cast("double").alias("mark"))
+    exposure = held.select("portfolio", "session", "quantity", "mark").unionByName(days).groupBy("portfolio", "session").agg(
         F.coalesce(F.sum(F.col("quantity") * F.col("mark")), F.lit(0.0)).alias("gross_exposure"),
         F.count_if(open_rows & F.col("mark").isNull()).alias("missing_marks"))
     seen = W.partitionBy("portfolio").orderBy("session").rowsBetween(W.unboundedPreceding, 0)

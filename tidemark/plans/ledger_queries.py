@@ -112,7 +112,7 @@ def book(spark, sf):
 
 def valued(spark, sf):
     bars, _, positions_, cash = book(spark, sf)
-    return ledger.valuations(positions_, cash, d.benchmark_bars(bars), CASH, BENCH)
+    return ledger.valuations(positions_, cash, d.benchmark_bars(bars), CASH, BENCH, marks(bars).select("session"))
 
 
 def valuations(spark, sf):
@@ -135,11 +135,15 @@ def weight_limits(spark, sf):
 
 
 def target_orders(spark, sf):
-    bars, _, positions_, cash = book(spark, sf)
+    bars, fills, positions_, cash = book(spark, sf)
     day = F.to_date(F.lit(DAY))
-    equity = ledger.valuations(positions_, cash, d.benchmark_bars(bars), CASH, BENCH).filter(
+    equity = ledger.valuations(positions_, cash, d.benchmark_bars(bars), CASH, BENCH, marks(bars).select("session")).filter(
         F.col("session") == day).select("portfolio", "portfolio_value")
-    now = positions_.filter(F.col("session") == day).select("portfolio", "symbol", "quantity")
+    # Positions ever held may be targets again, closed ones too, if they trade or have a mark on the day.
+    ever = fills.filter(F.col("session") <= day).groupBy("portfolio", "symbol").agg(
+        F.sum(ledger.signed_quantity()).alias("quantity"), F.max("session").alias("last"))
+    marked = marks(bars).filter(F.col("session") == day).select("symbol", F.lit(True).alias("marked"))
+    now = ever.join(marked, "symbol", "left").filter(F.col("marked") | (F.col("last") == day)).select("portfolio", "symbol", "quantity")
     p, b = F.regexp_extract("portfolio", r"(\d+)$", 1).cast("int"), F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
     targets = now.filter((p + b) % 3 == 0).select("portfolio", "symbol", F.lit(0.08).alias("weight"))
     today = bars.filter((F.col("session") == day) & (F.col("symbol") != "Brand-9")).select("symbol", F.col("open").alias("mark"))
