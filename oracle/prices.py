@@ -36,7 +36,7 @@ SELECT *, {momenta}, {vols}, least(0.0, min(close / peak - 1) OVER ({W} {UP})) A
        count(*) OVER ({W} {UP}) AS bars_seen,
        regr_slope(CASE WHEN paired THEN daily_return END, CASE WHEN paired THEN bench_return END)
          OVER (PARTITION BY symbol ORDER BY pair_number RANGE BETWEEN 62 PRECEDING AND CURRENT ROW) AS beta_63d,
-       CAST(sum(('0x' || substr(md5({BAR_TEXT}), 1, 8))::BIGINT) OVER ({W} {UP}) AS BIGINT) AS input_digest,
+       {' || '.join(LANE.format(first=8 * k + 1) for k in range(8))} AS input_digest,
        max(greatest(available_to_strategy_at, coalesce(bench_available, available_to_strategy_at))) OVER ({W} {UP}) AS created_at,
        min(available_to_strategy_at) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_arrival
 FROM paired{suffix}""", f"paired{suffix}")
@@ -44,6 +44,8 @@ FROM paired{suffix}""", f"paired{suffix}")
 
 BAR_TEXT = ("concat_ws('|', symbol, CAST(session AS VARCHAR), CAST(CAST(round(close * 100000000) AS BIGINT) AS VARCHAR), "
             "CAST(volume AS VARCHAR), strftime(available_to_strategy_at, '%Y-%m-%d %H:%M:%S'), 'raw:v1')")
+#: Sum of one 32-bit lane of every input bar's SHA-256, modulo 2^32.
+LANE = "printf('%08x', CAST(sum(('0x' || substr(sha256(" + BAR_TEXT + "), {first}, 8))::BIGINT) OVER (" + W + " " + UP + ") % 4294967296 AS BIGINT))"
 feature_ctes("", "true")
 feature_ctes("_at", f"available_to_strategy_at <= {DECISION}", f"available_to_strategy_at <= {DECISION}")
 feature_ctes("_thin", "true", "day(session) <> 7")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -80,3 +81,22 @@ def test_bar_rules_name_every_fault(spark):
     assert valid.count() == 1
     assert invalid.first()["violations"] == ["volume_not_negative", "low_is_lowest", "published_before_available"]
     assert quality.duplicate_sessions(good.unionByName(good)).first()["copies"] == 2
+
+
+def test_set_hash_of_a_growing_frame(spark):
+    """Order does not matter; swapped, doubled and altered texts do; the width is that of SHA-256."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.columns import running_set_hash
+
+    groups = {"base": "abc", "turned": "cba", "doubled": "aabc", "altered": "abd", "short": "ab", "long": "abcabc"}
+    rows = [(name, k, letter * 3) for name, letters in groups.items() for k, letter in enumerate(letters)]
+    frame = spark.createDataFrame(rows, "name string, k int, text string")
+    up = Window.partitionBy("name").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    found = {(r["name"], r["k"]): r["h"] for r in frame.select("name", "k", running_set_hash(F.col("text"), up).alias("h")).collect()}
+    last = {name: found[name, len(letters) - 1] for name, letters in groups.items()}
+    assert last["base"] == last["turned"] and len(set(last.values())) == 5
+    assert found["base", 1] == last["short"] and all(len(h) == 64 for h in found.values())
+    lanes = [sum(int(hashlib.sha256(t.encode()).hexdigest()[8 * k:8 * k + 8], 16) for t in ("aaa", "bbb", "ccc")) % 2**32 for k in range(8)]
+    assert last["base"] == "".join(f"{lane:08x}" for lane in lanes)

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 TRADING_DAYS = 252
 ZERO_SPREAD = 1e-15
@@ -79,9 +80,15 @@ def sorted_list_hash(text: Column) -> Column:
     return sha(F.array_join(F.array_sort(F.collect_list(text)), ","))
 
 
-def short_digest(text: Column) -> Column:
-    """First 32 bits of md5 as a bigint; sums of it give an order-free digest of a set."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def running_set_hash(text: Column, window: WindowSpec) -> Column:
+    """Hash of the texts in a window frame as a multiset, 256 bits as hex, whatever their order.
+
+    The eight 32-bit lanes of each text's SHA-256 are added up lane by lane modulo 2^32, so a frame that grows adds one term.
+    Repeated texts count; a group of up to 2^31 rows stays within a bigint.
+    """
+    lane = lambda k: F.conv(F.substring(sha(text), 8 * k + 1, 8), 16, 10).cast("bigint")
+    total = lambda k: F.pmod(F.sum(lane(k)).over(window), F.lit(1 << 32))
+    return F.lower(F.concat(*[F.lpad(F.hex(total(k)), 8, "0") for k in range(8)]))
 
 
 def joined(array: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.columns import (
-    TRADING_DAYS, canonical, dbl, r, scaled, short_digest, sorted_list_hash,
+    TRADING_DAYS, canonical, dbl, r, running_set_hash, scaled, sorted_list_hash,
 )
 from tidemark.operators.quality import eligible
 
@@ -84,6 +84,7 @@ def with_price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
         simple_return().alias("daily_return"),
         simple_return("bench_close").alias("bench_return"),
         F.max(dbl("close")).over(up_to_now()).alias("peak"),
+        bar_text().alias("_bar_text"),
     ).withColumn("paired", F.col("bench_return").isNotNull() & F.col("daily_return").isNotNull()).withColumn(
         "pair_number", F.count_if("paired").over(up_to_now()))
     last_pairs = W.partitionBy("symbol").orderBy("pair_number").rangeBetween(-62, 0)
@@ -96,7 +97,7 @@ def with_price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
         (momentum(63) - momentum(63, "bench_close")).alias("relative_strength_63d"),
         average_dollar_volume().alias("average_dollar_volume_21d"),
         F.count("*").over(up_to_now()).alias("bars_seen"),
-        F.sum(short_digest(bar_text())).over(up_to_now()).alias("input_digest"),
+        running_set_hash(F.col("_bar_text"), up_to_now()).alias("input_digest"),
     ).withColumn("beta_63d", F.regr_slope(pair("daily_return"), pair("bench_return")).over(last_pairs))
 
 
