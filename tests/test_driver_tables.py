@@ -7,7 +7,7 @@ from datetime import datetime
 import duckdb
 
 from oracle.fixtures import with_
-from tidemark.plans import driver_tables
+from tidemark.plans import driver_tables, streaming_queries
 
 ITEM = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_shipdate timestamp_ntz"
 
@@ -33,3 +33,15 @@ def test_prices_and_first_trades_are_those_of_sql(spark, tmp_path):
     assert 65.86 in prices and 74.22 in prices
     (bar,) = driver_tables.bars(spark, folder).select("open", "high", "low", "close").collect()
     assert tuple(bar) == (54.0, 74.22, 53.0, 58.0) == sql.execute(with_("bars", "SELECT open, high, low, close FROM bars")).fetchone()
+
+
+def test_a_late_bar_does_not_delay_its_session(spark, tmp_path):
+    from oracle import all_sql
+
+    # Thirteen trades make a bar late by ten days; the session itself closed on its Friday.
+    items = [(k, 1, 1, 1, 1.0, 1_000.0, 0.0, "N", datetime(1997, 3, 3)) for k in range(13)]
+    items += [(99, 1, 1, 1, 1.0, 1_000.0, 0.0, "N", datetime(1997, 3, 24))]
+    folder, sql = tables(spark, tmp_path, items)
+    found = streaming_queries.stream_completeness(spark, folder).collect()
+    assert [tuple(r) for r in found] == sql.execute(all_sql()["stream_session_completeness"]).fetchall()
+    assert [(r["session"].isoformat(), r["seen"]) for r in found] == [("1997-03-03", 1)]

@@ -65,7 +65,7 @@ def stream_completeness(spark, sf):
     # One listed symbol never traded.
     listed = bars.select("symbol").distinct().groupBy().agg(
         F.array_append(F.array_sort(F.collect_set("symbol")), F.lit("Brand-99")).alias("symbols"))
-    universe = bars.groupBy("session").agg(F.max("available_to_strategy_at").alias("closed_at")).withColumn("symbols", listed.scalar())
+    universe = bars.groupBy("session").agg(F.max("observed_at").alias("closed_at")).withColumn("symbols", listed.scalar())
     # The last ten days of the first part come in two batches: a session is complete only over both.
     split = F.col("available_to_strategy_at") >= cut - F.make_dt_interval(F.lit(10))
     first = (F.col("available_to_strategy_at") < cut) & ~(split & (F.pmod(F.xxhash64("symbol"), F.lit(3)) == 0))
