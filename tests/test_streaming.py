@@ -159,3 +159,15 @@ def test_filters_grow_and_miss_no_id(spark, tmp_path, monkeypatch):
         stored |= fresh
     made = read_batches(spark, f"{store.path}/made", seen.MADE).collect()
     assert max(r["generation"] for r in made) == 2 and sum(r["ids"] for r in made) == 360
+
+
+def test_a_filter_moves_one_word_per_id_and_fits_its_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(seen, "FIRST_BITS", 1 << 10)
+    store = SeenIds(str(tmp_path / "ids"))
+    ids = spark.createDataFrame([(f"id{k}", "c") for k in range(500)], "id string, content string")
+    store.add(ids, 0, store.find(ids.select("id"), 0))
+    words = read_batches(spark, f"{store.path}/words", seen.WORDS)
+    assert words.count() <= 500
+    # A batch larger than the first filter has one of its own size, so new ids of the next are told apart without reading.
+    new = spark.createDataFrame([(f"new{k}",) for k in range(5)], "id string")
+    assert store.find(new, 1).folders == 0

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import joined, r, settled
 from tidemark.plans import driver_tables as d
 from tidemark.plans.prices_queries import with_faults
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, through_table
 from tidemark.streaming import jobs
 from tidemark.streaming.sinks import read_batches
 
@@ -85,7 +85,7 @@ def stream_lifecycle(spark, sf):
 
 def streamed_fills(spark, sf):
     """Fills in two overlapping parts that come out of order: repeats, late fills, and fills whose price has changed."""
-    fills = d.fills(spark, sf)
+    fills = through_table(d.fills(spark, sf), "fills")
     cut = F.lit("1998-07-01").cast("date")
     third = F.pmod(F.xxhash64("fill_id"), F.lit(3))
     changed = fills.filter((F.col("executed_on") >= cut) & (F.col("l_orderkey") % 50 == 0)).withColumn("price", F.col("price") + 1)

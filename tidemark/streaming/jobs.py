@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window as W
 
 from tidemark.operators import ledger, quality, scans
 from tidemark.session import through_table
@@ -179,24 +180,29 @@ def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpo
     """
     names = list(stream.columns)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", content string, day bigint, bucket int, period bigint"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", day bigint, bucket int, period bigint"
     keys = ["portfolio", "symbol"]
     known_ids = SeenIds(f"{out}/ids")
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        content = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
-        came = through_table(batch.select(*names, content.alias("content")).distinct(), "fills-came")
-        found = known_ids.find(came.select(F.col("fill_id").alias("id")), number)
-        first = came.groupBy("fill_id").agg(F.min("content").alias("least")).join(
-            found.stored.select(F.col("id").alias("fill_id"), F.col("content").alias("held")), "fill_id", "left")
-        judged = came.join(first, "fill_id").withColumn("first", F.coalesce("held", "least"))
-        put_batch(judged.filter("content <> first").select(*names), f"{out}/conflicts", number)
+        # Half of a SHA-256, in letters; one shuffle by id serves repeats, the least content and what is held.
+        digest = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+        content = F.base64(F.unhex(F.substring(digest, 1, 32)))
+        found = known_ids.find(batch.select(F.col("fill_id").alias("id")), number)
+        came = batch.select(*names, content.alias("content")).repartition("fill_id").distinct()
+        least = F.min("content").over(W.partitionBy("fill_id"))
+        held = found.stored.select(F.col("id").alias("fill_id"), F.col("content").alias("held"))
+        first = F.coalesce("held", "least")
+        judged = through_table(came.withColumn("least", least).join(held, "fill_id", "left").select(
+            *names, "content", (F.col("content") != first).alias("clashes"), F.col("held").isNull().alias("new")).filter("clashes OR new"), "fills-judged")
+        put_batch(judged.filter("clashes").select(*names), f"{out}/conflicts", number)
         day = _day(stream, order[0])
         bucket = F.pmod(F.xxhash64(*keys), F.lit(FILL_BUCKETS)).cast("int")
-        fresh = judged.filter("held IS NULL AND content = first").select(*names, "content", day.alias("day"), bucket.alias("bucket"))
+        taken = judged.filter("new AND NOT clashes")
+        fresh = taken.select(*names, day.alias("day"), bucket.alias("bucket"))
         fresh.withColumn("period", F.floor(F.col("day") / PERIOD_DAYS)).repartition("bucket", "period").write.mode("overwrite").partitionBy(
-            "bucket", "period").parquet(f"{out}/fills/batch={number}")
+            "bucket", "period").option("compression", "zstd").parquet(f"{out}/fills/batch={number}")
         fills = read_batches(spark, f"{out}/fills", schema, number + 1)
         fresh = fills.filter(F.col("batch") == number)
         known = read_state(spark, f"{out}/state", HELD_STATE, keys, number)
@@ -232,7 +238,7 @@ def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpo
         moved = moved.unionByName(still).join(opened.select(*keys, "closings"), keys).withColumn(
             "closings", F.slice(F.array_append("closings", closing), F.greatest(F.lit(1), F.size("closings") + 2 - CLOSINGS), CLOSINGS))
         put_state(known, moved, f"{out}/state", keys, number)
-        known_ids.add(fresh.select(F.col("fill_id").alias("id"), "content"), number, found)
+        known_ids.add(taken.select(F.col("fill_id").alias("id"), "content"), number, found)
         reads = [(place, None if period is None else int(period)) for place, period in sorted(needs.items())]
         put_batch(spark.createDataFrame(reads, "bucket int, from_period bigint"), f"{out}/reads", number)
 

@@ -1,21 +1,24 @@
 """Identifiers that a stream has stored, with filters that tell which stored ones must be read at all.
 
 Ids lie with their content hash in folders by generation and bucket. Each generation has a Bloom filter, kept as a table of
-64-bit words and written as changes like other state: an id whose words lack one of its bits was never stored. A batch of new
-ids so reads the filters, about two bytes per stored id, and no stored id; ids that may be known read the folders of their own
-buckets. A full generation is followed by one of twice its size, so an id meets few filters however many ids are stored.
+64-bit words and written as changes like other state: an id has all its bits in one word, so a lookup moves one row per id and
+filter, and an id whose word lacks one of them was never stored. A batch of new ids so reads the filters, about four bytes per
+stored id, and few stored ids; ids that may be known read the folders of their own buckets. A full generation is followed by
+one of at least twice its size that the next batch fits in, so an id meets few filters however many ids are stored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.streaming.sinks import put_batch, put_state, read_batches, read_state
 
-#: Bits of the first filter, bits per id, and bits that an id sets: about one new id in 2,000 is looked up in vain.
+#: Size of the first filter, its share per id (half a word takes one), and bits that an id sets in its word: about one new id
+#: in 3,000 is looked up in vain while no generation holds more ids than its size has shares.
 FIRST_BITS, BITS_PER_ID, PROBES = 1 << 22, 16, 8
 #: Folders of a generation.
 BUCKETS = 32
@@ -29,11 +32,12 @@ def _bits(generation: int) -> int:
     return FIRST_BITS << generation
 
 
-def _probes(generation: int) -> Column:
-    """Array of (word, mask) of an id in a generation's filter."""
-    places = [F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(_bits(generation))) for k in range(PROBES)]
-    return F.array(*[F.struct(F.lit(generation).alias("generation"), F.shiftright(p, 6).alias("word"),
-                              F.call_function("shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(F.lit(63)).cast("int")).alias("mask")) for p in places])
+def _probe(generation: int) -> Column:
+    """(generation, word, mask) of an id in a generation's filter."""
+    hashed = F.xxhash64(F.lit(1), "id")
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(hashed, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(PROBES)]
+    return F.struct(F.lit(generation).alias("generation"), F.pmod(F.xxhash64(F.lit(0), "id"), F.lit(_bits(generation) // (2 * BITS_PER_ID))).alias("word"),
+                    reduce(Column.bitwiseOR, bits).alias("mask"))
 
 
 @dataclass(frozen=True)
@@ -64,11 +68,9 @@ class SeenIds:
         if not generations:
             return nothing
         asked = ids.where("id IS NOT NULL").select(F.col("id").cast("string").alias("id")).distinct()
-        probes = asked.select("id", F.explode(F.concat(*[_probes(g) for g in generations])).alias("p")).select("id", "p.*")
+        probes = asked.select(_bucket().alias("bucket"), F.explode(F.array(*[_probe(g) for g in generations])).alias("p")).select("bucket", "p.*")
         words = read_state(spark, f"{self.path}/words", WORDS, ["generation", "word"], batch)
-        maybe = probes.join(words, ["generation", "word"]).where("bits & mask <> 0").groupBy("id", "generation").agg(
-            F.count(F.lit(1)).alias("found")).where(F.col("found") == PROBES)
-        places = maybe.select("generation", _bucket().alias("bucket")).distinct().collect()
+        places = probes.join(words, ["generation", "word"]).where("bits & mask = mask").select("generation", "bucket").distinct().collect()
         if not places:
             return nothing
         by_generation: dict[int, list[int]] = {}
@@ -83,13 +85,16 @@ class SeenIds:
     def add(self, fresh: DataFrame, batch: int, found: Lookup) -> None:
         """Store new ids (id, content), which no earlier batch holds by what `find` said for this one."""
         spark, generations = fresh.sparkSession, found.generations
-        newest = max(generations, default=0)
-        if generations.get(newest, 0) * BITS_PER_ID >= _bits(newest):
-            newest += 1
         named = fresh.where("id IS NOT NULL").select(F.col("id").cast("string").alias("id"), F.col("content").cast("string").alias("content"))
+        newest, count = max(generations, default=0), named.count()
+        room = _bits(newest) // BITS_PER_ID
+        if generations.get(newest, 0) >= room or generations.get(newest, 0) and generations[newest] + count > 2 * room:
+            newest += 1
+        while newest not in generations and count * BITS_PER_ID > _bits(newest):
+            newest += 1
         placed = named.withColumns({"generation": F.lit(newest), "bucket": _bucket()})
-        placed.repartition("bucket").write.mode("overwrite").partitionBy("generation", "bucket").parquet(f"{self.path}/ids/batch={batch}")
-        fresh_words = named.select(F.explode(_probes(newest)).alias("p")).select("p.*").groupBy("generation", "word").agg(F.bit_or("mask").alias("bits"))
+        placed.repartition("bucket").write.mode("overwrite").partitionBy("generation", "bucket").option("compression", "zstd").parquet(f"{self.path}/ids/batch={batch}")
+        fresh_words = named.select(_probe(newest).alias("p")).select("p.*").groupBy("generation", "word").agg(F.bit_or("mask").alias("bits"))
         known = read_state(spark, f"{self.path}/words", WORDS, ["generation", "word"], batch)
         touched = known.join(fresh_words.select("generation", "word"), ["generation", "word"], "left_semi")
         changed = touched.unionByName(fresh_words).groupBy("generation", "word").agg(F.bit_or("bits").alias("bits"))
