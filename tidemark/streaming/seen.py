@@ -2,7 +2,7 @@
 
 Ids lie with their content hash in folders by generation and bucket. Each generation has a Bloom filter, kept as a table of
 64-bit words and written as changes like other state: an id has all its bits in one word, so a lookup moves one row per id and
-filter, and an id whose word lacks one of them was never stored. A batch of new ids so reads the filters, about four bytes per
+filter, and an id whose word lacks one of them was never stored. A batch of new ids so reads the filters, some eight bytes per
 stored id, and few stored ids; ids that may be known read the folders of their own buckets. A full generation is followed by
 one of at least twice its size that the next batch fits in, so an id meets few filters however many ids are stored.
 """
