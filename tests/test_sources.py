@@ -242,3 +242,11 @@ def test_covering_range_of_many_ranges(spark):
         narrow = min(((ends[k] - starts[k], starts[k], ends[k]) for k in fits), default=None)
         assert best[day(a), day(b)] == ((None, None) if narrow is None else (day(int(narrow[1])), day(int(narrow[2]))))
     assert [r["covered"] for r in found.filter("symbol <> 'A'").collect()] == [False, False]
+
+
+def test_responses_are_judged_on_stored_bars(spark):
+    from tidemark.plans import sources_queries
+
+    # Over lazy bars, the check of a response made of keys alone ran once per trade.
+    for query in (sources_queries.rejected_fields, sources_queries.accepted_items, sources_queries.quarantined_responses):
+        assert "l_shipdate" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
