@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import scans
 
@@ -48,3 +49,25 @@ def test_numbering_is_dense_over_the_whole_table(spark):
         got = scans.numbered(df, ["t"], max_group_rows=limit).collect()
         assert sorted(r["sequence"] for r in got) == list(range(1, 301))
         assert [r["t"] for r in sorted(got, key=lambda r: r["sequence"])] == sorted(r["t"] for r in got)
+
+
+def test_no_task_numbers_many_rows(spark):
+    rows = 3 * scans.NUMBERED_ROWS
+    got = scans.numbered(spark.range(rows).selectExpr("id * 7919 % 1500007 as t"), ["t"])
+    parts = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert parts <= 1.3 * scans.NUMBERED_ROWS
+    assert tuple(got.agg(F.min("sequence"), F.max("sequence"), F.count_distinct("sequence")).first()) == (1, rows, rows)
+    assert got.where("sequence > 1").count() == rows - 1
+
+
+def test_groups_that_count_together_only_split(spark, monkeypatch):
+    """Groups are counted by hashes of their keys; where two share one, the table is split and results stay."""
+    data = rows()
+    df = spark.createDataFrame(data, "k string, t int, x int, v string")
+    largest = df.groupBy("k").count().agg(F.max("count")).first()[0]
+    assert not scans.ordered(df, ["k"], ["t"], largest).split
+    monkeypatch.setattr(scans, "SLOTS", 1)
+    group = scans.ordered(df, ["k"], ["t"], largest)
+    assert group.split
+    found = scans.running(group, {"s": ("sum", "x"), "hi": ("max", "x"), "lo": ("min", "x"), "seen": ("last", "v")}).result().collect()
+    assert {(r["k"], r["t"]): (r["s"], r["hi"], r["lo"], r["seen"]) for r in found} == brute(data, False, False)

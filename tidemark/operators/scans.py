@@ -21,6 +21,10 @@ from pyspark.sql.window import Window as W
 from tidemark.session import materialize
 
 MAX_GROUP_ROWS = 4_000_000
+#: Rows of a whole table that one task numbers; more are numbered in stretches of half as many.
+NUMBERED_ROWS = 500_000
+#: Groups are counted by this many hashes of their keys, so that counting moves no keys.
+SLOTS = 1 << 16
 BUCKET = "_stretch"
 KINDS = ("sum", "max", "min", "last")
 
@@ -47,9 +51,11 @@ def ordered(
 ) -> Ordered:
     """Prepare rows for scans. ``order`` must be total inside a group.
 
-    Runs one counting job with map-side combine; only oversized inputs are written and split.
+    Runs one counting job with map-side combine; only oversized inputs are written and split. Groups that share a slot
+    count together, which can only split a table whose groups come near the bound: results are the same.
     """
-    size = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+    size = rows.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
     largest, total = (size[0] or 0), (size[1] or 0)
     if largest <= max_group_rows:
         return Ordered(rows, tuple(keys), tuple(order), False)
@@ -111,7 +117,20 @@ def _combine(kind: str, before: Column, inside: Column) -> Column:
     return (F.greatest if kind == "max" else F.least)(before, inside)
 
 
-def numbered(rows: DataFrame, order: Sequence[str], name: str = "sequence", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Dense numbers 1, 2, ... over the whole table in the given total order."""
-    whole = ordered(rows.withColumn("_all", F.lit(0)), ["_all"], order, max_group_rows)
-    return running(whole, {name: ("sum", F.lit(1).cast("bigint"))}).result().drop("_all")
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "sequence", max_group_rows: int = NUMBERED_ROWS) -> DataFrame:
+    """Dense numbers 1, 2, ... over the whole table in the given total order.
+
+    A larger table is range-partitioned once into sorted stretches and stored; a row's number is its place in its stretch after
+    the rows of earlier stretches, whose counts (one row per stretch) are broadcast."""
+    total = rows.count()
+    if total <= max_group_rows:
+        whole = Ordered(rows.withColumn("_all", F.lit(0)), ("_all",), tuple(order), False)
+        return running(whole, {name: ("sum", F.lit(1).cast("bigint"))}).result().drop("_all")
+    ranged = rows.repartitionByRange(ceil(2 * total / max_group_rows), *order).sortWithinPartitions(*order)
+    # The id holds the stretch above 33 bits and the place in it below.
+    placed = materialize(ranged.withColumn("_id", F.monotonically_increasing_id())).withColumn(BUCKET, F.shiftright("_id", 33))
+    earlier = W.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy(BUCKET).agg(F.count("*").alias("_rows")).select(
+        BUCKET, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(counts), BUCKET).select(*rows.columns, (F.col("_before") + place).alias(name))
