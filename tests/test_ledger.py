@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
 
+SMALL = "/root/testdata/sf0.001"
 FILLS = "portfolio string, symbol string, fill_id string, t int, side string, quantity double, price double, fee double"
 
 
@@ -228,3 +229,42 @@ def test_closed_positions_have_no_rows_until_they_open_again(spark):
     assert len(value) == 12 and [value["P", n] for n in (1, 2, 3, 5, 8, 10)] == [112.0, 114.0, 100.0, 100.0, 113.0, 115.0]
     assert value["Q", 10] == 145.0
     assert ledger.daily_positions(fills.limit(0), marks).isEmpty()
+
+
+def _replayed(events):
+    """Outcome per (number, order, kind) of events (number, kind, order, in time) of frozen sessions, by a plain loop."""
+    first, applied, out = {}, {}, []
+    for seq, kind, order, timely in sorted(events, key=lambda e: (e[0], str(e))):
+        if kind == ledger.QUEUED:
+            if timely and order is not None:
+                first[order] = min(first.get(order, seq), seq)
+            out.append((seq, kind, order, "WRONG_TIME" if not timely else "DUPLICATE" if order is not None and seq > first[order] else "QUEUED"))
+    for seq, kind, order, _ in sorted(events, key=lambda e: (e[0], str(e))):
+        if kind == ledger.RESULT:
+            follows = order in first and seq > first[order]
+            if follows:
+                applied.setdefault(order, seq)
+            out.append((seq, kind, order, "UNQUEUED" if not follows else "DUPLICATE" if seq > applied[order] else "APPLIED"))
+    return sorted(out, key=str)
+
+
+def test_replay_of_repeats_and_ties_in_any_stretch(spark):
+    rng = random.Random(4)
+    orders = ["a", "b", "c", None]
+    events = [(rng.randrange(10, 60), rng.choice([ledger.QUEUED, ledger.RESULT]), rng.choice(orders), rng.random() < 0.8) for _ in range(150)]
+    body = lambda order, timely: json.dumps({"order_id": order, "submitted_at": "t0" if timely else "t1", "status": "FILLED"})
+    log = [(1, ledger.FROZEN, "s", json.dumps({"decision_at": "t0"}))] + [(seq, kind, "s", body(order, timely)) for seq, kind, order, timely in events]
+    table = spark.createDataFrame(log, "sequence bigint, event_type string, entity_id string, payload string")
+    for limit in (10 ** 6, 20):
+        found = ledger.replay(table, max_group_rows=limit).collect()
+        assert sorted(((r["sequence"], r["event_type"], r["order_id"], r["outcome"]) for r in found), key=str) == _replayed(events)
+
+
+def test_replay_moves_events_once(spark):
+    from tidemark.plans import ledger_queries
+
+    plan = ledger_queries.event_replay(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+    # Fills of a replay are stored before positions count and scan them.
+    plan = ledger_queries.replayed_positions(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan.lower() and "jsontostructs" not in plan.lower()

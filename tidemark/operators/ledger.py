@@ -288,36 +288,40 @@ ORDER_PAYLOAD = (
 )
 
 
-def replay(log: DataFrame) -> DataFrame:
+def replay(log: DataFrame, max_group_rows: int = scans.MAX_GROUP_ROWS) -> DataFrame:
     """Outcome of every order event of the log (sequence, event_type, entity_id, payload).
 
     Orders count if their session was frozen before and they carry its decision time; results count
     if their order was queued before. The first event of an order counts, repeats are flagged. Events
-    are placed against their session once and stored; firsts are map-side combined minima, so an
-    order repeated very often stays cheap.
+    are parsed and placed against their session once and stored, with the payloads of results, whose fills
+    are read from them. Firsts are running minima over one exchange by order, in split scans for an order
+    repeated very often.
     """
     field = lambda name: F.get_json_object("payload", f"$.{name}")
-    frozen = log.filter(F.col("event_type") == FROZEN).groupBy("entity_id").agg(
-        F.min(F.struct("sequence", field("decision_at").alias("decision_at"))).alias("frozen"))
-    events = log.filter(F.col("event_type").isin(QUEUED, RESULT)).withColumn("order_id", field("order_id"))
+    frozen = through_table(log.filter(F.col("event_type") == FROZEN).groupBy("entity_id").agg(
+        F.min(F.struct("sequence", field("decision_at").alias("decision_at"))).alias("frozen")), "frozen-sessions")
+    events = log.filter(F.col("event_type").isin(QUEUED, RESULT)).select(
+        "*", F.json_tuple("payload", "order_id", "submitted_at").alias("order_id", "submitted_at"))
     before = F.coalesce(F.col("frozen.sequence") < F.col("sequence"), F.lit(False))
     state = (
         F.when(F.col("event_type") == RESULT, "RESULT").when(~before, "NOT_FROZEN")
-        .when(F.coalesce(field("submitted_at") == F.col("frozen.decision_at"), F.lit(False)), "QUEUED")
+        .when(F.coalesce(F.col("submitted_at") == F.col("frozen.decision_at"), F.lit(False)), "QUEUED")
         .otherwise("WRONG_TIME"))
     placed = through_table(events.join(frozen, "entity_id", "left").select(
-        "sequence", "event_type", "order_id", "payload", state.alias("state")), "replay")
-    accepted = placed.filter("state = 'QUEUED'").groupBy("order_id").agg(F.min("sequence").alias("accepted_at"))
-    known = placed.join(accepted, "order_id", "left")
-    follows = (F.col("state") == "RESULT") & (F.col("sequence") > F.col("accepted_at"))
-    applied = known.filter(follows).groupBy("order_id").agg(F.min("sequence").alias("applied_at"))
+        "sequence", "event_type", "order_id", state.alias("state"),
+        F.when(F.col("event_type") == RESULT, F.col("payload")).alias("payload")), "replay")
+    # Comparisons with a running minimum are strict, so the order of events of one number does not matter.
+    group = scans.ordered(placed, ["order_id"], ["sequence"], max_group_rows)
+    group = scans.running(group, {"accepted_at": ("min", F.when(F.col("state") == "QUEUED", F.col("sequence")))})
+    follows = F.coalesce((F.col("state") == "RESULT") & F.col("order_id").isNotNull() & (F.col("sequence") > F.col("accepted_at")), F.lit(False))
+    group = group.with_rows(group.rows.withColumn("follows", follows))
+    known = scans.running(group, {"applied_at": ("min", F.when(F.col("follows"), F.col("sequence")))}).result()
+    repeated = F.col("order_id").isNotNull() & (F.col("sequence") > F.col("accepted_at"))
     outcome = (
-        F.when((F.col("state") == "QUEUED") & (F.col("sequence") > F.col("accepted_at")), "DUPLICATE")
-        .when(F.col("state") != "RESULT", F.col("state"))
-        .when(~F.coalesce(follows, F.lit(False)), "UNQUEUED")
+        F.when((F.col("state") == "QUEUED") & repeated, "DUPLICATE")
+        .when(F.col("state") != "RESULT", F.col("state")).when(~F.col("follows"), "UNQUEUED")
         .when(F.col("sequence") > F.col("applied_at"), "DUPLICATE").otherwise("APPLIED"))
-    return known.join(applied, "order_id", "left").select(
-        "sequence", "event_type", "order_id", outcome.alias("outcome"), "payload")
+    return known.select("sequence", "event_type", "order_id", outcome.alias("outcome"), "payload")
 
 
 def replayed_fills(outcomes: DataFrame) -> DataFrame:

@@ -162,27 +162,30 @@ def portfolio_hashes(spark, sf):
 def replay_log(spark, sf):
     """Session, order and result events of every fill, with late, repeated and unknown ones planted.
 
-    Stored once, as an event log is; the replay reads it per event type.
+    Stored once, as an event log is: fills are read and joined once and each gives its events; sessions come from them.
     """
     fills = d.fills(spark, sf)
     key, day = F.col("l_orderkey"), F.unix_date("executed_on").cast("bigint") * 1000
-    entity = F.concat_ws(":", "portfolio", F.col("executed_on").cast("string"))
-    frozen = fills.filter("portfolio <> 'P9'").select("portfolio", "executed_on").distinct().select(
-        (F.unix_date("executed_on").cast("bigint") * 1000 + F.when(F.col("portfolio") == "P7", 120).otherwise(0)).alias("sequence"),
-        F.lit(ledger.FROZEN).alias("event_type"), entity.alias("entity_id"),
-        F.to_json(F.struct(F.col("executed_on").cast("string").alias("decision_at"))).alias("payload"))
     stamp = F.when(key % 37 == 0, F.date_add("executed_on", 1)).otherwise(F.col("executed_on")).cast("string")
     body = F.to_json(F.struct(
         F.col("fill_id").alias("order_id"), "portfolio", "symbol", "side", "quantity", "price", "fee",
         stamp.alias("submitted_at"), F.when(key % 29 == 0, "REJECTED").otherwise("FILLED").alias("status")))
 
-    def events(rows, kind, offset):
-        return rows.select((day + offset).alias("sequence"), F.lit(kind).alias("event_type"), entity.alias("entity_id"), body.alias("payload"))
-
-    log = (
-        frozen.unionByName(events(fills, ledger.QUEUED, 100)).unionByName(events(fills.filter(key % 41 == 0), ledger.QUEUED, 150))
-        .unionByName(events(fills, ledger.RESULT, 200)).unionByName(events(fills.filter(key % 43 == 0), ledger.RESULT, 250)))
-    return through_table(log, "event-log", ("event_type",))
+    def event(kind, offset):
+        return F.struct((day + offset).alias("sequence"), F.lit(kind).alias("event_type"))
+
+    events = F.array_compact(F.array(
+        event(ledger.QUEUED, 100), F.when(key % 41 == 0, event(ledger.QUEUED, 150)),
+        event(ledger.RESULT, 200), F.when(key % 43 == 0, event(ledger.RESULT, 250))))
+    entity = F.concat_ws(":", "portfolio", F.col("executed_on").cast("string")).alias("entity_id")
+    of_orders = through_table(
+        fills.select("portfolio", "executed_on", entity, body.alias("payload"), F.explode(events).alias("event")).select(
+            "portfolio", "executed_on", "event.sequence", "event.event_type", "entity_id", "payload"), "event-log")
+    frozen = of_orders.filter("portfolio <> 'P9'").select("portfolio", "executed_on").distinct().select(
+        (F.unix_date("executed_on").cast("bigint") * 1000 + F.when(F.col("portfolio") == "P7", 120).otherwise(0)).alias("sequence"),
+        F.lit(ledger.FROZEN).alias("event_type"), entity,
+        F.to_json(F.struct(F.col("executed_on").cast("string").alias("decision_at"))).alias("payload"))
+    return frozen.unionByName(of_orders.select(*frozen.columns))
 
 
 def event_replay(spark, sf):
@@ -190,7 +193,7 @@ def event_replay(spark, sf):
 
 
 def replayed_positions(spark, sf):
-    fills = ledger.replayed_fills(ledger.replay(replay_log(spark, sf)))
+    fills = through_table(ledger.replayed_fills(ledger.replay(replay_log(spark, sf))), "replayed-fills")
     return position_columns(ledger.positions(fills, ("sequence", "fill_id")))
 
 
