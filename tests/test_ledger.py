@@ -268,3 +268,14 @@ def test_replay_moves_events_once(spark):
     # Fills of a replay are stored before positions count and scan them.
     plan = ledger_queries.replayed_positions(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan.lower() and "jsontostructs" not in plan.lower()
+
+
+def test_a_book_joins_its_fills_once(spark):
+    from tidemark.plans import ledger_queries
+
+    relations = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate#")
+    scan = relations(spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_shipdate"))
+    assert scan and relations(ledger_queries.target_orders(spark, SMALL)) == 0
+    # Buys alone are read besides, and meet one table.
+    plan = ledger_queries.weight_limits(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Relation" in line and "l_shipdate#" in line]) == 1 and plan.count("Join ") == 3

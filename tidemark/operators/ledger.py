@@ -143,6 +143,15 @@ def cash_ledger(
 
 # ------------------------------------------------------------------ valuation
 
+def session_flows(fills: DataFrame) -> DataFrame:
+    """(portfolio, symbol, session, delta, flow): quantity and cash that the fills of a session move.
+
+    Bounded by portfolios, symbols and sessions. The functions below take fills or, where several read them, this table."""
+    if {"delta", "flow"} <= set(fills.columns):
+        return fills
+    return fills.groupBy("portfolio", "symbol", "session").agg(F.sum(signed_quantity()).alias("delta"), F.sum(cash_effect()).alias("flow"))
+
+
 def open_sessions(fills: DataFrame, calendar: DataFrame) -> DataFrame:
     """(portfolio, symbol, session, quantity, trades): a row per session in which a position trades or is open.
 
@@ -151,7 +160,7 @@ def open_sessions(fills: DataFrame, calendar: DataFrame) -> DataFrame:
     over the calendar: a closed position has no rows until it is opened again.
     """
     keys = ["portfolio", "symbol", "session"]
-    flows = fills.groupBy(*keys).agg(F.sum(signed_quantity()).alias("delta"))
+    flows = session_flows(fills).select(*keys, "delta")
     days = calendar.select("session").distinct()
     numbered = F.broadcast(days.withColumn("day", F.row_number().over(W.orderBy("session"))))
     listed = F.broadcast(days.agg(F.array_sort(F.collect_list("session")).alias("days")))
@@ -177,7 +186,7 @@ def daily_positions(fills: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def cash_by_session(fills: DataFrame, initial_cash: float) -> DataFrame:
-    flows = fills.groupBy("portfolio", "session").agg(F.sum(cash_effect()).alias("flow"))
+    flows = session_flows(fills).groupBy("portfolio", "session").agg(F.sum("flow").alias("flow"))
     seen = W.partitionBy("portfolio").orderBy("session").rowsBetween(W.unboundedPreceding, 0)
     return flows.select("portfolio", "session", "flow", (initial_cash + F.sum("flow").over(seen)).alias("cash"))
 
@@ -233,9 +242,10 @@ def weight_limit(
     worth = worth.withColumn("unmarked", F.coalesce(F.sum("change").over(earlier), F.lit(0)) - F.col("marked"))
     equity = worth.join(cash, ["portfolio", "session"], "left").withColumn(
         "equity_before", F.when(F.col("unmarked") == 0, F.col("held_value") + F.coalesce(F.col("cash") - F.col("flow"), F.lit(initial_cash))))
-    rows = buys.filter("side = 'BUY'").join(
-        opened.select("portfolio", "symbol", "session", "before", "mark"), ["portfolio", "symbol", "session"]).join(
+    # What a buy is judged by is one small table, so that buys, which have no bound, move once.
+    judged = opened.select("portfolio", "symbol", "session", "before", "mark").join(
         equity.select("portfolio", "session", "equity_before", "unmarked"), ["portfolio", "session"])
+    rows = buys.filter("side = 'BUY'").join(through_table(judged, "judged-positions"), ["portfolio", "symbol", "session"])
     weight = F.try_divide((F.col("before") + F.col("quantity")) * F.col("mark"), F.col("equity_before"))
     return rows.select(
         "order_id", "portfolio", "symbol", "session", weight.alias("weight"),

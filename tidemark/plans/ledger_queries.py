@@ -105,9 +105,10 @@ def cash_ledger(spark, sf):
 
 
 def book(spark, sf):
+    """Bars, flows per session, positions and cash; fills are read and joined once, for the flows."""
     bars = d.stored_bars(spark, sf)
-    fills = with_session(d.fills(spark, sf))
-    return bars, fills, ledger.daily_positions(fills, marks(bars)), ledger.cash_by_session(fills, CASH)
+    flows = through_table(ledger.session_flows(with_session(d.fills(spark, sf))), "session-flows")
+    return bars, flows, ledger.daily_positions(flows, marks(bars)), ledger.cash_by_session(flows, CASH)
 
 
 def valued(spark, sf):
@@ -135,13 +136,13 @@ def weight_limits(spark, sf):
 
 
 def target_orders(spark, sf):
-    bars, fills, positions_, cash = book(spark, sf)
+    bars, flows, positions_, cash = book(spark, sf)
     day = F.to_date(F.lit(DAY))
     equity = ledger.valuations(positions_, cash, d.benchmark_bars(bars), CASH, BENCH, marks(bars).select("session")).filter(
         F.col("session") == day).select("portfolio", "portfolio_value")
     # Positions ever held may be targets again, closed ones too, if they trade or have a mark on the day.
-    ever = fills.filter(F.col("session") <= day).groupBy("portfolio", "symbol").agg(
-        F.sum(ledger.signed_quantity()).alias("quantity"), F.max("session").alias("last"))
+    ever = flows.filter(F.col("session") <= day).groupBy("portfolio", "symbol").agg(
+        F.sum("delta").alias("quantity"), F.max("session").alias("last"))
     marked = marks(bars).filter(F.col("session") == day).select("symbol", F.lit(True).alias("marked"))
     now = ever.join(marked, "symbol", "left").filter(F.col("marked") | (F.col("last") == day)).select("portfolio", "symbol", "quantity")
     p, b = F.regexp_extract("portfolio", r"(\d+)$", 1).cast("int"), F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
