@@ -261,6 +261,22 @@ def test_benchmark_in_several_spaces(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k, _ in items[::3]}
 
 
+def test_spaces_are_fitted_on_every_part_and_no_sample(monkeypatch):
+    """Products in the space are those of the TF-IDF vectors themselves, whatever words the documents repeat."""
+    rng = np.random.default_rng(5)
+    items = [(k, text.token_hashes(" ".join(f"w{j}" for j in rng.integers(0, 300, 30)))) for k in range(40)]
+    table = np.zeros(1 << text.TABLE_BITS, np.int64)
+    table[:] = rng.integers(0, 900, len(table))
+    idf = text.inverse_frequency(table, 1000)
+    monkeypatch.setattr(decontamination, "SPACE_PARTS", 16)
+    parts = decontamination.item_parts(items, table, idf)
+    spaces = decontamination.fitted_spaces(parts, idf)
+    assert sum(len(s.parts) for s in spaces) == len(parts) == 40
+    for space in spaces:
+        exact = space.part_rows() * space.idf
+        assert np.abs(space.latent @ space.words.T - exact).max() < 1e-5
+
+
 def test_the_latent_space_selects_the_candidates(spark, monkeypatch):
     """Without directions in the space nothing is a candidate, in the query and in the stage."""
     rng = random.Random(3)
