@@ -100,10 +100,11 @@ def running(
         (pick(value, F.when(value.isNotNull(), position)) if kind == "last" else getattr(F, kind)(value)).alias(f"_all_{name}")
         for name, (kind, value) in values.items()])
     before = W.partitionBy(*group.keys).orderBy(turn(BUCKET)).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(*keys, *[
+    # Rows of a null key are a group as in a window, so keys meet null-safely.
+    carried = totals.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[
         _window_value(kind, F.col(f"_all_{name}"), before).alias(f"_before_{name}")
         for name, (kind, _) in values.items()])
-    joined = scanned.join(carried, keys)
+    joined = scanned.join(carried, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
     return group.with_rows(joined.select(*group.rows.columns, *[
         _combine(kind, F.col(f"_before_{name}"), F.col(f"_in_{name}")).alias(name)
         for name, (kind, _) in values.items()]))
