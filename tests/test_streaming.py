@@ -171,3 +171,29 @@ def test_a_filter_moves_one_word_per_id_and_fits_its_batch(spark, tmp_path, monk
     # A batch larger than the first filter has one of its own size, so new ids of the next are told apart without reading.
     new = spark.createDataFrame([(f"new{k}",) for k in range(5)], "id string")
     assert store.find(new, 1).folders == 0
+
+
+def test_repeats_move_whole_rows_once_and_a_few_words_tell_known_buckets(spark, tmp_path, monkeypatch):
+    """What a batch judges is written once, as the stored fills, and its shuffles take no more than two moves of the rows."""
+    fills = [("P", f"S{k % 5}", f"f{k}", k, "BUY" if k % 3 else "SELL", 2.0 + k % 3, 10.0 + k, 0.1) for k in range(400)]
+    changed = [(*row[:6], 99.0, 0.1) for row in fills[::40]]
+    parts = [spark.createDataFrame(fills[:300], FILL), spark.createDataFrame(fills[100:] + changed, FILL)]
+    asked = []
+    hits = seen._hits
+    monkeypatch.setattr(seen, "_hits", lambda probes, words: asked.append(hits(probes, words)) or asked[-1])
+    monkeypatch.setattr(seen, "BUCKETS", 2)
+    monkeypatch.setattr(seen, "FIRST_OF", 2)
+    tables = []
+    through = jobs.through_table
+    monkeypatch.setattr(jobs, "through_table", lambda df, name: tables.append(name) or through(df, name))
+    out = drain(spark, parts, lambda s, o, c: jobs.running_positions(s, ("t",), o, c))
+    assert "fills-judged" not in tables
+    # The first words asked name both buckets, so that the others are not asked.
+    assert asked == [{(0, 0), (0, 1)}]
+    found = spark.read.parquet(f"{out}/fills").filter("NOT clashes").collect()
+    assert sorted(r["fill_id"] for r in found) == sorted(row[2] for row in fills)
+    assert sorted(r["fill_id"] for r in read_batches(spark, f"{out}/conflicts", FILL).collect()) == sorted(row[2] for row in changed)
+    right = {r["symbol"]: r for r in ledger.positions(spark.createDataFrame(fills, FILL), ["t"]).collect()}
+    for row in jobs.latest_state(spark, out, jobs.HELD_STATE, ("portfolio", "symbol")).collect():
+        assert [row[c] for c in ("fills", "oversold_by")] == [right[row["symbol"]][c] for c in ("fills", "oversold_by")]
+        assert row["cost_basis"] == pytest.approx(right[row["symbol"]]["cost_basis"], rel=1e-9)

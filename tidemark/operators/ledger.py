@@ -77,7 +77,7 @@ def cash_effect() -> Column:
 
 def positions(
     fills: DataFrame, order: Sequence[str], keys: Sequence[str] = ("portfolio", "symbol"),
-    fill_id: str = "fill_id", max_group_rows: int = scans.MAX_GROUP_ROWS,
+    fill_id: str | None = "fill_id", max_group_rows: int = scans.MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Quantity, cost basis and realised result per position at average cost.
 
@@ -85,18 +85,18 @@ def positions(
     basis is the product of what later sells left over; only fills after the last flat point count.
     What the basis does not keep has been relieved, which gives the realised result. A position
     stops at its first sale of more than is held; that fill is named and later ones are left out,
-    and ``left_out`` counts them with it.
+    and ``left_out`` counts them with it. Without ``fill_id``, ``first_short`` tells its place in the order instead of its name.
 
-    Quantities, money and the logarithms of what is left over are summed as decimals: flat and short
+    Rows move once, before amounts are added to them. Quantities, money and the logarithms of what is left over are summed as decimals: flat and short
     are tested against zero, and the result does not depend on how a group is split.
     """
     keys = list(keys)
-    group = scans.ordered(
-        fills.withColumn("signed", signed_quantity().cast(AMOUNT)).withColumn("cash", cash_effect().cast(AMOUNT)),
-        keys, order, max_group_rows)
+    group = scans.ordered(fills, keys, order, max_group_rows)
+    rows = group.rows if group.split else group.rows.repartition(*keys)
+    group = group.with_rows(rows.withColumn("signed", signed_quantity().cast(AMOUNT)).withColumn("cash", cash_effect().cast(AMOUNT)))
     group = scans.running(group, {"held": ("sum", "signed")})
     short = F.col("held") < 0
-    place = F.struct(*order, F.col(fill_id).alias("_fill"))
+    place = F.struct(*order, F.col(fill_id).alias("_fill")) if fill_id else F.struct(*order)
     group = scans.running(group.with_rows(group.rows.withColumn("short", short.cast("int"))), {"broken": ("max", "short")})
     counted = group.rows.withColumn("valid", F.col("broken") == 0)
     before = F.col("held") - F.col("signed")
@@ -118,7 +118,7 @@ def positions(
         F.min(F.when(F.col("short") == 1, place)).alias("first_short"))
     return summed.select(
         *keys, "fills", "quantity", "cost_basis", (F.col("cash_flow") + F.col("cost_basis")).alias("realized_pnl"),
-        F.col("first_short._fill").alias("oversold_by"), "left_out")
+        F.col("first_short._fill").alias("oversold_by") if fill_id else F.col("first_short"), "left_out")
 
 
 def account_view(held: DataFrame) -> DataFrame:

@@ -14,17 +14,45 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import joined, r, settled
 from tidemark.plans import driver_tables as d
 from tidemark.plans.prices_queries import with_faults
-from tidemark.session import scratch_path, through_table
+from tidemark.session import scratch_path
 from tidemark.streaming import jobs
 from tidemark.streaming.sinks import read_batches
 
 
 def drain(spark, parts: list[DataFrame], start: Callable[[DataFrame, str, str], object]) -> str:
     """Land the parts in turn and run the job after each; returns the output path."""
+    def land(part: DataFrame) -> Callable[[str], None]:
+        return lambda landing: part.write.mode("append").option("compression", "zstd").parquet(landing)
+
+    return _drained(spark, [(part.schema, land(part)) for part in parts], start)
+
+
+def drain_deliveries(spark, rows: DataFrame, parts: int, start: Callable[[DataFrame, str, str], object]) -> str:
+    """Like ``drain`` for the rows of the parts 0, 1, ... named in column ``part``: all are written at once, by part, and a
+    part's files move to the landing folder in their turn."""
+    waiting = scratch_path(spark, "deliveries")
+    rows.write.partitionBy("part").option("compression", "zstd").parquet(waiting)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def move(part: int) -> Callable[[str], None]:
+        def arrive(landing: str) -> None:
+            folder, to = hadoop.Path(f"{waiting}/part={part}"), hadoop.Path(landing)
+            files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            files.mkdirs(to)
+            for status in files.listStatus(folder) if files.exists(folder) else ():
+                if not files.rename(status.getPath(), hadoop.Path(to, f"{part}-{status.getPath().getName()}")):
+                    raise OSError(f"{status.getPath()} did not move to {landing}")
+        return arrive
+
+    schema = rows.drop("part").schema
+    return _drained(spark, [(schema, move(part)) for part in range(parts)], start)
+
+
+def _drained(spark, arrivals: list, start: Callable[[DataFrame, str, str], object]) -> str:
     landing, out, checkpoint = (scratch_path(spark, name) for name in ("landing", "stream-out", "stream-checkpoint"))
-    for part in parts:
-        part.write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(part.schema).parquet(landing)
+    for schema, arrive in arrivals:
+        arrive(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
         start(stream, out, checkpoint).awaitTermination()
     return out
 
@@ -85,13 +113,16 @@ def stream_lifecycle(spark, sf):
 
 def streamed_fills(spark, sf):
     """Fills in two overlapping parts that come out of order: repeats, late fills, and fills whose price has changed."""
-    fills = through_table(d.fills(spark, sf), "fills")
+    fills = d.fills(spark, sf)
     cut = F.lit("1998-07-01").cast("date")
     third = F.pmod(F.xxhash64("fill_id"), F.lit(3))
-    changed = fills.filter((F.col("executed_on") >= cut) & (F.col("l_orderkey") % 50 == 0)).withColumn("price", F.col("price") + 1)
-    parts = [fills.filter((F.col("executed_on") >= cut) | (third == 0)),
-             fills.filter((F.col("executed_on") < cut) | (third == 1)).unionByName(changed)]
-    return drain(spark, parts, lambda stream, path, checkpoint: jobs.running_positions(stream, d.FILL_ORDER, path, checkpoint)), fills.schema
+    after, price = F.col("executed_on") >= cut, F.col("price")
+    copy = lambda when, part, price: F.when(when, F.struct(F.lit(part).alias("part"), price.alias("price")))
+    copies = F.array_compact(F.array(
+        copy(after | (third == 0), 0, price), copy((F.col("executed_on") < cut) | (third == 1), 1, price),
+        copy(after & (F.col("l_orderkey") % 50 == 0), 1, price + 1)))
+    rows = fills.withColumn("copy", F.explode(copies)).select(*[F.col("copy.price") if c == "price" else F.col(c) for c in fills.columns], "copy.part")
+    return drain_deliveries(spark, rows, 2, lambda stream, path, checkpoint: jobs.running_positions(stream, d.FILL_ORDER, path, checkpoint)), fills.schema
 
 
 def stream_positions(spark, sf):

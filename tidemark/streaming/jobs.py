@@ -8,6 +8,7 @@ Counters use event-time windows with a watermark.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,8 +158,8 @@ CLOSING_LIST = (
 HELD_STATE = f"{POSITION_STATE}, closings {CLOSING_LIST}"
 #: Closings kept per position; a fill older than all of them has its position computed anew from its first fill.
 CLOSINGS = 12
-#: Stored fills lie by bucket of position and by period of days.
-FILL_BUCKETS, PERIOD_DAYS = 4, 91
+#: Stored fills lie by bucket of position and by span of some periods of days, and in a file by day.
+FILL_BUCKETS, PERIOD_DAYS, SPAN_PERIODS = 4, 91, 4
 
 
 def _day(stream: DataFrame, column: str) -> Column:
@@ -174,36 +175,42 @@ def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpo
     A fill id that comes again with the same content changes nothing; with other content it goes to out/conflicts, and the
     one stored first stays (within a batch the least). A position keeps what it was at the end of some days. A batch goes
     on from the last of these before its earliest fill: it reads the fills since then, in the folders of its own buckets and
-    later periods, and closings that a late fill has overtaken are dropped. Average cost makes what a fill adds depend on
+    later spans and there by day, and closings that a late fill has overtaken are dropped. Average cost makes what a fill adds depend on
     what was held before it, so days after a late fill are computed again; days before it are not read. A closing that is
-    oversold stays as it is. Nothing older than the folders named in out/reads is read.
+    oversold stays as it is. Nothing older than the periods named in out/reads is read.
+
+    Whole rows move twice: by id, where they are judged and written, and by position, then without their id; the one that
+    a position is oversold by is looked up by its place. A batch's shuffle files go as each step ends.
     """
     names = list(stream.columns)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", day bigint, bucket int, period bigint"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", day bigint, clashes boolean, bucket int, span bigint"
     keys = ["portfolio", "symbol"]
     known_ids = SeenIds(f"{out}/ids")
+    # 72 bits of a SHA-256, in letters: only contents of one id are compared.
+    digest = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    content = F.base64(F.unhex(F.substring(digest, 1, 18)))
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        # Half of a SHA-256, in letters; one shuffle by id serves repeats, the least content and what is held.
-        digest = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
-        content = F.base64(F.unhex(F.substring(digest, 1, 32)))
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        # One shuffle by id, of nothing but the rows, serves repeats, the least content and what is held; what it judges is
+        # written once, as the stored fills, from which conflicts, ids and positions are read.
         found = known_ids.find(batch.select(F.col("fill_id").alias("id")), number)
-        came = batch.select(*names, content.alias("content")).repartition("fill_id").distinct()
+        came = batch.select(*names).repartition("fill_id").withColumn("content", content).distinct()
         least = F.min("content").over(W.partitionBy("fill_id"))
-        held = found.stored.select(F.col("id").alias("fill_id"), F.col("content").alias("held"))
+        held = found.read.select(F.col("id").alias("fill_id"), F.col("content").alias("held"))
         first = F.coalesce("held", "least")
-        judged = through_table(came.withColumn("least", least).join(held, "fill_id", "left").select(
-            *names, "content", (F.col("content") != first).alias("clashes"), F.col("held").isNull().alias("new")).filter("clashes OR new"), "fills-judged")
-        put_batch(judged.filter("clashes").select(*names), f"{out}/conflicts", number)
-        day = _day(stream, order[0])
+        judged = came.withColumn("least", least).join(held, "fill_id", "left").select(
+            *names, (F.col("content") != first).alias("clashes"), F.col("held").isNull().alias("new")).filter("clashes OR new")
         bucket = F.pmod(F.xxhash64(*keys), F.lit(FILL_BUCKETS)).cast("int")
-        taken = judged.filter("new AND NOT clashes")
-        fresh = taken.select(*names, day.alias("day"), bucket.alias("bucket"))
-        fresh.withColumn("period", F.floor(F.col("day") / PERIOD_DAYS)).repartition("bucket", "period").write.mode("overwrite").partitionBy(
-            "bucket", "period").option("compression", "zstd").parquet(f"{out}/fills/batch={number}")
-        fills = read_batches(spark, f"{out}/fills", schema, number + 1)
+        placed = judged.select(*names, _day(stream, order[0]).alias("day"), "clashes", bucket.alias("bucket")).withColumn(
+            "span", F.floor(F.col("day") / (PERIOD_DAYS * SPAN_PERIODS)))
+        placed.sortWithinPartitions("clashes", "bucket", "span", "day", *order).write.mode("overwrite").partitionBy(
+            "clashes", "bucket", "span").option("compression", "zstd").parquet(f"{out}/fills/batch={number}")
+        stored = read_batches(spark, f"{out}/fills", schema, number + 1)
+        put_batch(stored.filter(F.col("clashes") & (F.col("batch") == number)).select(*names), f"{out}/conflicts", number)
+        fills = stored.filter("NOT clashes")
         fresh = fills.filter(F.col("batch") == number)
         known = read_state(spark, f"{out}/state", HELD_STATE, keys, number)
         touched = fresh.groupBy(*keys).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.min("bucket").alias("bucket"))
@@ -216,17 +223,23 @@ def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpo
             F.when(F.bool_and(F.col("opening").isNotNull()), F.floor(F.min(F.col("opening.day") + 1) / PERIOD_DAYS)).alias("period")).collect()}
         wanted = F.lit(False)
         for place, period in needs.items():
-            wanted = wanted | ((F.col("bucket") == place) & (F.col("period") >= period if period is not None else F.lit(True)))
-        stored = fills.filter((F.col("batch") < number) & wanted)
+            since = F.lit(True) if period is None else (F.col("span") >= period // SPAN_PERIODS) & (F.col("day") >= period * PERIOD_DAYS)
+            wanted = wanted | ((F.col("bucket") == place) & since)
+        earlier = fills.filter((F.col("batch") < number) & wanted)
         going = opened.filter("opening.oversold_by IS NULL").select(*keys, "opening")
         later = F.col("opening").isNull() | (F.col("day") > F.col("opening.day"))
-        work = stored.select(*names, "day").unionByName(fresh.select(*names, "day")).join(going, keys).filter(later)
+        work = earlier.select(*names, "day").unionByName(fresh.select(*names, "day")).join(going, keys).filter(later)
         last = work.groupBy(*keys).agg(F.max("day").alias("day"))
         # What was held comes first, as one purchase at its cost.
         carried = {"side": F.lit("BUY"), "quantity": F.col("opening.quantity").cast("double"), "fee": F.lit(0.0),
                    "price": F.col("opening.cost_basis") / F.col("opening.quantity").cast("double"), **{k: F.col(k) for k in keys}}
         carries = going.filter("opening.quantity > 0").select(*[carried.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in names])
-        moved = ledger.positions(work.select(*names).unionByName(carries), order, keys).join(last, keys).join(going, keys)
+        parts = list(dict.fromkeys([*keys, *order, "side", "quantity", "price", "fee"]))
+        summed = through_table(ledger.positions(work.select(*parts).unionByName(carries.select(*parts)), order, keys, fill_id=None), "summed-positions")
+        short = summed.filter("first_short IS NOT NULL").select(*[F.col(k).alias(f"_{k}") for k in keys], "first_short")
+        at = reduce(Column.__and__, [F.col(k) == F.col(f"_{k}") for k in keys], F.struct(*order).eqNullSafe(F.col("first_short")))
+        oversold = work.join(short, at).groupBy(*keys).agg(F.min(F.struct("fill_id"))["fill_id"].alias("oversold_by"))
+        moved = summed.join(oversold, keys, "left").join(last, keys).join(going, keys)
         then = lambda c: F.coalesce(F.col(f"opening.{c}"), F.lit(0))
         moved = moved.select(
             *keys, (F.col("fills") + then("fills") - (then("quantity") > 0).cast("bigint")).alias("fills"), "quantity", "cost_basis",
@@ -238,7 +251,7 @@ def running_positions(stream: DataFrame, order: Sequence[str], out: str, checkpo
         moved = moved.unionByName(still).join(opened.select(*keys, "closings"), keys).withColumn(
             "closings", F.slice(F.array_append("closings", closing), F.greatest(F.lit(1), F.size("closings") + 2 - CLOSINGS), CLOSINGS))
         put_state(known, moved, f"{out}/state", keys, number)
-        known_ids.add(taken.select(F.col("fill_id").alias("id"), "content"), number, found)
+        known_ids.add(fresh.select(F.col("fill_id").alias("id"), content.alias("content")), number, found)
         reads = [(place, None if period is None else int(period)) for place, period in sorted(needs.items())]
         put_batch(spark.createDataFrame(reads, "bucket int, from_period bigint"), f"{out}/reads", number)
 
