@@ -277,6 +277,47 @@ def test_spaces_are_fitted_on_every_part_and_no_sample(monkeypatch):
         assert np.abs(space.latent @ space.words.T - exact).max() < 1e-5
 
 
+@pytest.mark.parametrize("chunk", [120, 200_000])
+def test_spaces_are_fitted_on_every_passage_of_every_document(spark, monkeypatch, chunk):
+    """The sums over passages equal those of the matrix of all passages; what is left beside the parts is where documents vary."""
+    monkeypatch.setattr(decontamination, "CHUNK", chunk)
+    rng = random.Random(17)
+    items = [(k, " ".join(rng.sample(WORDS, 20))) for k in range(3)]
+    texts = [" ".join(rng.choice(WORDS + ["other", "more"]) for _ in range(n)) for n in (1, 5, 24, 25, 48, 49, 72, 73, 300, 777)] + ["none known"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, ""])], "doc_id long, text string").repartition(3)
+    table, total = text.word_frequencies(docs)
+    idf = text.inverse_frequency(table, total)
+    parts = decontamination.item_parts([(i, text.token_hashes(t)) for i, t in items], table, idf)
+    bases = []
+    monkeypatch.setattr(decontamination.Space, "project", lambda space, basis: bases.append(basis))
+    monkeypatch.setattr(decontamination, "RANK", 6)
+    monkeypatch.setattr(decontamination.fit_space, "__defaults__", (None, 6))
+    space = decontamination.fitted_spaces(parts, idf, docs)[0]
+    rows = []
+    for body in texts:
+        tokens = text.token_hashes(body)
+        for start in range(0, max(1, len(tokens) - 24), 24):
+            words, counts = np.unique(tokens[start:start + 48], return_counts=True)
+            weight = counts * idf[text.cells(words)].astype(float)
+            at = space.places(words)
+            rows.append(np.zeros(len(space.vocabulary)))
+            rows[-1][at[at >= 0]] = weight[at >= 0] / np.sqrt((weight ** 2).sum())
+    matrix = np.stack(rows)
+    passages = decontamination.passage_table(docs, [space], idf)
+    assert passages.agg(F.sum("passages")).first()[0] == len(matrix)
+    q = np.random.default_rng(2).normal(size=(len(space.vocabulary), 4))
+    found = decontamination.gram_times(passages, np.arange(len(space.vocabulary)), q)
+    assert np.abs(found - matrix.T @ (matrix @ q)).max() < 1e-4 * np.abs(found).max()
+    basis = bases[0]
+    assert basis.shape[1] == 6
+    own = np.linalg.qr(space.part_rows().T)[0]
+    assert np.abs(basis @ (basis.T @ own) - own).max() < 1e-4
+    rest = matrix - (matrix @ own) @ own.T
+    best = np.linalg.svd(rest)[1][:3] ** 2
+    kept = ((rest @ basis) ** 2).sum()
+    assert kept > 0.75 * best.sum()
+
+
 def test_the_latent_space_selects_the_candidates(spark, monkeypatch):
     """Without directions in the space nothing is a candidate, in the query and in the stage."""
     rng = random.Random(3)
